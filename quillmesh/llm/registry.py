@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import chat, fingerprint, mixing
+from quillmesh.llm import chat, decontam, fingerprint, jaccard_join, mixing
 
 QUERIES = {
+    "op1_jaccard_join": jaccard_join.op1,
     "op3_mixing": mixing.op3,
     "op6_chat_format": chat.op6,
+    "op9_decontaminate": decontam.op9,
     "op10_fingerprint": fingerprint.op10,
 }
 
 ORACLES = {
     "op3_mixing": mixing.OP3_SQL,
     "op6_chat_format": chat.OP6_SQL,
+    "op9_decontaminate": decontam.OP9_SQL,
 }
