@@ -120,9 +120,8 @@ def hit_words(wh: np.ndarray, doc: np.ndarray, n_docs: int, index: Index, hit: n
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with n_words, n_hit, hits (word numbers [start, end) of hit runs) and items (ids found)."""
     cols = [f for f in docs.schema.fields if f.name not in ("n_words", "hits", "items")]
-    schema = docs.select(*[F.col(f"`{f.name}`") for f in cols]).schema
-    out = schema.add("n_words", "long").add("hits", "array<bigint>").add("items", "array<string>")
     df = docs.select(*[F.col(f"`{f.name}`") for f in cols], F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("hits"), F.array().cast("array<string>").alias("items"))
+    out = df.schema
     blocks = _blocks(items, item_id, item_text, block_words)
     for k, (ids, texts) in enumerate(blocks):
         index = Index(ids, texts)
