@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import chat, decontam, fingerprint, jaccard_join, mixing, quality, url_trust
+from quillmesh.llm import brown_lm, chat, decontam, fingerprint, jaccard_join, mixing, pii, quality, url_trust
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1,
     "op2_quality": quality.op2,
     "op3_mixing": mixing.op3,
+    "op4_brown_lm": brown_lm.op4,
     "op6_chat_format": chat.op6,
+    "op7_pii": pii.op7,
     "op8_url_trust": url_trust.op8,
     "op9_decontaminate": decontam.op9,
     "op10_fingerprint": fingerprint.op10,
