@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import brown_lm, chat, decontam, fingerprint, jaccard_join, mixing, pii, quality, url_trust
+from quillmesh.llm import brown_lm, chat, decontam, fingerprint, html_wrap, jaccard_join, mixing, pii, quality, url_trust
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1,
     "op2_quality": quality.op2,
     "op3_mixing": mixing.op3,
     "op4_brown_lm": brown_lm.op4,
+    "op5_html_wrap": html_wrap.op5,
     "op6_chat_format": chat.op6,
     "op7_pii": pii.op7,
     "op8_url_trust": url_trust.op8,
