@@ -1,8 +1,73 @@
-"""Documents to a training mix."""
+"""Documents to a training mix: quality, near duplicates, benchmark passages, personal data, mixing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
+return the columns of documents. A stage's result is written as Parquet in the folder that all
+executors share, and read back as the next one's docs. Documents of null id take part in every stage.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillmesh.llm import decontam, jaccard_join, mixing, pii, quality
+from quillmesh.llm.util import shared_dir, table
+
+#: SQL can't express the fitted stages; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier accepts."""
+    return quality.classify(docs, table(spark, sf_dir, "labels")).filter("keep").select(*docs.columns)
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one of smallest id, of each group that near-duplicate links hold together."""
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id"), -F.abs(F.xxhash64("text") / 2).cast("long") - 1))
+    groups = jaccard_join.near_groups(keyed, ident="_key")
+    stay = groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("_rows"))
+    kept = keyed.join(stay, "_key")
+    once = kept.filter("_rows = 1").select(*docs.columns)
+    # an id on several rows: its first text stays
+    w = Window.partitionBy("_key").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    again = kept.filter("_rows > 1").withColumn("_row", F.row_number().over(w)).filter("_row = 1").select(*docs.columns)
+    return once.unionByName(again)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window."""
+    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return found.filter(F.size("hits") == 0).select(*docs.columns)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind."""
+    return pii.mask(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: an entry a row, in order of virtual finish time."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicates_stage),
+    ("decontaminate", decontaminate_stage),
+    ("pii", pii_stage),
+    ("mixing", mixing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
