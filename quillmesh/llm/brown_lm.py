@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm import tokens as tk
-from quillmesh.llm.util import cut, parts, table
+from quillmesh.llm.util import cut, mapped, parts, table
 
 UNITS, TAILS, CLASSES = 500, 64, 32
 SWEEPS = 8
@@ -272,9 +272,9 @@ def score(docs: DataFrame, ident: str = "doc_id", text: str = "text", n_units: i
     """A row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), perplexity."""
     spark = docs.sparkSession
     d = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    top = d.mapInArrow(_frequent("text", "doc_id", n_units), "w long, c long").groupBy("w").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "w").limit(n_units).collect()
+    top = mapped(d, _frequent("text", "doc_id", n_units), "w long, c long").groupBy("w").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "w").limit(n_units).collect()
     units = Units(np.array([r.w for r in top], np.int64).view(np.uint64))
-    pairs = d.mapInArrow(_bigrams("text", "doc_id", units), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).collect()  # at most units.n squared
+    pairs = mapped(d, _bigrams("text", "doc_id", units), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).collect()  # at most units.n squared
     counts = np.zeros(units.n * units.n, np.int64)
     if pairs:
         counts[[r.pair for r in pairs]] = [r.c for r in pairs]
@@ -287,11 +287,11 @@ def score(docs: DataFrame, ident: str = "doc_id", text: str = "text", n_units: i
     log_t[:, cls[units.start]] = 0.0
     n_tokens = int(counts.sum())
     buckets = max(parts(spark), n_tokens // 2_000_000 + 1)
-    packed = d.mapInArrow(_score("text", "doc_id", units, cls, log_t, buckets), SCHEMA)
+    packed = mapped(d, _score("text", "doc_id", units, cls, log_t, buckets), SCHEMA)
     packed = cut(packed)
     rows = packed.filter("kind = 0").select("doc_id", "key", "held_out", "n", "logs", "by")
     counted = packed.filter("kind = 1").select("n", "head", "blob").repartition(buckets, "n")
-    counted = cut(counted.mapInArrow(_count(k), "kind int, doc_id long, key long, known long, logs double, by array<long>"))
+    counted = cut(mapped(counted, _count(k), "kind int, doc_id long, key long, known long, logs double, by array<long>"))
     totals = counted.filter("kind = 1").select("by").agg(*[F.sum(F.col("by")[i]).alias(f"x{i}") for i in range(2 * k)]).first()
     tokens, types = np.array([x or 0 for x in totals[:k]], float), np.array([x or 0 for x in totals[k:]], float)
     big_n, big_v = int(tokens.sum()), int(types.sum())

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm import tokens as tk
-from quillmesh.llm.util import cut, table
+from quillmesh.llm.util import cut, mapped, table
 
 WINDOW, GRAM = 10, 5
 SPAN = WINDOW - GRAM + 1
@@ -126,7 +126,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     for k, (ids, texts) in enumerate(blocks):
         index = Index(ids, texts)
         df = cut(df) if k else df
-        df = df.mapInArrow(_marker(index, text), out)
+        df = mapped(df, _marker(index, text), out)
     return df
 
 

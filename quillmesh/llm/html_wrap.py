@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.url_trust import host_of
-from quillmesh.llm.util import cut, table
+from quillmesh.llm.util import cut, mapped, table
 
 CONSTANT = 3
 SALTS = 64
@@ -239,7 +239,7 @@ def _infer(url_host: str, page: str):
 
 def wrappers(pages: DataFrame, host: str, html: str) -> DataFrame:
     """(host, wrapper JSON): a partition's wrappers, merged by salt, then by host."""
-    found = pages.select(host, html).mapInArrow(_infer(host, html), "host string, wrapper string")
+    found = mapped(pages.select(host, html), _infer(host, html), "host string, wrapper string")
 
     def merge(t: pa.Table) -> pa.Table:
         w = None
@@ -257,14 +257,14 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "
     cols = [c for c in pages.columns if c != out]
     p = pages.select(*[F.col(f"`{c}`") for c in cols])
     keyed = p.withColumn("_host", host_of(F.col(url)))
-    signs = cut(wrappers(keyed, "_host", html).mapInArrow(_signatures, "host string, signs array<string>"))
+    signs = cut(mapped(wrappers(keyed, "_host", html), _signatures, "host string, signs array<string>"))
     schema = p.withColumn(out, F.lit("")).schema
     total = signs.agg(F.coalesce(F.sum(F.length(F.array_join("signs", ""))), F.lit(0)), F.count("*")).first()
     if total[0] + 100 * total[1] <= SHIPPED:
         known = {r.host: frozenset(r.signs) for r in signs.collect()}
-        return keyed.mapInArrow(_texts(html, out, known, cols), schema)
+        return mapped(keyed, _texts(html, out, known, cols), schema)
     joined = keyed.join(signs.withColumnRenamed("host", "_host").withColumnRenamed("signs", "_signs"), "_host", "left")
-    return joined.mapInArrow(_texts(html, out, None, cols), schema)
+    return mapped(joined, _texts(html, out, None, cols), schema)
 
 
 def _signatures(batches):

@@ -2,7 +2,7 @@
 
 A text is the set of its distinct 5-word shingles (of its whole word sequence where it has fewer
 words); two texts link when 4 * intersection >= 3 * union. The join is exact up to hash collisions
-(64-bit shingles; the final check compares 40 bits of each).
+(52 bits of each shingle; the final check compares 40 of them).
 
 1. Equal sets are one class; everything below works on classes, so copies cost nothing.
 2. Blocks: ordered by rarity, two linked sets share a shingle among the first n - ceil(3n/4) + 1 of
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm import tokens as tk
 from quillmesh.llm.components import components
-from quillmesh.llm.util import cut, parts, table
+from quillmesh.llm.util import cut, mapped, parts, table
 
 K = 5
 GROUPS = 64
@@ -39,6 +39,8 @@ FREQUENT = 500_000  # most frequent shingles that are ranked; 12 bytes each
 TILE = 4096
 LEAF = 32
 ROWS = 1 << 21  # bytes of text handled at a time
+COUNTED = 1 << 22  # shingles counted at a time
+NEEDED = 1 << 24  # bits of the filter of documents whose sets are read again
 
 
 def _sets(batch: pa.RecordBatch, text: str):
@@ -46,7 +48,7 @@ def _sets(batch: pa.RecordBatch, text: str):
     at = 0
     while at < batch.num_rows:
         data, offs = tk.buffer(batch.column(text).slice(at))
-        n = max(1, int(np.searchsorted(offs, ROWS, "right")) - 1)
+        n = min(max(1, int(np.searchsorted(offs, ROWS, "right")) - 1), tk.SET_DOCS)
         data, offs = data[: offs[n]], offs[: n + 1]
         folded, s, e, doc = tk.words(data, offs)
         h, own = tk.shingles(tk.hashes(folded, s, e), doc, n, K)
@@ -66,13 +68,20 @@ def _class_ids(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _points(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     n = len(first) - 1
     doc = np.repeat(np.arange(n), np.diff(first))
-    return np.bincount(doc * GROUPS + (h >> np.uint64(32)).astype(np.int64) % GROUPS, minlength=n * GROUPS).reshape(n, GROUPS)
+    return np.bincount(doc * GROUPS + (h >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=n * GROUPS).reshape(n, GROUPS)
 
 
 def _describe(text: str, ident: str):
     """Rows (kind 0) of each document: id, class, size, point; (kind 1) locally frequent shingles and counts."""
 
+    def often(held, docs):
+        u, c = np.unique(np.concatenate(held), return_counts=True)
+        at = np.flatnonzero(c >= max(4, docs // 1500))
+        m = len(at)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(u[at].view(np.int64)), pa.array(c[at].astype(np.int32)), pa.nulls(m, pa.binary())], ["kind", "doc_id", "cid", "n", "point"])
+
     def run(batches):
+        held, size, docs = [], 0, 0
         for batch in batches:
             for a, b, h, first in _sets(batch, text):
                 cid, n = _class_ids(h, first), np.diff(first)
@@ -80,14 +89,16 @@ def _describe(text: str, ident: str):
                 blob = pa.array([p.tobytes() for p in pts], pa.binary())
                 ids = batch.column(ident).slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int32)), ids.cast(pa.int64()), pa.array(cid), pa.array(n.astype(np.int32)), blob], ["kind", "doc_id", "cid", "n", "point"])
-                _, one = np.unique(cid, return_index=True)
+                _, one = np.unique(cid, return_index=True)  # copies count once
                 keep = np.zeros(b - a, bool)
                 keep[one] = True
-                u, c = np.unique(h[np.repeat(keep, n)], return_counts=True)
-                often = c >= max(4, (b - a) // 1000)
-                if often.any():
-                    m = int(often.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(u[often].view(np.int64)), pa.array(c[often].astype(np.int32)), pa.nulls(m, pa.binary())], ["kind", "doc_id", "cid", "n", "point"])
+                held.append(h[np.repeat(keep, n)])
+                size, docs = size + len(held[-1]), docs + len(one)
+                if size > COUNTED:
+                    yield often(held, docs)
+                    held, size, docs = [], 0, 0
+        if held:
+            yield often(held, docs)
 
     return run
 
@@ -107,6 +118,7 @@ def _prefixes(text: str, buckets: int, frequent: np.ndarray, rank: np.ndarray):
                 doc = np.repeat(np.arange(b - a), n)
                 sel = keep[doc]
                 h2, d2 = h[sel], doc[sel]
+                want = n - -(-3 * n // 4) + 1
                 r = np.full(len(h2), -1, np.int64)
                 maybe = np.flatnonzero(bits[(h2 & np.uint64((1 << 20) - 1)).astype(np.int64)])
                 if len(maybe) and len(frequent):
@@ -114,16 +126,20 @@ def _prefixes(text: str, buckets: int, frequent: np.ndarray, rank: np.ndarray):
                     i[i == len(frequent)] = 0
                     ok = frequent[i] == h2[maybe]
                     r[maybe[ok]] = rank[i[ok]]
-                order = np.lexsort((h2, r, d2))
-                h2, d2 = h2[order], d2[order]
-                start = np.searchsorted(d2, np.arange(b - a))
-                pos = np.arange(len(h2)) - start[d2]
-                want = n - -(-3 * n // 4) + 1
-                pre = pos < want[d2]
+                # rare shingles first, by hash; then the frequent ones, the most frequent last
+                rare = np.flatnonzero(r < 0)
+                start = np.searchsorted(d2[rare], np.arange(b - a + 1))
+                pre = rare[np.arange(len(rare)) - start[d2[rare]] < want[d2[rare]]]
+                short = want - np.diff(start)
+                hot = np.flatnonzero((r >= 0) & (short[d2] > 0))
+                hot = hot[np.lexsort((r[hot], d2[hot]))]
+                start = np.searchsorted(d2[hot], np.arange(b - a))
+                hot = hot[np.arange(len(hot)) - start[d2[hot]] < short[d2[hot]]]
+                pre = np.concatenate([pre, hot])
                 h2, d2 = h2[pre], d2[pre]
                 rec = np.empty(len(h2), [("h", "<u8"), ("c", "<i8"), ("n", "<i4")])
                 rec["h"], rec["c"], rec["n"] = h2, cid[d2], n[d2]
-                bk = (h2 >> np.uint64(40)).astype(np.int64) % buckets
+                bk = (h2 >> np.uint64(12)).astype(np.int64) % buckets
                 order = np.argsort(bk, kind="stable")
                 rec, bk = rec[order], bk[order]
                 ub, lo = np.unique(bk, return_index=True)
@@ -166,11 +182,18 @@ def _blocks(batches):
             )
 
 
-def _packed(text: str):
-    """(class, size, set): the 40 low bits of each shingle hash, five bytes each; a class once a slice."""
+def _packed(text: str, ident: str, needed: np.ndarray):
+    """(class, size, set) of documents the filter lets through: 40 bits of each shingle, five bytes each."""
 
     def run(batches):
         for batch in batches:
+            ids = batch.column(ident)
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            at = _bit(ids.fill_null(0).to_numpy().astype(np.uint64))
+            hit = (needed[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) | ~known
+            if not hit.any():
+                continue
+            batch = batch.filter(pa.array(hit))
             for a, b, h, first in _sets(batch, text):
                 cid, n = _class_ids(h, first), np.diff(first)
                 _, one = np.unique(cid, return_index=True)
@@ -182,6 +205,25 @@ def _packed(text: str):
     return run
 
 
+def _bit(ids: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (tk.mixed(ids * tk.BASE) % np.uint64(NEEDED)).astype(np.int64)
+
+
+def _bits(batches):
+    """Positions of ids in the filter, as words of 32 bits: one row for each word a partition sets."""
+    word, bit = [], []
+    for batch in batches:
+        at = _bit(batch.column(0).to_numpy().astype(np.uint64))
+        word.append(at >> 5)
+        bit.append(np.left_shift(1, at & 31))
+    if word:
+        w, i = np.unique(np.concatenate(word), return_inverse=True)
+        v = np.zeros(len(w), np.int64)
+        np.bitwise_or.at(v, i, np.concatenate(bit))
+        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(v)], ["w", "v"])
+
+
 def _verify(batches):
     def unpack(b):
         raw = np.zeros((len(b) // 5, 8), np.uint8)
@@ -279,19 +321,29 @@ def _tree_pairs(batches):
     yield flush(out)
 
 
-def _links(docs: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
-    """The pairs (a, na, b, nb) that link."""
-    sets = docs.select(text).mapInArrow(_packed(text), "c long, n int, s binary")
+def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, na, b, nb) that link, as nodes (u, v).
+
+    Only the first document of each class in the pairs is read again. Which they are is known from a
+    filter of NEEDED bits (2 MB, whatever the input); what it lets through in error joins with nothing.
+    """
+    ends = pairs.select(F.col("a").alias("cid"), F.col("na").alias("n")).union(pairs.select("b", "nb")).distinct()
+    docs_of = ends.join(classes, ["cid", "n"]).filter("doc IS NOT NULL").select("doc")
+    words = mapped(docs_of, _bits, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+    needed = np.zeros(NEEDED // 32, np.uint32)
+    needed[words.column(0).to_numpy()] = words.column(1).to_numpy().astype(np.uint32)
+    sets = mapped(docs, _packed("text", "doc_id", needed.view(np.uint8)), "c long, n int, s binary")
+    sets = sets.groupBy("c", "n").agg(F.min("s").alias("s"))
     x = pairs.join(sets.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), ["a", "na"])
     x = x.join(sets.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), ["b", "nb"])
-    return x.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_verify, "a long, na int, b long, nb int").distinct()
+    return _named(mapped(x.select("a", "b", "na", "nb", "sa", "sb"), _verify, "a long, na int, b long, nb int"), classes)
 
 
 def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs."""
     spark = docs.sparkSession
     docs = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    described = cut(docs.mapInArrow(_describe("text", "doc_id"), "kind int, doc_id long, cid long, n int, point binary"))
+    described = cut(mapped(docs, _describe("text", "doc_id"), "kind int, doc_id long, cid long, n int, point binary"))
     rows = described.filter("kind = 0")
     top = described.filter("kind = 1").groupBy("cid").agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "cid").limit(FREQUENT).collect()
     frequent = np.array([r[0] for r in top], np.int64).view(np.uint64)
@@ -301,8 +353,8 @@ def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> D
     frequent = frequent[order]
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(parts(spark), int(total * 0.27 * 20 / 16e6) + 1)
-    packed = docs.select("text").mapInArrow(_prefixes("text", buckets, frequent, rank), "bucket int, blob binary")
-    members = cut(packed.repartition(buckets, "bucket").mapInArrow(_blocks, "h long, c long, n int, lc long, ln int"))
+    packed = mapped(docs.select("text"), _prefixes("text", buckets, frequent, rank), "bucket int, blob binary")
+    members = cut(mapped(packed.repartition(buckets, "bucket"), _blocks, "h long, c long, n int, lc long, ln int"))
 
     fits = "4 * least(n, ln) >= 3 * greatest(n, ln) AND (c <> lc OR n <> ln)"
     met = members.filter(fits).groupBy("c", "n", "lc", "ln").agg(F.count("*").alias("m"))
@@ -310,8 +362,7 @@ def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> D
     pairs = star.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("l.lc").alias("b"), F.col("l.ln").alias("nb"))
     # classes are named by one number from here on: their smallest document, or the class id without one
     classes = cut(rows.filter("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("doc"), F.any_value("point").alias("point")).withColumn("node", F.coalesce("doc", "cid")))
-    named = lambda e: _named(e, classes)
-    first = cut(named(_links(docs, cut(pairs), "text")))
+    first = cut(_links(docs, cut(pairs), classes))
     comp = components(first)
 
     m = members.select("h", "c", "n").join(classes.select(F.col("cid").alias("c"), "n", "node", "point"), ["c", "n"])
@@ -320,8 +371,8 @@ def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> D
     m = m.join(mixed, "h").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("slot", F.pmod(F.xxhash64("c", "n"), F.col("tiles").cast("long")).cast("int"))
     m = m.withColumn("t", F.explode(F.expr("transform(sequence(0, tiles - 1), t -> struct(least(t, slot) AS t1, greatest(t, slot) AS t2))")))
     m = m.select("h", "t.t1", "t.t2", "slot", "c", "n", "comp", "point").repartition(parts(spark), "h", "t1", "t2").sortWithinPartitions("h", "t1", "t2")
-    more = cut(m.mapInArrow(_tree_pairs, "a long, na int, b long, nb int").distinct())
-    second = named(_links(docs, more, "text"))
+    more = cut(mapped(m, _tree_pairs, "a long, na int, b long, nb int").distinct())
+    second = _links(docs, more, classes)
     comp = components(first.union(second))
 
     out = classes.select("cid", "n", "node", "doc").join(comp, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm import tokens as tk
 from quillmesh.llm.pii_model import KINDS, OVERLAP, WINDOW, Tagger, encode, fitted, luhn
-from quillmesh.llm.util import table
+from quillmesh.llm.util import mapped, table
 
 #: The base patterns (fixed values).
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
@@ -166,7 +166,7 @@ def find(docs: DataFrame, text: str = "text", out: str = "spans", tagger: Tagger
                 values[i] = [{"start": a, "end": b, "kind": KINDS[k], "base": o} for a, k, b, o in every]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, kind)], [*batch.schema.names, out])
 
-    return d.mapInArrow(run, schema)
+    return mapped(d, run, schema)
 
 
 def mask(docs: DataFrame, text: str = "text", tagger: Tagger | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm import tokens as tk
-from quillmesh.llm.util import table
+from quillmesh.llm.util import mapped, table
 
 LABELLED = 4000
 POOL = 2000
@@ -284,7 +284,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, label
             c, m, p = model.score(b.column("text"), b.column("lang").to_pylist(), b.column("source").to_pylist(), size) if b.num_rows else (np.zeros(0),) * 3
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(c), pa.array(m), pa.array(p), pa.array(p >= keep_at)], [*b.schema.names, "p_content", "p_meta", "p_quality", "keep"])
 
-    return d.mapInArrow(run, out)
+    return mapped(d, run, out)
 
 
 def op2(spark, sf_dir):

@@ -116,11 +116,19 @@ def shingles(wh: np.ndarray, doc: np.ndarray, n_docs: int, k: int):
     return acc[keep], doc[keep]
 
 
+#: Shingles of sets keep their 52 high bits; the 12 low bits of a sort key's top are the text's.
+SET_BITS = 52
+SET_DOCS = 1 << (64 - SET_BITS)
+
+
 def distinct_sets(h: np.ndarray, doc: np.ndarray, n_docs: int):
-    """Each text's distinct hashes, ascending, one after another, with their offsets."""
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    h, doc = h[new], doc[new]
-    return h, np.searchsorted(doc, np.arange(n_docs + 1))
+    """Each text's distinct hashes (SET_BITS bits), ascending, one after another, with their offsets.
+
+    At most SET_DOCS texts at a time: text and hash are sorted as one number.
+    """
+    bits = np.uint64(SET_BITS)
+    key = np.sort((doc.astype(np.uint64) << bits) | (h >> np.uint64(64 - SET_BITS)))
+    if len(key):
+        key = key[np.append(True, key[1:] != key[:-1])]
+    first = np.searchsorted(key, np.arange(n_docs, dtype=np.uint64) << bits)
+    return key & np.uint64(2**SET_BITS - 1), np.append(first, len(key))

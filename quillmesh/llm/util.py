@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import pathlib
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,3 +41,26 @@ def cut(df: DataFrame) -> DataFrame:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once an application: workers may not have it on their path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = pathlib.Path(__file__).resolve().parent.parent
+    path = os.path.join(tempfile.mkdtemp(), f"{package.name}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
+def mapped(df: DataFrame, fn, schema) -> DataFrame:
+    """df.mapInArrow where the workers can import this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
