@@ -8,14 +8,15 @@ words); two texts link when 4 * intersection >= 3 * union. The join is exact up
 2. Blocks: ordered by rarity, two linked sets share a shingle among the first n - ceil(3n/4) + 1 of
    each. Frequent shingles are ranked last (a bounded table of the most frequent ones; the order
    decides the cost, never the result).
-3. Stars: each class is verified with the block leader it meets most often. Linked classes are
-   contracted to components.
-4. R-tree: in every block that still holds several components, shingles are hashed into groups, the
-   group counts are points, and a tree of coordinate maxima bounds the overlap of a query with a node
-   by the sum of coordinate minima. Pairs of different components whose bound reaches 3/7 of their
-   sizes are verified. Pairs inside a component need no look: they can't change it.
+3. Families: pairs in small blocks whose count vectors allow a link, and in large blocks the joins that
+   the tree finds, hold classes together in families; no link leads out of a family. Shingles are hashed
+   into groups, group counts are points, and the sum of coordinate minima bounds the overlap of two
+   classes, or of a class and all below a node of an R-tree, whose coordinates are maxima.
+4. A family's classes are verified along a spanning forest of the highest bounds first, and contracted.
+   Then the tree gives all pairs of different components whose bound reaches 3/7 of both sizes, and
+   they are verified too. Pairs inside a component need no look: they can't change it.
 
-Large blocks are tiled. Links and components stay in tables in the shared folder.
+Large blocks and families are tiled. Links and components stay in tables in the shared folder.
 
 Nulls, empty and wordless texts are empty sets and link with nothing (component: their own id).
 Repeated rows are members of the same class; a null id takes the smallest id of its component, if any.
@@ -34,7 +35,9 @@ from quillmesh.llm.components import components
 from quillmesh.llm.util import cut, mapped, parts, table
 
 K = 5
-GROUPS = 64
+GROUPS = 512
+COARSE = 64  # groups that large blocks carry: GROUPS folded
+SMALL = 32  # classes of a small block
 FREQUENT = 500_000  # most frequent shingles that are ranked; 12 bytes each
 TILE = 4096
 LEAF = 32
@@ -65,10 +68,27 @@ def _class_ids(h: np.ndarray, first: np.ndarray) -> np.ndarray:
         return tk.mixed(c[first[1:]] - c[first[:-1]]).view(np.int64)
 
 
-def _points(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _points(h: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Count vectors, a byte a group; empty where a count is over 255 (then nothing is known of the set)."""
     n = len(first) - 1
     doc = np.repeat(np.arange(n), np.diff(first))
-    return np.bincount(doc * GROUPS + (h >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=n * GROUPS).reshape(n, GROUPS)
+    out: list[bytes] = []
+    for a in range(0, n, 512):
+        b = min(n, a + 512)
+        lo, hi = first[a], first[b]
+        p = np.bincount((doc[lo:hi] - a) * GROUPS + (h[lo:hi] >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=(b - a) * GROUPS).reshape(-1, GROUPS)
+        big = p.max(1) > 255
+        p = p.astype(np.uint8)
+        out += [b"" if x else r.tobytes() for x, r in zip(big, p)]
+    return out
+
+
+def _matrix(blobs: list, sizes: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """Points of many sets; unknown ones are as large as any overlap could be."""
+    out = np.empty((len(blobs), groups), np.int32)
+    for i, b in enumerate(blobs):
+        out[i] = np.frombuffer(b, np.uint8).reshape(-1, groups).sum(0, dtype=np.int32) if b else sizes[i]
+    return out
 
 
 def _describe(text: str, ident: str):
@@ -85,8 +105,7 @@ def _describe(text: str, ident: str):
         for batch in batches:
             for a, b, h, first in _sets(batch, text):
                 cid, n = _class_ids(h, first), np.diff(first)
-                pts = np.minimum(_points(h, first), 65535).astype("<u2")
-                blob = pa.array([p.tobytes() for p in pts], pa.binary())
+                blob = pa.array(_points(h, first), pa.binary())
                 ids = batch.column(ident).slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int32)), ids.cast(pa.int64()), pa.array(cid), pa.array(n.astype(np.int32)), blob], ["kind", "doc_id", "cid", "n", "point"])
                 _, one = np.unique(cid, return_index=True)  # copies count once
@@ -150,36 +169,51 @@ def _prefixes(text: str, buckets: int, frequent: np.ndarray, rank: np.ndarray):
 
 
 def _blocks(batches):
-    """Members of blocks of at least two classes, each with its block's leader."""
+    """Kind 0: pairs of small blocks whose sizes allow a link, once a bucket; kind 1: members of large blocks."""
+    kind = [("h", "<u8"), ("c", "<i8"), ("n", "<i4")]
     got: dict[int, list] = {}
     for batch in batches:
         for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             got.setdefault(k, []).append(v)
     for k in list(got):
-        rec = np.unique(np.frombuffer(b"".join(got.pop(k)), [("h", "<u8"), ("c", "<i8"), ("n", "<i4")]))
-        h = rec["h"]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
+        rec = np.unique(np.frombuffer(b"".join(got.pop(k)), kind))
+        h, c, n = (np.ascontiguousarray(rec[x]) for x in ("h", "c", "n"))
+        new = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
         at = np.flatnonzero(new)
         size = np.diff(np.append(at, len(h)))
-        many = np.repeat(size > 1, size)
-        rec = rec[many]
-        if not len(rec):
-            continue
-        h = rec["h"]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        block = np.cumsum(new) - 1
-        prio = tk.mixed(rec["c"].view(np.uint64) if rec["c"].flags.c_contiguous else np.ascontiguousarray(rec["c"]).view(np.uint64))
-        order = np.lexsort((prio, block))
-        lead = order[np.flatnonzero(new)]  # order keeps the blocks in place
-        lead = lead[block]
-        for s in range(0, len(rec), 100_000):
-            p = slice(s, s + 100_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ascontiguousarray(h[p]).view(np.int64)), pa.array(np.ascontiguousarray(rec["c"][p])), pa.array(np.ascontiguousarray(rec["n"][p])), pa.array(np.ascontiguousarray(rec["c"][lead[p]])), pa.array(np.ascontiguousarray(rec["n"][lead[p]]))],
-                ["h", "c", "n", "lc", "ln"],
-            )
+        pairs = []
+        own = np.repeat(size, size)
+        left = np.arange(len(h)) - np.repeat(at, size)
+        for d in range(1, SMALL):  # partners d places on in the block
+            i = np.flatnonzero((own <= SMALL) & (left + d < own))
+            if not len(i):
+                break
+            j = i + d
+            i, j = (x[4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])] for x in (i, j))
+            swap = (c[i] > c[j]) | ((c[i] == c[j]) & (n[i] > n[j]))
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            p = np.empty(len(i), [("a", "<i8"), ("na", "<i4"), ("b", "<i8"), ("nb", "<i4")])
+            p["a"], p["na"], p["b"], p["nb"] = c[i], n[i], c[j], n[j]
+            pairs.append(np.unique(p))
+        pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, [("a", "<i8"), ("na", "<i4"), ("b", "<i8"), ("nb", "<i4")])
+        big = np.flatnonzero(own > SMALL)
+        for s in range(0, len(pairs), 100_000):
+            p = pairs[s : s + 100_000]
+            m = len(p)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), *[pa.array(np.ascontiguousarray(p[x])) for x in ("a", "na", "b", "nb")]], ["h", "a", "na", "b", "nb"])
+        for s in range(0, len(big), 100_000):
+            i = big[s : s + 100_000]
+            m = len(i)
+            yield pa.RecordBatch.from_arrays([pa.array(h[i].view(np.int64)), pa.array(c[i]), pa.array(n[i]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())], ["h", "a", "na", "b", "nb"])
+
+
+def _bounded(batches):
+    """Pairs whose points allow a link."""
+    for batch in batches:
+        a, na, b, nb = (batch.column(i).to_numpy() for i in range(4))
+        bound = np.minimum(_matrix(batch.column(4).to_pylist(), na), _matrix(batch.column(5).to_pylist(), nb)).sum(1)
+        ok = np.flatnonzero(7 * bound >= 3 * (na.astype(np.int64) + nb))
+        yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (a, na, b, nb)], ["a", "na", "b", "nb"])
 
 
 def _packed(text: str, ident: str, needed: np.ndarray):
@@ -241,6 +275,19 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(na[ok]), pa.array(b[ok]), pa.array(nb[ok])], ["a", "na", "b", "nb"])
 
 
+def _folded(batches):
+    """Points in COARSE groups: GROUPS folded; counts over 255 take several bytes."""
+    for batch in batches:
+        n = batch.column(1).to_numpy()
+        folded = []
+        for b in batch.column(2).to_pylist():
+            p = np.frombuffer(b, np.uint8).reshape(-1, COARSE).sum(0, dtype=np.int64) if b else None
+            # several rows of bytes add up to the counts, as `_matrix` reads them
+            rows = [] if p is None else [np.minimum(np.maximum(p - 255 * k, 0), 255).astype(np.uint8) for k in range(int(p.max()) // 255 + 1)]
+            folded.append(b"".join(r.tobytes() for r in rows))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(folded, pa.binary())], ["c", "n", "point"])
+
+
 class CountTree:
     """An R-tree over count vectors: each node has the coordinate maxima and the smallest size below it."""
 
@@ -266,59 +313,129 @@ class CountTree:
         if not len(look):
             return look
         n = self.sizes[look]
-        fit = (4 * np.minimum(n, size) >= 3 * np.maximum(n, size)) & (7 * np.minimum(self.points[look], query).sum(1) >= 3 * (size + n))
-        return self.order[look[fit]]
-
-
-def _tree_pairs(batches):
-    """Candidate pairs of different components in each tile of a block; rows come sorted by tile."""
-
-    def handle(x):
-        comp, slot, t1, t2 = x["comp"], x["slot"], x["t1"][0], x["t2"][0]
-        if len(np.unique(comp)) < 2:
-            return
-        pts = np.frombuffer(b"".join(x["point"]), "<u2").reshape(-1, GROUPS).astype(np.int32)
-        vals, counts = np.unique(comp, return_counts=True)
-        major = vals[counts.argmax()]
-        tree = CountTree(pts, x["n"].astype(np.int64))
-        for q in np.flatnonzero(comp != major):
-            hit = tree.search(pts[q], int(x["n"][q]))
-            hit = hit[(comp[hit] != comp[q]) & ((comp[hit] == major) | (hit > q))]
-            if t1 != t2:
-                hit = hit[slot[hit] != slot[q]]
-            for j in hit:
-                yield int(x["c"][q]), int(x["n"][q]), int(x["c"][j]), int(x["n"][j])
-
-    def flush(rows):
-        a = sorted({r if (r[0], r[1]) < (r[2], r[3]) else (r[2], r[3], r[0], r[1]) for r in rows})
-        cols = list(zip(*a)) if a else [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32())], ["a", "na", "b", "nb"])
-
-    held, key, out = [], None, []
-    names = ["h", "t1", "t2", "slot", "c", "n", "comp", "point"]
-
-    def close():
-        if held:
+        fit = 4 * np.minimum(n, size) >= 3 * np.maximum(n, size)
+        look, n = look[fit], n[fit]
+        return self.order[look[7 * np.minimum(self.points[look], query).sum(1) >= 3 * (size + n)]]
+
+
+def _forest(x: dict, pts: np.ndarray, n: np.ndarray, slot: np.ndarray, across: bool):
+    """Pairs along a maximum spanning forest of the bounds (between tiles: each class's best partner)."""
+    m = len(n)
+    if across:
+        a, b = np.flatnonzero(slot == slot.min()), np.flatnonzero(slot != slot.min())
+        for i in a if len(b) else ():
+            s = _gain(pts, n, i, b)
+            if s.max() > 0:
+                yield i, b[s.argmax()]
+        return
+    best, near, out = np.zeros(m), np.full(m, -1), np.ones(m, bool)
+    for _ in range(m):
+        i = int(np.where(out, best, -1).argmax())
+        out[i] = False
+        if best[i] > 0:
+            yield i, int(near[i])
+        rest = np.flatnonzero(out)
+        if not len(rest):
+            break
+        s = _gain(pts, n, i, rest)
+        up = s > best[rest]
+        best[rest[up]], near[rest[up]] = s[up], i
+
+
+def _gain(pts, n, i, rest):
+    """Bound of the likeness of i and each of rest; 0 where they can't link."""
+    over = np.minimum(pts[rest], pts[i]).sum(1)
+    ok = (4 * np.minimum(n[rest], n[i]) >= 3 * np.maximum(n[rest], n[i])) & (7 * over >= 3 * (n[rest] + n[i]))
+    return np.where(ok, over / np.maximum(n[rest] + n[i] - over, 1), 0.0)
+
+
+def _joined(x: dict, pts, n, slot, across: bool):
+    """Pairs that join what the tree's hits hold together, so many only as there are joins."""
+    root = list(range(len(n)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    tree = CountTree(pts, n)
+    for q in range(len(n)):
+        for j in tree.search(pts[q], int(n[q])).tolist():
+            if across and slot[j] == slot[q]:
+                continue
+            a, b = find(q), find(j)
+            if a != b:
+                root[a] = b
+                yield q, j
+
+
+def _crossing(x: dict, pts, n, slot, across: bool):
+    """All pairs of different components that the tree finds."""
+    comp = x["comp"]
+    vals, counts = np.unique(comp, return_counts=True)
+    if len(vals) < 2:
+        return
+    major = vals[counts.argmax()]
+    tree = CountTree(pts, n)
+    for q in np.flatnonzero(comp != major):
+        hit = tree.search(pts[q], int(n[q]))
+        hit = hit[(comp[hit] != comp[q]) & ((comp[hit] == major) | (hit > q))]
+        for j in hit[slot[hit] != slot[q]] if across else hit:
+            yield q, j
+
+
+def _tiles(pick, groups: int):
+    """Pairs that `pick` takes in each tile; rows come sorted by (g, t1, t2)."""
+
+    def run(batches):
+        names = ["g", "t1", "t2", "slot", "c", "n", "comp", "point"]
+        held, key, out = [], None, []
+
+        def close():
+            if not held:
+                return
             x = {k: (sum((p[k] for p in held), []) if k == "point" else np.concatenate([p[k] for p in held])) for k in names}
-            yield from handle(x)
+            if len(x["c"]) < 2:
+                return
+            n = x["n"].astype(np.int64)
+            pts = _matrix(x["point"], n, groups)
+            for i, j in pick(x, pts, n, x["slot"], x["t1"][0] != x["t2"][0]):
+                a, b = sorted([(int(x["c"][i]), int(x["n"][i])), (int(x["c"][j]), int(x["n"][j]))])
+                out.append((*a, *b))
+
+        def flush():
+            cols = list(zip(*sorted(set(out)))) if out else [[], [], [], []]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32()))], ["a", "na", "b", "nb"])
 
-    for batch in batches:
-        cols = {k: (batch.column(k).to_pylist() if k == "point" else batch.column(k).to_numpy()) for k in names}
-        ids = np.stack([cols["h"], cols["t1"], cols["t2"]])
-        cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1).tolist(), ids.shape[1]]
-        for lo, hi in zip(cuts, cuts[1:]):
-            if lo == hi:
-                continue
-            this = tuple(ids[:, lo].tolist())
-            if this != key:
-                out += close()
-                held, key = [], this
-            held.append({k: v[lo:hi] for k, v in cols.items()})
+        for batch in batches:
+            cols = {k: (batch.column(k).to_pylist() if k == "point" else batch.column(k).to_numpy()) for k in names}
+            ids = np.stack([cols["g"], cols["t1"], cols["t2"]])
+            cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1).tolist(), ids.shape[1]]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                this = tuple(ids[:, lo].tolist())
+                if this != key:
+                    close()
+                    held, key = [], this
+                held.append({k: v[lo:hi] for k, v in cols.items()})
             if len(out) > 50_000:
-                yield flush(out)
-                out = []
-    out += close()
-    yield flush(out)
+                yield flush()
+        close()
+        yield flush()
+
+    return run
+
+
+def _tiled(members: DataFrame, pick, groups: int) -> DataFrame:
+    """members (g, c, n, comp, point) to the pairs (a, na, b, nb) that `pick` takes in their groups, cut into tiles of TILE classes."""
+    size = members.groupBy("g").agg(F.count("*").alias("size")).filter("size > 1")
+    m = members.join(size, "g").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("slot", F.pmod(F.xxhash64("c", "n"), F.col("tiles").cast("long")).cast("int"))
+    m = m.withColumn("t", F.explode(F.expr("transform(sequence(0, tiles - 1), t -> struct(least(t, slot) AS t1, greatest(t, slot) AS t2))")))
+    m = m.select("g", "t.t1", "t.t2", "slot", "c", "n", "comp", "point").repartition(parts(members.sparkSession), "g", "t1", "t2").sortWithinPartitions("g", "t1", "t2", "c", "n")
+    return mapped(m, _tiles(pick, groups), "a long, na int, b long, nb int").distinct()
 
 
 def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -354,25 +471,24 @@ def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> D
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(parts(spark), int(total * 0.27 * 20 / 16e6) + 1)
     packed = mapped(docs.select("text"), _prefixes("text", buckets, frequent, rank), "bucket int, blob binary")
-    members = cut(mapped(packed.repartition(buckets, "bucket"), _blocks, "h long, c long, n int, lc long, ln int"))
-
-    fits = "4 * least(n, ln) >= 3 * greatest(n, ln) AND (c <> lc OR n <> ln)"
-    met = members.filter(fits).groupBy("c", "n", "lc", "ln").agg(F.count("*").alias("m"))
-    star = met.groupBy("c", "n").agg(F.max_by(F.struct("lc", "ln"), F.struct("m", "lc")).alias("l"))
-    pairs = star.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("l.lc").alias("b"), F.col("l.ln").alias("nb"))
+    found = cut(mapped(packed.repartition(buckets, "bucket"), _blocks, "h long, a long, na int, b long, nb int"))
     # classes are named by one number from here on: their smallest document, or the class id without one
     classes = cut(rows.filter("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("doc"), F.any_value("point").alias("point")).withColumn("node", F.coalesce("doc", "cid")))
-    first = cut(_links(docs, cut(pairs), classes))
+    point = classes.select(F.col("cid").alias("c"), "n", "node", "point")
+
+    small = found.filter("h IS NULL").select("a", "na", "b", "nb").distinct()
+    small = small.join(point.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa")), ["a", "na"])
+    small = small.join(point.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb")), ["b", "nb"])
+    small = mapped(small.select("a", "na", "b", "nb", "pa", "pb"), _bounded, "a long, na int, b long, nb int")
+    large = found.filter("h IS NOT NULL").select(F.col("h").alias("g"), F.col("a").alias("c"), F.col("na").alias("n"))
+    large = large.join(mapped(point.select("c", "n", "point"), _folded, "c long, n int, point binary"), ["c", "n"]).withColumn("comp", F.lit(0).cast("long"))
+    families = components(_named(small.union(_tiled(large, _joined, COARSE)), classes))
+
+    members = cut(point.join(families.withColumnRenamed("label", "g"), "node").withColumn("comp", F.lit(0).cast("long")))
+    first = cut(_links(docs, cut(_tiled(members, _forest, GROUPS)), classes))
     comp = components(first)
-
-    m = members.select("h", "c", "n").join(classes.select(F.col("cid").alias("c"), "n", "node", "point"), ["c", "n"])
-    m = m.join(comp.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = m.groupBy("h").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h", "size")
-    m = m.join(mixed, "h").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("slot", F.pmod(F.xxhash64("c", "n"), F.col("tiles").cast("long")).cast("int"))
-    m = m.withColumn("t", F.explode(F.expr("transform(sequence(0, tiles - 1), t -> struct(least(t, slot) AS t1, greatest(t, slot) AS t2))")))
-    m = m.select("h", "t.t1", "t.t2", "slot", "c", "n", "comp", "point").repartition(parts(spark), "h", "t1", "t2").sortWithinPartitions("h", "t1", "t2")
-    more = cut(mapped(m, _tree_pairs, "a long, na int, b long, nb int").distinct())
-    second = _links(docs, more, classes)
+    members = members.drop("comp").join(comp.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    second = _links(docs, cut(_tiled(members, _crossing, GROUPS)), classes)
     comp = components(first.union(second))
 
     out = classes.select("cid", "n", "node", "doc").join(comp, "node", "left").withColumn("label", F.coalesce("label", "node"))
