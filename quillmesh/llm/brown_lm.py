@@ -30,6 +30,7 @@ from quillmesh.llm.util import cut, mapped, parts, table
 
 UNITS, TAILS, CLASSES = 500, 64, 32
 SWEEPS = 8
+BUCKET = 4_000_000  # tokens a bucket of words has, about
 END_HASH = np.uint64(0x1234567887654321)
 ADD = 0.5
 
@@ -43,7 +44,7 @@ def _read(batch, text: str, ident: str):
     at = 0
     while at < batch.num_rows:
         data, offs = tk.buffer(batch.column(text).slice(at))
-        n = max(1, int(np.searchsorted(offs, 1 << 21, "right")) - 1)
+        n = min(max(1, int(np.searchsorted(offs, 1 << 21, "right")) - 1), 1 << 16)
         data, offs = data[: offs[n]], offs[: n + 1]
         folded, s, e, doc = tk.words(data, offs)
         wh = tk.hashes(folded, s, e)
@@ -164,31 +165,44 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS, f
     return cls
 
 
-def _score(text: str, ident: str, units: Units, cls: np.ndarray, log_t: np.ndarray, buckets: int):
-    """Kind 0: a row per document: tokens, transition log10, class counts. Kind 1: packed words by bucket."""
+def _keys(wh: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """What names a text with its id: a hash of its bag of words. Rows of equal id and bag share their sums."""
+    with np.errstate(over="ignore"):
+        c = np.zeros(len(wh) + 1, np.uint64)
+        np.cumsum(tk.mixed(wh), dtype=np.uint64, out=c[1:])
+        first = np.searchsorted(doc, np.arange(n + 1))
+        return (c[first[1:]] - c[first[:-1]]).view(np.int64)
+
+
+def _rows(text: str, ident: str, units: Units, cls: np.ndarray, log_t: np.ndarray):
+    """A row per document: tokens, transition log10, class counts."""
     k = len(log_t)
 
     def run(batches):
         for batch in batches:
             for a, b, wh, tail, doc, folded, s, e, out in _read(batch, text, ident):
                 n = b - a
-                u = units.of(wh, tail)
-                prev, cur, own = _sequence(cls[u], doc, n, cls[units.end], cls[units.start])
+                prev, cur, own = _sequence(cls[units.of(wh, tail)], doc, n, cls[units.end], cls[units.start])
                 trans = np.bincount(own, weights=log_t[prev, cur], minlength=n)
                 by = np.bincount(own * k + cur, minlength=n * k).reshape(n, k)
                 ids = batch.column(ident).slice(a, n).cast(pa.int64())
-                # what names a row: its id and text; equal rows add up and are told apart by their number
-                with np.errstate(over="ignore"):
-                    c = np.zeros(len(wh) + 1, np.uint64)
-                    np.cumsum(tk.mixed(wh), dtype=np.uint64, out=c[1:])
-                    first = np.searchsorted(doc, np.arange(n + 1))
-                    body = (c[first[1:]] - c[first[:-1]]).view(np.int64)
-                key = pa.array(body)
-                zero = pa.array(np.zeros(n, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(n, np.int32)), ids, key, pa.array(out), pa.array(by.sum(1)), pa.array(trans), pa.array(list(by.astype(np.int64)), pa.list_(pa.int64())), zero, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
-                    NAMES,
+                    [ids, pa.array(_keys(wh, doc, n)), pa.array(out), pa.array(by.sum(1)), pa.array(trans), pa.array(list(by.astype(np.int64)), pa.list_(pa.int64()))],
+                    ["doc_id", "key", "held_out", "n", "logs", "by"],
                 )
+
+    return run
+
+
+def _pack(text: str, ident: str, units: Units, cls: np.ndarray, buckets: int):
+    """Packed words by bucket: which documents (head), then words, documents, counts and classes one after another."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b, wh, tail, doc, folded, s, e, out in _read(batch, text, ident):
+                n = b - a
+                u = units.of(wh, tail)
+                ids = batch.column(ident).slice(a, n).cast(pa.int64())
                 # each text's distinct words, with the end
                 w = np.concatenate([wh, np.full(n, END_HASH)])
                 d = np.concatenate([doc, np.arange(n)])
@@ -197,12 +211,12 @@ def _score(text: str, ident: str, units: Units, cls: np.ndarray, log_t: np.ndarr
                 w, d, kk = w[order], d[order], kk[order]
                 at = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (d[1:] != d[:-1])))
                 freq = np.diff(np.append(at, len(w)))
-                reps = (freq + 65534) // 65535  # counts over 65535 take several records
+                reps = (freq + 254) // 255  # counts over 255 take several records
                 idx = np.repeat(np.arange(len(at)), reps)
                 rec = np.empty(len(idx), REC)
                 rec["w"], rec["d"], rec["k"] = w[at][idx], d[at][idx], kk[at][idx]
                 part = np.arange(len(idx)) - np.repeat(np.cumsum(reps) - reps, reps)
-                rec["f"] = np.minimum(freq[idx] - part * 65535, 65535)
+                rec["f"] = np.minimum(freq[idx] - part * 255, 255)
                 bk = (rec["w"] >> np.uint64(24)).astype(np.int64) % buckets
                 order = np.argsort(bk, kind="stable")
                 rec, bk = rec[order], bk[order]
@@ -210,25 +224,20 @@ def _score(text: str, ident: str, units: Units, cls: np.ndarray, log_t: np.ndarr
                 hi = np.append(lo[1:], len(bk))
                 valid = np.array([i is not None for i in ids.to_pylist()])
                 head = np.empty(n, HEAD)
-                head["id"], head["key"], head["out"], head["null"] = ids.fill_null(0).to_numpy(), body, out, ~valid
+                head["id"], head["key"], head["out"], head["null"] = ids.fill_null(0).to_numpy(), _keys(wh, doc, n), out, ~valid
                 blobs, heads = [], []
                 for x, y in zip(lo, hi):
                     r = rec[x:y].copy()
                     docs, r["d"] = np.unique(r["d"], return_inverse=True)
-                    blobs.append(r.tobytes())
+                    blobs.append(b"".join(np.ascontiguousarray(r[c]).tobytes() for c, _ in REC))
                     heads.append(head[docs].tobytes())
-                m = len(ub)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array(ub), pa.nulls(m, pa.float64()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.int64()), pa.array(heads, pa.binary()), pa.array(blobs, pa.binary())],
-                    NAMES,
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(ub), pa.array(heads, pa.binary()), pa.array(blobs, pa.binary())], ["bucket", "head", "blob"])
 
     return run
 
 
-NAMES = ["kind", "doc_id", "key", "held_out", "n", "logs", "by", "known", "head", "blob"]
-SCHEMA = "kind int, doc_id long, key long, held_out boolean, n long, logs double, by array<long>, known long, head binary, blob binary"
-REC = [("w", "<u8"), ("d", "<u4"), ("f", "<u2"), ("k", "u1")]
+REC = [("w", "<u8"), ("d", "<u2"), ("f", "u1"), ("k", "u1")]
+WIDTH = 12
 HEAD = [("id", "<i8"), ("key", "<i8"), ("out", "u1"), ("null", "u1")]
 
 
@@ -239,21 +248,23 @@ def _count(k: int):
         got: dict = {}
         for batch in batches:
             for b, h, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                got.setdefault(b, []).append((np.frombuffer(h, HEAD), np.frombuffer(r, REC)))
+                m = len(r) // WIDTH
+                cols = (np.frombuffer(r, "<u8", m), np.frombuffer(r, "<u2", m, 8 * m), np.frombuffer(r, "u1", m, 10 * m), np.frombuffer(r, "u1", m, 11 * m))
+                got.setdefault(b, []).append((np.frombuffer(h, HEAD), cols))
         for b in list(got):
             part = got.pop(b)
             shift = np.cumsum([0, *(len(h) for h, _ in part)])
             head = np.concatenate([h for h, _ in part])
-            rec = np.concatenate([r for _, r in part])
-            d = rec["d"].astype(np.int64) + np.repeat(shift[:-1], [len(r) for _, r in part])
-            words, at = np.unique(rec["w"], return_inverse=True)
-            f = rec["f"].astype(np.int64)
+            w, d, f, kk = (np.concatenate([r[i] for _, r in part]) for i in range(4))
+            d = d.astype(np.int64) + np.repeat(shift[:-1], [len(r[0]) for _, r in part])
+            del part
+            words, at = np.unique(w, return_inverse=True)
             train = head["out"][d] == 0
-            c = np.bincount(at, weights=f * train, minlength=len(words))
+            c = np.bincount(at, weights=np.where(train, f, 0), minlength=len(words))
             known = np.bincount(d, weights=f * (c[at] > 0), minlength=len(head)).astype(np.int64)
             logs = np.bincount(d, weights=f * np.log10(c[at] + ADD), minlength=len(head))
             cls = np.zeros(len(words), np.int64)
-            cls[at] = rec["k"]
+            cls[at] = kk
             seen = c > 0
             types, tokens = np.bincount(cls[seen], minlength=k), np.bincount(cls, weights=c, minlength=k).astype(np.int64)
             names, group = np.unique(head[["id", "key", "null"]], return_inverse=True)  # equal rows together
@@ -286,11 +297,9 @@ def score(docs: DataFrame, ident: str = "doc_id", text: str = "text", n_units: i
     log_t = np.log10((trans + ADD) / (trans.sum(1, keepdims=True) + ADD * (k - 1)))  # no class follows into start
     log_t[:, cls[units.start]] = 0.0
     n_tokens = int(counts.sum())
-    buckets = max(parts(spark), n_tokens // 2_000_000 + 1)
-    packed = mapped(d, _score("text", "doc_id", units, cls, log_t, buckets), SCHEMA)
-    packed = cut(packed)
-    rows = packed.filter("kind = 0").select("doc_id", "key", "held_out", "n", "logs", "by")
-    counted = packed.filter("kind = 1").select("n", "head", "blob").repartition(buckets, "n")
+    buckets = max(12, n_tokens // BUCKET + 1)
+    rows = mapped(d, _rows("text", "doc_id", units, cls, log_t), "doc_id long, key long, held_out boolean, n long, logs double, by array<long>")
+    counted = mapped(d, _pack("text", "doc_id", units, cls, buckets), "bucket long, head binary, blob binary").repartition(max(buckets, parts(spark)), "bucket")
     counted = cut(mapped(counted, _count(k), "kind int, doc_id long, key long, known long, logs double, by array<long>"))
     totals = counted.filter("kind = 1").select("by").agg(*[F.sum(F.col("by")[i]).alias(f"x{i}") for i in range(2 * k)]).first()
     tokens, types = np.array([x or 0 for x in totals[:k]], float), np.array([x or 0 for x in totals[k:]], float)
