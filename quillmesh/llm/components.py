@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.util import cut
+from quillmesh.llm.util import cut, forget
 
 
 def _stars(e: DataFrame) -> DataFrame:
@@ -27,12 +27,14 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     e = cut(e)
     seen = None
     for _ in range(limit):
-        e = cut(_stars(e))
+        last, e = e, cut(_stars(e))
+        forget(last)
         now = tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break
         seen = now
     else:
         raise RuntimeError("components did not converge")
+    # smallest nodes name themselves
     labels = e.groupBy("v").agg(F.lit(1)).select(F.col("v").alias("node"), F.col("v").alias("label"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(labels)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm import tokens as tk
 from quillmesh.llm.components import components
-from quillmesh.llm.util import cut, mapped, parts, table
+from quillmesh.llm.util import cut, forget, mapped, parts, table
 
 K = 5
 GROUPS = 512
@@ -483,13 +483,18 @@ def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> D
     large = found.filter("h IS NOT NULL").select(F.col("h").alias("g"), F.col("a").alias("c"), F.col("na").alias("n"))
     large = large.join(mapped(point.select("c", "n", "point"), _folded, "c long, n int, point binary"), ["c", "n"]).withColumn("comp", F.lit(0).cast("long"))
     families = components(_named(small.union(_tiled(large, _joined, COARSE)), classes))
+    forget(found)
 
     members = cut(point.join(families.withColumnRenamed("label", "g"), "node").withColumn("comp", F.lit(0).cast("long")))
-    first = cut(_links(docs, cut(_tiled(members, _forest, GROUPS)), classes))
+    tree_pairs = cut(_tiled(members, _forest, GROUPS))
+    first = cut(_links(docs, tree_pairs, classes))
+    forget(tree_pairs)
     comp = components(first)
-    members = members.drop("comp").join(comp.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    second = _links(docs, cut(_tiled(members, _crossing, GROUPS)), classes)
-    comp = components(first.union(second))
+    crossing = members.drop("comp").join(comp.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    more_pairs = cut(_tiled(crossing, _crossing, GROUPS))
+    forget(members)
+    comp = components(first.union(_links(docs, more_pairs, classes)))
+    forget(first, more_pairs)
 
     out = classes.select("cid", "n", "node", "doc").join(comp, "node", "left").withColumn("label", F.coalesce("label", "node"))
     low = out.groupBy("label").agg(F.min("doc").alias("component_id"))

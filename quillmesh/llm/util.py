@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import pathlib
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,10 +35,44 @@ def shared_dir(spark: SparkSession) -> str:
     return got
 
 
+_tables: dict[str, SparkSession] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: the rows as a Parquet table in the folder that all executors share.
+
+    Tables go with `forget`, or when the driver's Python ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quillmesh-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _tables[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quillmesh_path = path
+    return out
+
+
+def forget(*dfs: DataFrame) -> None:
+    """Delete tables that `cut` wrote, once nothing lazy reads them any more."""
+    for df in dfs:
+        path = getattr(df, "_quillmesh_path", None)
+        if path in _tables:
+            _delete(_tables.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).delete(p, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path, spark in list(_tables.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001  the session has ended before
+            return
 
 
 def parts(spark: SparkSession) -> int:
