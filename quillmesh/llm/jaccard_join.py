@@ -12,9 +12,10 @@ words); two texts link when 4 * intersection >= 3 * union. The join is exact up
    the tree finds, hold classes together in families; no link leads out of a family. Shingles are hashed
    into groups, group counts are points, and the sum of coordinate minima bounds the overlap of two
    classes, or of a class and all below a node of an R-tree, whose coordinates are maxima.
-4. A family's classes are verified along a spanning forest of the highest bounds first, and contracted.
-   Then the tree gives all pairs of different components whose bound reaches 3/7 of both sizes, and
-   they are verified too. Pairs inside a component need no look: they can't change it.
+4. A family's sets meet once, in tiles of bounded size. Classes are verified along a spanning forest of
+   the highest bounds first and contracted; then the tree gives all pairs of different components whose
+   bound reaches 3/7 of both sizes, and they are verified too. Pairs inside a component need no look:
+   they can't change it.
 
 Large blocks and families are tiled. Links and components stay in tables in the shared folder.
 
@@ -40,6 +41,7 @@ COARSE = 64  # groups that large blocks carry: GROUPS folded
 SMALL = 32  # classes of a small block
 FREQUENT = 500_000  # most frequent shingles that are ranked; 12 bytes each
 TILE = 4096
+TILE_SHINGLES = 1 << 23  # 40 MB of sets
 LEAF = 32
 ROWS = 1 << 21  # bytes of text handled at a time
 COUNTED = 1 << 22  # shingles counted at a time
@@ -258,21 +260,15 @@ def _bits(batches):
         yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(v)], ["w", "v"])
 
 
-def _verify(batches):
-    def unpack(b):
-        raw = np.zeros((len(b) // 5, 8), np.uint8)
-        raw[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
-        return raw.view(np.uint64).ravel()
+def _unpacked(b: bytes) -> np.ndarray:
+    raw = np.zeros((len(b) // 5, 8), np.uint8)
+    raw[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
+    return raw.view(np.uint64).ravel()
 
-    for batch in batches:
-        a, b, na, nb = (batch.column(i).to_numpy() for i in range(4))
-        sa, sb = batch.column(4), batch.column(5)
-        ok = np.zeros(len(a), bool)
-        for i in range(len(a)):
-            common = len(np.intersect1d(unpack(sa[i].as_py()), unpack(sb[i].as_py())))
-            ok[i] = 4 * common >= 3 * (int(na[i]) + int(nb[i]) - common)
-        ok = np.flatnonzero(ok)
-        yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(na[ok]), pa.array(b[ok]), pa.array(nb[ok])], ["a", "na", "b", "nb"])
+
+def _link(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 4 * both >= 3 * (len(a) + len(b) - both)
 
 
 def _folded(batches):
@@ -285,7 +281,7 @@ def _folded(batches):
             # several rows of bytes add up to the counts, as `_matrix` reads them
             rows = [] if p is None else [np.minimum(np.maximum(p - 255 * k, 0), 255).astype(np.uint8) for k in range(int(p.max()) // 255 + 1)]
             folded.append(b"".join(r.tobytes() for r in rows))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(folded, pa.binary())], ["c", "n", "point"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(folded, pa.binary())], ["c", "n", "data"])
 
 
 class CountTree:
@@ -318,7 +314,7 @@ class CountTree:
         return self.order[look[7 * np.minimum(self.points[look], query).sum(1) >= 3 * (size + n)]]
 
 
-def _forest(x: dict, pts: np.ndarray, n: np.ndarray, slot: np.ndarray, across: bool):
+def _forest(pts: np.ndarray, n: np.ndarray, slot: np.ndarray, across: bool):
     """Pairs along a maximum spanning forest of the bounds (between tiles: each class's best partner)."""
     m = len(n)
     if across:
@@ -326,7 +322,7 @@ def _forest(x: dict, pts: np.ndarray, n: np.ndarray, slot: np.ndarray, across: b
         for i in a if len(b) else ():
             s = _gain(pts, n, i, b)
             if s.max() > 0:
-                yield i, b[s.argmax()]
+                yield int(i), int(b[s.argmax()])
         return
     best, near, out = np.zeros(m), np.full(m, -1), np.ones(m, bool)
     for _ in range(m):
@@ -349,58 +345,72 @@ def _gain(pts, n, i, rest):
     return np.where(ok, over / np.maximum(n[rest] + n[i] - over, 1), 0.0)
 
 
-def _joined(x: dict, pts, n, slot, across: bool):
-    """Pairs that join what the tree's hits hold together, so many only as there are joins."""
-    root = list(range(len(n)))
+class _Roots:
+    def __init__(self, n: int):
+        self.root = list(range(n))
 
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
+    def find(self, i: int) -> int:
+        r = self.root
+        while r[i] != i:
+            r[i] = r[r[i]]
+            i = r[i]
         return i
 
-    tree = CountTree(pts, n)
+    def join(self, i: int, j: int) -> bool:
+        """Whether the two were apart."""
+        a, b = self.find(i), self.find(j)
+        self.root[a] = b
+        return a != b
+
+
+def _joined(x: dict, n, slot, across: bool):
+    """Pairs that join what the tree's hits hold together, so many only as there are joins."""
+    pts = _matrix(x["data"], n, COARSE)
+    roots, tree = _Roots(len(n)), CountTree(pts, n)
     for q in range(len(n)):
         for j in tree.search(pts[q], int(n[q])).tolist():
-            if across and slot[j] == slot[q]:
-                continue
-            a, b = find(q), find(j)
-            if a != b:
-                root[a] = b
+            if not (across and slot[j] == slot[q]) and roots.join(q, j):
                 yield q, j
 
 
-def _crossing(x: dict, pts, n, slot, across: bool):
-    """All pairs of different components that the tree finds."""
-    comp = x["comp"]
+def _settled(x: dict, n, slot, across: bool):
+    """Verified links that hold the tile's components together."""
+    sets = [_unpacked(b) for b in x["data"]]
+    pts = np.stack([np.bincount((s >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS) for s in sets])
+    roots = _Roots(len(n))
+    for i, j in _forest(pts, n, slot, across):
+        if _link(sets[i], sets[j]):
+            roots.join(i, j)
+            yield i, j
+    comp = np.array([roots.find(i) for i in range(len(n))])
     vals, counts = np.unique(comp, return_counts=True)
     if len(vals) < 2:
         return
     major = vals[counts.argmax()]
     tree = CountTree(pts, n)
-    for q in np.flatnonzero(comp != major):
+    for q in np.flatnonzero(comp != major).tolist():
         hit = tree.search(pts[q], int(n[q]))
         hit = hit[(comp[hit] != comp[q]) & ((comp[hit] == major) | (hit > q))]
-        for j in hit[slot[hit] != slot[q]] if across else hit:
-            yield q, j
+        for j in (hit[slot[hit] != slot[q]] if across else hit).tolist():
+            if roots.find(q) != roots.find(j) and _link(sets[q], sets[j]):
+                roots.join(q, j)
+                yield q, j
 
 
-def _tiles(pick, groups: int):
+def _tiles(pick):
     """Pairs that `pick` takes in each tile; rows come sorted by (g, t1, t2)."""
 
     def run(batches):
-        names = ["g", "t1", "t2", "slot", "c", "n", "comp", "point"]
+        names = ["g", "t1", "t2", "slot", "c", "n", "data"]
         held, key, out = [], None, []
 
         def close():
             if not held:
                 return
-            x = {k: (sum((p[k] for p in held), []) if k == "point" else np.concatenate([p[k] for p in held])) for k in names}
+            x = {k: (sum((p[k] for p in held), []) if k == "data" else np.concatenate([p[k] for p in held])) for k in names}
             if len(x["c"]) < 2:
                 return
-            n = x["n"].astype(np.int64)
-            pts = _matrix(x["point"], n, groups)
-            for i, j in pick(x, pts, n, x["slot"], x["t1"][0] != x["t2"][0]):
+            for i, j in pick(x, x["n"].astype(np.int64), x["slot"], x["t1"][0] != x["t2"][0]):
                 a, b = sorted([(int(x["c"][i]), int(x["n"][i])), (int(x["c"][j]), int(x["n"][j]))])
                 out.append((*a, *b))
 
@@ -410,7 +420,7 @@ def _tiles(pick, groups: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32()))], ["a", "na", "b", "nb"])
 
         for batch in batches:
-            cols = {k: (batch.column(k).to_pylist() if k == "point" else batch.column(k).to_numpy()) for k in names}
+            cols = {k: (batch.column(k).to_pylist() if k == "data" else batch.column(k).to_numpy()) for k in names}
             ids = np.stack([cols["g"], cols["t1"], cols["t2"]])
             cuts = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1).tolist(), ids.shape[1]]
             for lo, hi in zip(cuts, cuts[1:]):
@@ -429,31 +439,27 @@ def _tiles(pick, groups: int):
     return run
 
 
-def _tiled(members: DataFrame, pick, groups: int) -> DataFrame:
-    """members (g, c, n, comp, point) to the pairs (a, na, b, nb) that `pick` takes in their groups, cut into tiles of TILE classes."""
-    size = members.groupBy("g").agg(F.count("*").alias("size")).filter("size > 1")
-    m = members.join(size, "g").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int")).withColumn("slot", F.pmod(F.xxhash64("c", "n"), F.col("tiles").cast("long")).cast("int"))
+def _tiled(members: DataFrame, pick) -> DataFrame:
+    """members (g, c, n, data) to the pairs (a, na, b, nb) that `pick` takes in their groups, cut into tiles of TILE classes and TILE_SHINGLES shingles at most."""
+    size = members.groupBy("g").agg(F.count("*").alias("size"), F.sum(F.col("n").cast("long")).alias("all")).filter("size > 1")
+    tiles = F.ceil(F.greatest(F.col("size") / TILE, F.col("all") / TILE_SHINGLES)).cast("int")
+    m = members.join(size, "g").withColumn("tiles", tiles).withColumn("slot", F.pmod(F.xxhash64("c", "n"), F.col("tiles").cast("long")).cast("int"))
     m = m.withColumn("t", F.explode(F.expr("transform(sequence(0, tiles - 1), t -> struct(least(t, slot) AS t1, greatest(t, slot) AS t2))")))
-    m = m.select("g", "t.t1", "t.t2", "slot", "c", "n", "comp", "point").repartition(parts(members.sparkSession), "g", "t1", "t2").sortWithinPartitions("g", "t1", "t2", "c", "n")
-    return mapped(m, _tiles(pick, groups), "a long, na int, b long, nb int").distinct()
+    m = m.select("g", "t.t1", "t.t2", "slot", "c", "n", "data").repartition(parts(members.sparkSession), "g", "t1", "t2").sortWithinPartitions("g", "t1", "t2", "c", "n")
+    return mapped(m, _tiles(pick), "a long, na int, b long, nb int").distinct()
 
 
-def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, na, b, nb) that link, as nodes (u, v).
+def _needed_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(c, n, data): sets of the classes (doc), read again from the first document of each.
 
-    Only the first document of each class in the pairs is read again. Which they are is known from a
-    filter of NEEDED bits (2 MB, whatever the input); what it lets through in error joins with nothing.
+    Which they are is known from a filter of NEEDED bits (2 MB, whatever the input); what it lets
+    through in error joins with nothing.
     """
-    ends = pairs.select(F.col("a").alias("cid"), F.col("na").alias("n")).union(pairs.select("b", "nb")).distinct()
-    docs_of = ends.join(classes, ["cid", "n"]).filter("doc IS NOT NULL").select("doc")
-    words = mapped(docs_of, _bits, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+    words = mapped(classes.filter("doc IS NOT NULL").select("doc"), _bits, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
     needed = np.zeros(NEEDED // 32, np.uint32)
     needed[words.column(0).to_numpy()] = words.column(1).to_numpy().astype(np.uint32)
     sets = mapped(docs, _packed("text", "doc_id", needed.view(np.uint8)), "c long, n int, s binary")
-    sets = sets.groupBy("c", "n").agg(F.min("s").alias("s"))
-    x = pairs.join(sets.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), ["a", "na"])
-    x = x.join(sets.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), ["b", "nb"])
-    return _named(mapped(x.select("a", "b", "na", "nb", "sa", "sb"), _verify, "a long, na int, b long, nb int"), classes)
+    return sets.groupBy("c", "n").agg(F.min("s").alias("data"))
 
 
 def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -481,20 +487,15 @@ def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> D
     small = small.join(point.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb")), ["b", "nb"])
     small = mapped(small.select("a", "na", "b", "nb", "pa", "pb"), _bounded, "a long, na int, b long, nb int")
     large = found.filter("h IS NOT NULL").select(F.col("h").alias("g"), F.col("a").alias("c"), F.col("na").alias("n"))
-    large = large.join(mapped(point.select("c", "n", "point"), _folded, "c long, n int, point binary"), ["c", "n"]).withColumn("comp", F.lit(0).cast("long"))
-    families = components(_named(small.union(_tiled(large, _joined, COARSE)), classes))
+    large = large.join(mapped(point.select("c", "n", "point"), _folded, "c long, n int, data binary"), ["c", "n"])
+    families = components(_named(small.union(_tiled(large, _joined)), classes))
     forget(found)
 
-    members = cut(point.join(families.withColumnRenamed("label", "g"), "node").withColumn("comp", F.lit(0).cast("long")))
-    tree_pairs = cut(_tiled(members, _forest, GROUPS))
-    first = cut(_links(docs, tree_pairs, classes))
-    forget(tree_pairs)
-    comp = components(first)
-    crossing = members.drop("comp").join(comp.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    more_pairs = cut(_tiled(crossing, _crossing, GROUPS))
+    members = cut(classes.select("cid", "n", "node", "doc").join(families, "node").select(F.col("label").alias("g"), F.col("cid").alias("c"), "n", "doc"))
+    sets = _needed_sets(docs, members)
+    links = _named(_tiled(members.select("g", "c", "n").join(sets, ["c", "n"]), _settled), classes)
+    comp = components(links)
     forget(members)
-    comp = components(first.union(_links(docs, more_pairs, classes)))
-    forget(first, more_pairs)
 
     out = classes.select("cid", "n", "node", "doc").join(comp, "node", "left").withColumn("label", F.coalesce("label", "node"))
     low = out.groupBy("label").agg(F.min("doc").alias("component_id"))
