@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K = 5
@@ -16,7 +16,8 @@ def segments(tokens: Column, delimiters=DELIMITERS) -> Column:
     ends = "|".join(re.escape(d) for d in delimiters)
     text = F.concat(F.lit("\u0001"), F.array_join(tokens, "\u0001\u0001"), F.lit("\u0001"))
     cut = F.filter(F.split(text, f"(?:\u0001(?:{ends})\u0001)+"), lambda s: F.length(s) > 0)
-    return F.transform(cut, lambda s: F.split(F.substring(s, F.lit(2), F.length(s) - 2), "\u0001\u0001"))
+    parts = F.transform(cut, lambda s: F.split(F.substring(s, F.lit(2), F.length(s) - 2), "\u0001\u0001"))
+    return F.when(F.size(tokens) > 0, parts).otherwise(F.array().cast("array<array<string>>"))
 
 
 def grams(tokens: Column, k: int = K) -> Column:
@@ -26,8 +27,6 @@ def grams(tokens: Column, k: int = K) -> Column:
 
 
 def segmented_grams(docs: DataFrame, tokens: Column, key: str = "doc_id", k: int = K, delimiters=DELIMITERS) -> DataFrame:
-    """(key, pos, gram): grams of each segment; positions count over all of a document's tokens but delimiters."""
-    d = docs.select(key, F.posexplode(segments(tokens, delimiters)).alias("seg", "t"))
-    before = Window.partitionBy(key).orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("base", F.coalesce(F.sum(F.size("t")).over(before), F.lit(0)))
-    return d.select(key, "base", F.posexplode(grams(F.col("t"), k)).alias("i", "gram")).select(key, (F.col("base") + F.col("i")).alias("pos"), "gram")
+    """(key, pos, gram): grams of each segment; positions run on over a document's segments."""
+    all_ = F.flatten(F.transform(segments(tokens, delimiters), lambda t: grams(t, k)))
+    return docs.select(key, F.posexplode(all_).alias("pos", "gram"))

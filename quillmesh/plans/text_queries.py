@@ -110,9 +110,9 @@ def _tokens():
 
 _G = r"""tok AS (SELECT doc_id, unnest(w) AS token, unnest(range(len(w))) AS p FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+|\.') AS w FROM documents)),
 seg AS (SELECT *, sum(CASE WHEN token = '.' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS sg FROM tok),
-w AS (SELECT doc_id, sg, token, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS pos, count(*) OVER (PARTITION BY doc_id, sg) AS n, row_number() OVER (PARTITION BY doc_id, sg ORDER BY p) AS i, p FROM seg WHERE token <> '.'),
-g AS (SELECT doc_id, CAST(pos AS BIGINT) AS pos, i, n, string_agg(token, '') OVER (PARTITION BY doc_id, sg ORDER BY p ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS gram FROM w),
-k AS (SELECT doc_id, pos, gram FROM g WHERE i = 1 OR i <= n - 4)"""
+w AS (SELECT doc_id, sg, token, count(*) OVER (PARTITION BY doc_id, sg) AS n, row_number() OVER (PARTITION BY doc_id, sg ORDER BY p) AS i, p FROM seg WHERE token <> '.'),
+g AS (SELECT doc_id, p, i, n, string_agg(token, '') OVER (PARTITION BY doc_id, sg ORDER BY p ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS gram FROM w),
+k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS pos, gram FROM g WHERE i = 1 OR i <= n - 4)"""
 
 
 @query(f"WITH {_G} SELECT doc_id, pos, gram FROM k")

@@ -70,7 +70,7 @@ def read_saved_counts(spark: SparkSession, path: str) -> DataFrame:
 
     One file is one table, so its lines are numbered within it.
     """
-    t = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", "\n")).alias("pos", "line"))
+    t = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "line"))
     mark = t.filter(F.col("line") == KGRAM_MARK).select(F.col("pos").alias("mark"))
     t = t.filter("trim(line) <> ''").join(F.broadcast(mark), F.lit(True), "left")
     t = t.filter("pos <> mark OR mark IS NULL").withColumn("kind", F.when(F.col("pos") > F.col("mark"), "kgram").otherwise("word"))
