@@ -37,8 +37,8 @@ from quillmesh.llm.util import cut, forget, mapped, parts, table
 
 K = 5
 GROUPS = 512
-COARSE = 64  # groups that large blocks carry: GROUPS folded
-SMALL = 32  # classes of a small block
+COARSE = 64  # groups of sets of up to 800 shingles; larger ones have 128, 256, then GROUPS
+SMALL = 12  # classes of a small block
 FREQUENT = 500_000  # most frequent shingles that are ranked; 12 bytes each
 TILE = 4096
 TILE_SHINGLES = 1 << 23  # 40 MB of sets
@@ -79,14 +79,17 @@ def _points(h: np.ndarray, first: np.ndarray) -> list[bytes]:
         b = min(n, a + 512)
         lo, hi = first[a], first[b]
         p = np.bincount((doc[lo:hi] - a) * GROUPS + (h[lo:hi] >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=(b - a) * GROUPS).reshape(-1, GROUPS)
-        big = p.max(1) > 255
-        p = p.astype(np.uint8)
-        out += [b"" if x else r.tobytes() for x, r in zip(big, p)]
+        for row, size in zip(p, np.diff(first[a : b + 1])):
+            g = COARSE
+            while g < GROUPS and size > 12.5 * g:
+                g *= 2
+            row = row.reshape(-1, g).sum(0)
+            out.append(b"" if row.max() > 255 else row.astype(np.uint8).tobytes())
     return out
 
 
-def _matrix(blobs: list, sizes: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    """Points of many sets; unknown ones are as large as any overlap could be."""
+def _matrix(blobs: list, sizes: np.ndarray, groups: int) -> np.ndarray:
+    """Points of many sets, folded to `groups`; unknown ones are as large as any overlap could be."""
     out = np.empty((len(blobs), groups), np.int32)
     for i, b in enumerate(blobs):
         out[i] = np.frombuffer(b, np.uint8).reshape(-1, groups).sum(0, dtype=np.int32) if b else sizes[i]
@@ -210,11 +213,17 @@ def _blocks(batches):
 
 
 def _bounded(batches):
-    """Pairs whose points allow a link."""
+    """Pairs whose points, folded to the coarser of the two, allow a link."""
     for batch in batches:
         a, na, b, nb = (batch.column(i).to_numpy() for i in range(4))
-        bound = np.minimum(_matrix(batch.column(4).to_pylist(), na), _matrix(batch.column(5).to_pylist(), nb)).sum(1)
-        ok = np.flatnonzero(7 * bound >= 3 * (na.astype(np.int64) + nb))
+        pa_, pb_ = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+        groups = np.array([min(len(x) or GROUPS, len(y) or GROUPS) for x, y in zip(pa_, pb_)])
+        ok = np.zeros(len(a), bool)
+        for g in np.unique(groups).tolist():
+            i = np.flatnonzero(groups == g)
+            bound = np.minimum(_matrix([pa_[k] for k in i], na[i], g), _matrix([pb_[k] for k in i], nb[i], g)).sum(1)
+            ok[i] = 7 * bound >= 3 * (na[i].astype(np.int64) + nb[i])
+        ok = np.flatnonzero(ok)
         yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (a, na, b, nb)], ["a", "na", "b", "nb"])
 
 
@@ -271,19 +280,6 @@ def _link(a: np.ndarray, b: np.ndarray) -> bool:
     return 4 * both >= 3 * (len(a) + len(b) - both)
 
 
-def _folded(batches):
-    """Points in COARSE groups: GROUPS folded; counts over 255 take several bytes."""
-    for batch in batches:
-        n = batch.column(1).to_numpy()
-        folded = []
-        for b in batch.column(2).to_pylist():
-            p = np.frombuffer(b, np.uint8).reshape(-1, COARSE).sum(0, dtype=np.int64) if b else None
-            # several rows of bytes add up to the counts, as `_matrix` reads them
-            rows = [] if p is None else [np.minimum(np.maximum(p - 255 * k, 0), 255).astype(np.uint8) for k in range(int(p.max()) // 255 + 1)]
-            folded.append(b"".join(r.tobytes() for r in rows))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(folded, pa.binary())], ["c", "n", "data"])
-
-
 class CountTree:
     """An R-tree over count vectors: each node has the coordinate maxima and the smallest size below it."""
 
@@ -365,12 +361,20 @@ class _Roots:
 
 def _joined(x: dict, n, slot, across: bool):
     """Pairs that join what the tree's hits hold together, so many only as there are joins."""
-    pts = _matrix(x["data"], n, COARSE)
+    data = x["data"]
+    pts = _matrix(data, n, COARSE)
     roots, tree = _Roots(len(n)), CountTree(pts, n)
     for q in range(len(n)):
         for j in tree.search(pts[q], int(n[q])).tolist():
-            if not (across and slot[j] == slot[q]) and roots.join(q, j):
-                yield q, j
+            if across and slot[j] == slot[q] or roots.find(q) == roots.find(j):
+                continue
+            g = min(len(data[q]) or GROUPS, len(data[j]) or GROUPS)
+            if g > COARSE and data[q] and data[j]:  # a finer look at larger sets
+                fine = _matrix([data[q], data[j]], n, g)
+                if 7 * int(np.minimum(fine[0], fine[1]).sum()) < 3 * int(n[q] + n[j]):
+                    continue
+            roots.join(q, j)
+            yield q, j
 
 
 def _settled(x: dict, n, slot, across: bool):
@@ -487,7 +491,7 @@ def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> D
     small = small.join(point.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb")), ["b", "nb"])
     small = mapped(small.select("a", "na", "b", "nb", "pa", "pb"), _bounded, "a long, na int, b long, nb int")
     large = found.filter("h IS NOT NULL").select(F.col("h").alias("g"), F.col("a").alias("c"), F.col("na").alias("n"))
-    large = large.join(mapped(point.select("c", "n", "point"), _folded, "c long, n int, data binary"), ["c", "n"])
+    large = large.join(point.select("c", "n", F.col("point").alias("data")), ["c", "n"])
     families = components(_named(small.union(_tiled(large, _joined)), classes))
     forget(found)
 
