@@ -17,6 +17,8 @@ labels, or labels of one kind only, every document scores 0.5 and is kept. An em
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -169,6 +171,8 @@ class Model:
 
     def fit(self, texts, langs, sources, sizes, labels):
         """labels: 1 accept, 0 reject, -1 unlabelled."""
+        if not len(texts):
+            return self
         y = np.asarray(labels, float)
         known = y >= 0
         if len(set(y[known])) < 2:
@@ -181,7 +185,8 @@ class Model:
             w, d, _ = presence(data, offs)
             w_all.append(w)
             d_all.append(d + a)
-        form, w, doc = np.vstack(parts), np.concatenate(w_all), np.concatenate(d_all)
+        form, w, doc = np.vstack(parts), np.concatenate(w_all).astype(np.int32), np.concatenate(d_all).astype(np.int32)
+        del parts, w_all, d_all
         _, group, members = np.unique(np.concatenate(low), return_inverse=True, return_counts=True)
         once = 1 / members[group]  # near copies count as one text of evidence, and stay in one fold
         m = meta(langs, sources, sizes)
@@ -266,9 +271,20 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
     free = ids.join(lab, "doc_id", "left_anti").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(pool).select("doc_id", F.lit(-1).alias("y"))
     picked = F.broadcast(chosen.select("doc_id", "y").union(free))  # labelled + pool rows of 12 bytes
     rows = docs.select("doc_id", "text", "lang", "source").join(picked, "doc_id")
-    rows = rows.groupBy("doc_id", "y").agg(F.min(F.struct("text", "lang", "source")).alias("d")).orderBy(F.md5(F.col("doc_id").cast("string"))).collect()
-    texts = [r.d.text or "" for r in rows]
-    return Model().fit(texts, [r.d.lang for r in rows], [r.d.source for r in rows], [len(t) for t in texts], [r.y for r in rows])
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.struct("text", "lang", "source")).alias("d")).select(F.md5(F.col("doc_id").cast("string")).alias("turn"), "y", "d.*")
+    # the sample is bounded, so one task fits the model and the driver gets no more than its weights
+    got = mapped(rows.repartition(1).sortWithinPartitions("turn"), _fit_sample, "model binary").first()
+    return pickle.loads(got[0]) if got else Model()
+
+
+def _fit_sample(batches):
+    cols: dict[str, list] = {c: [] for c in ("text", "lang", "source", "y")}
+    for b in batches:
+        for c, values in cols.items():
+            values += b.column(c).to_pylist()
+    texts = [t or "" for t in cols["text"]]
+    model = Model().fit(texts, cols["lang"], cols["source"], [len(t) for t in texts], cols["y"])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
