@@ -3,10 +3,14 @@
 P(w | previous) = P(class of w | class of previous) * P(w | class of w), additively smoothed. Documents
 whose crc32(id) mod 5 is not 1 are the training text.
 
-1. Units: the UNITS most frequent words each, and all others by their last two bytes (64 hashed
-   groups); with the text's end and start. Exchange clustering over the units' bigram counts of all
-   training text moves units between CLASSES classes while the bigram likelihood rises. Every word,
-   however rare, has the class of its unit.
+1. Classes: every training word is clustered, at every input size. The start: the UNITS most frequent
+   words each, and all others by their last two bytes (64 hashed groups), with the text's end and start,
+   are put in CLASSES classes by exchange over their bigram counts. Then PASSES distributed passes
+   exchange single words: a word's counts of preceding and following classes meet in its bucket, which
+   moves its words one block after another against its own copy of the class bigram table. A pass stays
+   if the bigram likelihood of the whole training text rose. What is gathered is the class of each
+   training word (17 bytes a word on the driver), so it grows with the vocabulary. Words that only
+   held-out texts have take the class of their unit.
 2. Word counts: every distinct (document, word) goes to its word's bucket once, packed. A bucket has
    all occurrences of its words, so it counts the training tokens and scores its words' share of every
    document in one go; counts are neither cut off nor sampled and no table of words is gathered.
@@ -26,10 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm import tokens as tk
-from quillmesh.llm.util import cut, mapped, parts, table
+from quillmesh.llm.util import cut, forget, mapped, parts, table
 
 UNITS, TAILS, CLASSES = 500, 64, 32
 SWEEPS = 8
+PASSES = 1
+WORDS = 20_000  # words a bucket of the exchange has
+BLOCK = 64  # words moved at a time, after the first ones of a bucket
+HELD = 1 << 20  # context keys counted at a time
 BUCKET = 4_000_000  # tokens a bucket of words has, about
 END_HASH = np.uint64(0x1234567887654321)
 ADD = 0.5
@@ -53,17 +61,27 @@ def _read(batch, text: str, ident: str):
         at += n
 
 
-def _frequent(text: str, ident: str, most: int):
-    """Each slice's most frequent training words: candidates for units, with their counts."""
+def _vocabulary(text: str, ident: str):
+    """Training words, their tail groups and counts; a word may come several times."""
+
+    def counted(held):
+        wh, tail = (np.concatenate(x) for x in zip(*held))
+        u, at, c = np.unique(wh, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(tail[at].astype(np.int32)), pa.array(c)], ["w", "tail", "c"])
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             for a, b, wh, tail, doc, folded, s, e, out in _read(batch, text, ident):
-                wh = wh[~out[doc]] if len(wh) else wh
                 if len(wh):
-                    u, c = np.unique(wh, return_counts=True)
-                    top = np.argsort(-c, kind="stable")[: 4 * most]
-                    yield pa.RecordBatch.from_arrays([pa.array(u[top].view(np.int64)), pa.array(c[top])], ["w", "c"])
+                    train = ~out[doc]
+                    held.append((wh[train], tail[train]))
+                    size += len(held[-1][0])
+                if size > HELD:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
 
     return run
 
@@ -86,6 +104,32 @@ class Units:
         return out
 
 
+class Words:
+    """The class of each word: that of the training word, or of an unseen word's unit; then end and start."""
+
+    def __init__(self, words: np.ndarray, cls: np.ndarray, units: Units, unit_cls: np.ndarray):
+        self.words, self.cls = words, cls  # words ascending
+        self.units, self.unit_cls = units, unit_cls.astype(np.uint8)
+        self.end, self.start = int(unit_cls[units.end]), int(unit_cls[units.start])
+        self.k = int(unit_cls.max()) + 1
+
+    def index(self, wh: np.ndarray) -> np.ndarray:
+        """Places of words; the number of words for unseen ones."""
+        if not len(self.words):
+            return np.zeros(len(wh), np.int64)
+        i = np.searchsorted(self.words, wh)
+        i[i == len(self.words)] = 0
+        i[self.words[i] != wh] = len(self.words)
+        return i
+
+    def of(self, wh: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        i = self.index(wh)
+        new = np.flatnonzero(i == len(self.words))
+        out = np.append(self.cls, np.uint8(0))[i].astype(np.int64)
+        out[new] = self.unit_cls[self.units.of(wh[new], tail[new])]
+        return out
+
+
 def _sequence(units: np.ndarray, doc: np.ndarray, n: int, end: int, start: int):
     """Previous and current units of all tokens, ends included, and each token's text."""
     first = np.searchsorted(doc, np.arange(n + 1))
@@ -165,6 +209,147 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS, f
     return cls
 
 
+def _xlx(v):
+    return np.where(v > 0, v * np.log(np.maximum(v, 1)), 0.0)
+
+
+def likelihood(big: np.ndarray) -> float:
+    """The part of the bigram log likelihood that classes decide."""
+    return float(_xlx(big).sum() - _xlx(big.sum(0)).sum() - _xlx(big.sum(1)).sum())
+
+
+def _contexts(text: str, ident: str, known: Words, moving: bool):
+    """Class bigram counts of training text (pair in bucket, blob null); if moving, by bucket of words the
+    packed counts of (word, slot): slots are following classes, preceding classes, the word itself."""
+    k, v = known.k, len(known.words)
+    slots = 2 * k + 1
+    kk = np.concatenate([known.cls, [known.end, known.start]]).astype(np.int64)  # by place; end is place v, start v + 1
+
+    def packed(held):
+        key, c = np.unique(np.concatenate(held), return_counts=True)
+        word, slot = key // slots, (key % slots).astype(np.uint8)
+        ub, lo = np.unique(word // WORDS, return_index=True)
+        blobs = [np.diff(word[x:y], prepend=b * WORDS).astype("<u4").tobytes() + c[x:y].astype("<u4").tobytes() + slot[x:y].tobytes() for b, x, y in zip(ub.tolist(), lo, np.append(lo[1:], len(key)))]
+        return pa.RecordBatch.from_arrays([pa.array(ub), pa.array(blobs, pa.binary()), pa.nulls(len(ub), pa.int64())], ["bucket", "blob", "c"])
+
+    def run(batches):
+        count, held, size = np.zeros(k * k, np.int64), [], 0
+        for batch in batches:
+            for a, b, wh, tail, doc, folded, s, e, out in _read(batch, text, ident):
+                prev, cur, own = _sequence(known.index(wh), doc, b - a, v, v + 1)
+                train = ~out[own]
+                prev, cur = prev[train], cur[train]
+                before, after = kk[prev], kk[cur]
+                count += np.bincount(before * k + after, minlength=k * k)
+                if not moving:
+                    continue
+                p, c = prev < v, cur < v
+                held.append(np.concatenate([prev[p] * slots + after[p], cur[c] * slots + k + before[c], prev[p & (prev == cur)] * slots + 2 * k]))
+                size += len(held[-1])
+                if size > HELD:
+                    yield packed(held)
+                    held, size = [], 0
+        if size:
+            yield packed(held)
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.nulls(len(at), pa.binary()), pa.array(count[at])], ["bucket", "blob", "c"])
+
+    return run
+
+
+def move(big: np.ndarray, old: np.ndarray, ctx: np.ndarray, fixed: int = 2) -> np.ndarray:
+    """New classes of words (frequent ones first) by exchange on their context counts; big is brought up to date."""
+    k, every = len(big), np.arange(len(big))
+    out = old.copy()
+    at = 0
+    while at < len(old):
+        rows = slice(at, at + (1 if at < BLOCK else BLOCK if at < 64 * BLOCK else 8 * BLOCK))
+        at = rows.stop
+        o, m = old[rows], np.arange(len(old[rows]))
+        r, l_, own = ctx[rows, :k].astype(float), ctx[rows, k : 2 * k].astype(float), ctx[rows, 2 * k].astype(float)
+        r[m, o] -= own
+        l_[m, o] -= own
+        w, mine = own[:, None], every == o[:, None]
+        rs, ls = r.sum(1, keepdims=True), l_.sum(1, keepdims=True)
+        # the table without the word: its diagonal, and below the cells that the word's counts touch; the margins
+        # keep what the word's neighbours have by it, which is theirs wherever the word goes
+        d = big[every, every] - mine * (r + l_ + w)
+        right, left = big.sum(1) - mine * (rs + w), big.sum(0) - mine * (ls + w)
+        gain = _xlx(d + r + l_ + w) - _xlx(d + r) - _xlx(d + l_) + _xlx(d)
+        gain -= _xlx(right + rs + w) - _xlx(right) + _xlx(left + ls + w) - _xlx(left)
+        for table, x, other in ((big, r, l_), (big.T, l_, r)):
+            i, c = np.nonzero(x)
+            if len(i):
+                v = x[i, c][:, None]
+                cell = table[:, c].T - mine[i] * v - (c == o[i])[:, None] * (other[i] + mine[i] * w[i])
+                first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+                gain[i[first]] += np.add.reduceat(_xlx(cell + v) - _xlx(cell), first)
+        gain[:, k - fixed :] = -np.inf
+        new = np.where(gain.max(1) > gain[m, o] + 1e-9, gain.argmax(1), o)
+        go = np.flatnonzero(new != o)
+        for c, sign in ((o[go], -1), (new[go], 1)):
+            np.add.at(big, c, sign * r[go])
+            np.add.at(big.T, c, sign * l_[go])
+            np.add.at(big, (c, c), sign * own[go])
+        out[rows] = new
+    return out
+
+
+def _moves(known: Words, big: np.ndarray):
+    """Buckets of packed contexts to their words' classes after a pass."""
+    k = known.k
+    slots = 2 * k + 1
+
+    def run(batches):
+        got: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                m = len(blob) // 9
+                word, c, slot = np.cumsum(np.frombuffer(blob, "<u4", m), dtype=np.int64), np.frombuffer(blob, "<u4", m, 4 * m), np.frombuffer(blob, "u1", m, 8 * m)
+                if b not in got:
+                    got[b] = np.zeros((len(known.cls[b * WORDS : (b + 1) * WORDS]), slots), np.int64)
+                got[b].ravel()[word * slots + slot] += c  # a blob has each (word, slot) once
+        for b, ctx in got.items():
+            old = known.cls[b * WORDS : (b + 1) * WORDS].astype(np.int64)
+            order = np.argsort(-ctx.sum(1), kind="stable")
+            new = old.copy()
+            new[order] = move(big.astype(float), old[order], ctx[order])
+            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([new.astype(np.uint8).tobytes()], pa.binary())], ["bucket", "cls"])
+
+    return run
+
+
+def learned(d: DataFrame, start: Words, passes: int = PASSES) -> tuple[Words, np.ndarray]:
+    """Classes of all training words by distributed exchange, and their class bigram counts."""
+    best, kept, known = -np.inf, None, start
+    buckets = max(parts(d.sparkSession), len(start.words) // WORDS + 1)
+    for p in range(passes + 1):
+        moving = p < passes and len(start.words) > 0
+        found = mapped(d, _contexts("text", "doc_id", known, moving), "bucket long, blob binary, c long")
+        found = cut(found) if moving else found
+        big = np.zeros(known.k * known.k, np.int64)
+        for r in found.filter("blob IS NULL").groupBy("bucket").agg(F.sum("c").alias("c")).collect():  # at most k squared
+            big[r.bucket] = r.c
+        big = big.reshape(known.k, known.k)
+        now = likelihood(big)
+        if kept is None or now > best:
+            best, kept = now, (known, big)
+        if moving and kept[0] is known:
+            cls = known.cls.copy()
+            moved = mapped(found.filter("blob IS NOT NULL").select("bucket", "blob").repartition(buckets, "bucket"), _moves(known, big), "bucket long, cls binary")
+            for r in moved.collect():
+                cls[r.bucket * WORDS : (r.bucket + 1) * WORDS] = np.frombuffer(r.cls, np.uint8)
+            same = bool((cls == known.cls).all())
+            known = Words(known.words, cls, known.units, known.unit_cls)
+            forget(found)
+            if not same:
+                continue
+        elif moving:
+            forget(found)
+        break
+    return kept
+
+
 def _keys(wh: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """What names a text with its id: a hash of its bag of words. Rows of equal id and bag share their sums."""
     with np.errstate(over="ignore"):
@@ -174,7 +359,7 @@ def _keys(wh: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         return (c[first[1:]] - c[first[:-1]]).view(np.int64)
 
 
-def _rows(text: str, ident: str, units: Units, cls: np.ndarray, log_t: np.ndarray):
+def _rows(text: str, ident: str, known: Words, log_t: np.ndarray):
     """A row per document: tokens, transition log10, class counts."""
     k = len(log_t)
 
@@ -182,7 +367,7 @@ def _rows(text: str, ident: str, units: Units, cls: np.ndarray, log_t: np.ndarra
         for batch in batches:
             for a, b, wh, tail, doc, folded, s, e, out in _read(batch, text, ident):
                 n = b - a
-                prev, cur, own = _sequence(cls[units.of(wh, tail)], doc, n, cls[units.end], cls[units.start])
+                prev, cur, own = _sequence(known.of(wh, tail), doc, n, known.end, known.start)
                 trans = np.bincount(own, weights=log_t[prev, cur], minlength=n)
                 by = np.bincount(own * k + cur, minlength=n * k).reshape(n, k)
                 ids = batch.column(ident).slice(a, n).cast(pa.int64())
@@ -194,19 +379,18 @@ def _rows(text: str, ident: str, units: Units, cls: np.ndarray, log_t: np.ndarra
     return run
 
 
-def _pack(text: str, ident: str, units: Units, cls: np.ndarray, buckets: int):
+def _pack(text: str, ident: str, known: Words, buckets: int):
     """Packed words by bucket: which documents (head), then words, documents, counts and classes one after another."""
 
     def run(batches):
         for batch in batches:
             for a, b, wh, tail, doc, folded, s, e, out in _read(batch, text, ident):
                 n = b - a
-                u = units.of(wh, tail)
                 ids = batch.column(ident).slice(a, n).cast(pa.int64())
                 # each text's distinct words, with the end
                 w = np.concatenate([wh, np.full(n, END_HASH)])
                 d = np.concatenate([doc, np.arange(n)])
-                kk = np.concatenate([cls[u], np.full(n, cls[units.end])])
+                kk = np.concatenate([known.of(wh, tail), np.full(n, known.end)])
                 order = np.lexsort((w, d))
                 w, d, kk = w[order], d[order], kk[order]
                 at = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (d[1:] != d[:-1])))
@@ -283,7 +467,8 @@ def score(docs: DataFrame, ident: str = "doc_id", text: str = "text", n_units: i
     """A row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), perplexity."""
     spark = docs.sparkSession
     d = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    top = mapped(d, _frequent("text", "doc_id", n_units), "w long, c long").groupBy("w").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "w").limit(n_units).collect()
+    vocab = cut(mapped(d, _vocabulary("text", "doc_id"), "w long, tail int, c long").groupBy("w").agg(F.min("tail").alias("tail"), F.sum("c").alias("c")))
+    top = vocab.orderBy(F.desc("c"), "w").limit(n_units).collect()
     units = Units(np.array([r.w for r in top], np.int64).view(np.uint64))
     pairs = mapped(d, _bigrams("text", "doc_id", units), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).collect()  # at most units.n squared
     counts = np.zeros(units.n * units.n, np.int64)
@@ -292,14 +477,17 @@ def score(docs: DataFrame, ident: str = "doc_id", text: str = "text", n_units: i
     counts = counts.reshape(units.n, units.n)
     cls = exchange(counts, classes)
     k = int(cls.max()) + 1
-    one = np.eye(k)[cls]
-    trans = one.T @ counts @ one
+    words = vocab.select("w", "tail").toArrow()
+    forget(vocab)
+    wh, tail = words.column(0).to_numpy().view(np.uint64), words.column(1).to_numpy().astype(np.int64)
+    order = np.argsort(wh)
+    known, trans = learned(d, Words(wh[order], cls[units.of(wh, tail)][order].astype(np.uint8), units, cls))
     log_t = np.log10((trans + ADD) / (trans.sum(1, keepdims=True) + ADD * (k - 1)))  # no class follows into start
-    log_t[:, cls[units.start]] = 0.0
-    n_tokens = int(counts.sum())
+    log_t[:, known.start] = 0.0
+    n_tokens = int(trans.sum())
     buckets = max(12, n_tokens // BUCKET + 1)
-    rows = mapped(d, _rows("text", "doc_id", units, cls, log_t), "doc_id long, key long, held_out boolean, n long, logs double, by array<long>")
-    counted = mapped(d, _pack("text", "doc_id", units, cls, buckets), "bucket long, head binary, blob binary").repartition(max(buckets, parts(spark)), "bucket")
+    rows = mapped(d, _rows("text", "doc_id", known, log_t), "doc_id long, key long, held_out boolean, n long, logs double, by array<long>")
+    counted = mapped(d, _pack("text", "doc_id", known, buckets), "bucket long, head binary, blob binary").repartition(max(buckets, parts(spark)), "bucket")
     counted = cut(mapped(counted, _count(k), "kind int, doc_id long, key long, known long, logs double, by array<long>"))
     totals = counted.filter("kind = 1").select("by").agg(*[F.sum(F.col("by")[i]).alias(f"x{i}") for i in range(2 * k)]).first()
     tokens, types = np.array([x or 0 for x in totals[:k]], float), np.array([x or 0 for x in totals[k:]], float)

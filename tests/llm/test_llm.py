@@ -309,6 +309,33 @@ def test_exchange_raises_likelihood():
     assert likelihood(cls) > likelihood(start) + 100
 
 
+def test_every_training_word_is_clustered(spark):
+    # words that end alike and are no units have classes of their own, and the counts are those of all training text
+    r = random.Random(5)
+    a, b = ([f"{c}{i}zz" for i in range(40)] for c in "pq")
+    rows = [(5 * i + 2, " ".join(x for _ in range(30) for x in ("le", r.choice(a), "un", "un", r.choice(b)))) for i in range(40)]
+    rows = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = []
+    learned = brown_lm.learned
+    mp = pytest.MonkeyPatch()
+    mp.setattr(brown_lm, "learned", lambda *x: seen.append(learned(*x)) or seen[-1])
+    mp.setattr(brown_lm, "WORDS", 16)
+    got = brown_lm.score(d, n_units=2, classes=4).collect()
+    mp.undo()
+    known, big = seen[0]
+    assert len(known.words) == 82 and len(got) == len(rows)
+    import pyarrow as pa
+
+    def cls(ws):
+        data, offs = tokens.buffer(pa.array([" ".join(ws)]))
+        folded, s, e, _ = tokens.words(data, offs)
+        return Counter(known.cls[known.index(tokens.hashes(folded, s, e))].tolist())
+
+    assert len(cls(a) + cls(b)) > 1, (cls(a), cls(b))  # their ending's group is one class
+    assert big.sum() == sum(len(t.split()) + 1 for _, t in rows)
+
+
 def page(body, n=0):
     return f"<!DOCTYPE html><html><head><title>t{n}</title><style>p{{}}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href='/x'>menu{n}</a></li></ul></nav><div class=\"ad\">buy {n}</div>{body}<aside>side</aside><form>name <input></form><div id='comments'><p>nice {n}</p></div><footer>&copy; x</footer></body></html>"
 
