@@ -14,8 +14,11 @@ words); two texts link when 4 * intersection >= 3 * union. The join is exact up
    classes, or of a class and all below a node of an R-tree, whose coordinates are maxima.
 4. A family's sets meet once, in tiles of bounded size. Classes are verified along a spanning forest of
    the highest bounds first and contracted; then the tree gives all pairs of different components whose
-   bound reaches 3/7 of both sizes, and they are verified too. Pairs inside a component need no look:
-   they can't change it.
+   bound reaches 3/7 of both sizes, and they are verified too. Pairs inside a component need no look
+   for the components: they can't change them.
+5. For the number of links, all pairs of classes of a tile are verified instead: their intersections are
+   counted over an index from shingles to classes. A tile returns each class's number of linked documents
+   and a spanning set of links, not the pairs, so rows don't grow with the square of a family.
 
 Large blocks and families are tiled. Links and components stay in tables in the shared folder.
 
@@ -401,11 +404,44 @@ def _settled(x: dict, n, slot, across: bool):
                 yield q, j
 
 
+class _Linked:
+    """All verified links: a spanning set of them, and each class's number of documents linked to."""
+
+    def __init__(self):
+        self.links = np.zeros(0, np.int64)
+
+    def __call__(self, x: dict, n, slot, across: bool):
+        sets = [_unpacked(b) for b in x["data"]]
+        m, size = len(sets), np.array([len(s) for s in sets])
+        own = np.repeat(np.arange(m), size)
+        _, at = np.unique(np.concatenate(sets), return_inverse=True)
+        by = own[np.argsort(at, kind="stable")]
+        first = np.concatenate([[0], np.cumsum(np.bincount(at))])
+        of = np.concatenate([[0], np.cumsum(size)])
+        self.links, roots = np.zeros(m, np.int64), _Roots(m)
+        for q in range(m):
+            both = np.zeros(m, np.int64)
+            mine = at[of[q] : of[q + 1]]
+            for s in range(0, len(mine), 1024):
+                lo, hi = first[mine[s : s + 1024]], first[mine[s : s + 1024] + 1]
+                n_ = hi - lo
+                both += np.bincount(by[np.repeat(lo - np.cumsum(n_) + n_, n_) + np.arange(n_.sum())], minlength=m)
+            hit = 4 * both >= 3 * (size[q] + size - both)
+            hit[q] = False
+            if across:
+                hit &= slot != slot[q]
+            hit = np.flatnonzero(hit)
+            self.links[q] = x["m"][hit].sum()
+            for j in hit[hit > q].tolist():
+                if roots.join(q, j):
+                    yield q, j
+
+
 def _tiles(pick):
     """Pairs that `pick` takes in each tile; rows come sorted by (g, t1, t2)."""
 
     def run(batches):
-        names = ["g", "t1", "t2", "slot", "c", "n", "data"]
+        names = ["g", "t1", "t2", "slot", "c", "n", "m", "data"]
         held, key, out = [], None, []
 
         def close():
@@ -416,12 +452,14 @@ def _tiles(pick):
                 return
             for i, j in pick(x, x["n"].astype(np.int64), x["slot"], x["t1"][0] != x["t2"][0]):
                 a, b = sorted([(int(x["c"][i]), int(x["n"][i])), (int(x["c"][j]), int(x["n"][j]))])
-                out.append((*a, *b))
+                out.append((*a, *b, 0))
+            if isinstance(pick, _Linked):
+                out.extend((c, k, None, None, v) for c, k, v in zip(x["c"].tolist(), x["n"].tolist(), pick.links.tolist()) if v)
 
         def flush():
-            cols = list(zip(*sorted(set(out)))) if out else [[], [], [], []]
+            cols = list(zip(*out)) if out else [[], [], [], [], []]
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32()))], ["a", "na", "b", "nb"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()))], ["a", "na", "b", "nb", "links"])
 
         for batch in batches:
             cols = {k: (batch.column(k).to_pylist() if k == "data" else batch.column(k).to_numpy()) for k in names}
@@ -444,13 +482,13 @@ def _tiles(pick):
 
 
 def _tiled(members: DataFrame, pick) -> DataFrame:
-    """members (g, c, n, data) to the pairs (a, na, b, nb) that `pick` takes in their groups, cut into tiles of TILE classes and TILE_SHINGLES shingles at most."""
+    """members (g, c, n, m documents, data) to the pairs (a, na, b, nb) that `pick` takes in their groups (b null: links of a), cut into tiles of TILE classes and TILE_SHINGLES shingles at most."""
     size = members.groupBy("g").agg(F.count("*").alias("size"), F.sum(F.col("n").cast("long")).alias("all")).filter("size > 1")
     tiles = F.ceil(F.greatest(F.col("size") / TILE, F.col("all") / TILE_SHINGLES)).cast("int")
     m = members.join(size, "g").withColumn("tiles", tiles).withColumn("slot", F.pmod(F.xxhash64("c", "n"), F.col("tiles").cast("long")).cast("int"))
     m = m.withColumn("t", F.explode(F.expr("transform(sequence(0, tiles - 1), t -> struct(least(t, slot) AS t1, greatest(t, slot) AS t2))")))
-    m = m.select("g", "t.t1", "t.t2", "slot", "c", "n", "data").repartition(parts(members.sparkSession), "g", "t1", "t2").sortWithinPartitions("g", "t1", "t2", "c", "n")
-    return mapped(m, _tiles(pick), "a long, na int, b long, nb int").distinct()
+    m = m.select("g", "t.t1", "t.t2", "slot", "c", "n", "m", "data").repartition(parts(members.sparkSession), "g", "t1", "t2").sortWithinPartitions("g", "t1", "t2", "c", "n")
+    return mapped(m, _tiles(pick), "a long, na int, b long, nb int, links long").groupBy("a", "na", "b", "nb").agg(F.sum("links").alias("links"))
 
 
 def _needed_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -466,8 +504,8 @@ def _needed_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return sets.groupBy("c", "n").agg(F.min("s").alias("data"))
 
 
-def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs."""
+def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs; with links, n_links too: the other rows it links with."""
     spark = docs.sparkSession
     docs = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
     described = cut(mapped(docs, _describe("text", "doc_id"), "kind int, doc_id long, cid long, n int, point binary"))
@@ -483,7 +521,7 @@ def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> D
     packed = mapped(docs.select("text"), _prefixes("text", buckets, frequent, rank), "bucket int, blob binary")
     found = cut(mapped(packed.repartition(buckets, "bucket"), _blocks, "h long, a long, na int, b long, nb int"))
     # classes are named by one number from here on: their smallest document, or the class id without one
-    classes = cut(rows.filter("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("doc"), F.any_value("point").alias("point")).withColumn("node", F.coalesce("doc", "cid")))
+    classes = cut(rows.filter("n > 0").groupBy("cid", "n").agg(F.min("doc_id").alias("doc"), F.count("*").alias("m"), F.any_value("point").alias("point")).withColumn("node", F.coalesce("doc", "cid")))
     point = classes.select(F.col("cid").alias("c"), "n", "node", "point")
 
     small = found.filter("h IS NULL").select("a", "na", "b", "nb").distinct()
@@ -491,21 +529,28 @@ def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> D
     small = small.join(point.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb")), ["b", "nb"])
     small = mapped(small.select("a", "na", "b", "nb", "pa", "pb"), _bounded, "a long, na int, b long, nb int")
     large = found.filter("h IS NOT NULL").select(F.col("h").alias("g"), F.col("a").alias("c"), F.col("na").alias("n"))
-    large = large.join(point.select("c", "n", F.col("point").alias("data")), ["c", "n"])
-    families = components(_named(small.union(_tiled(large, _joined)), classes))
+    large = large.join(point.select("c", "n", F.lit(0).cast("long").alias("m"), F.col("point").alias("data")), ["c", "n"])
+    families = components(_named(small.union(_tiled(large, _joined).drop("links")), classes))
     forget(found)
 
-    members = cut(classes.select("cid", "n", "node", "doc").join(families, "node").select(F.col("label").alias("g"), F.col("cid").alias("c"), "n", "doc"))
+    members = cut(classes.select("cid", "n", "m", "node", "doc").join(families, "node").select(F.col("label").alias("g"), F.col("cid").alias("c"), "n", "m", "doc"))
     sets = _needed_sets(docs, members)
-    links = _named(_tiled(members.select("g", "c", "n").join(sets, ["c", "n"]), _settled), classes)
-    comp = components(links)
+    found = _tiled(members.select("g", "c", "n", "m").join(sets, ["c", "n"]), _Linked() if links else _settled)
+    found = cut(found) if links else found
+    comp = components(_named(found.filter("b IS NOT NULL").drop("links"), classes))
     forget(members)
 
-    out = classes.select("cid", "n", "node", "doc").join(comp, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    out = classes.select("cid", "n", "m", "node", "doc").join(comp, "node", "left").withColumn("label", F.coalesce("label", "node"))
     low = out.groupBy("label").agg(F.min("doc").alias("component_id"))
-    out = out.join(low, "label").select("cid", "n", "component_id")
+    out = out.join(low, "label").select("cid", "n", "m", "component_id")
+    if links:
+        linked = found.filter("b IS NULL").select(F.col("a").alias("cid"), F.col("na").alias("n"), "links")
+        out = out.join(linked, ["cid", "n"], "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("m") - 1)
+        out = out.drop("links")
     got = rows.select("doc_id", "cid", "n").join(out, ["cid", "n"], "left")
-    return got.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    more = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if links else []
+    return got.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component, *more)
 
 
 def _named(e: DataFrame, classes: DataFrame) -> DataFrame:
@@ -516,4 +561,4 @@ def _named(e: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def op1(spark, sf_dir):
-    return near_groups(table(spark, sf_dir, "documents"))
+    return near_groups(table(spark, sf_dir, "documents"), links=True)

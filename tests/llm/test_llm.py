@@ -82,6 +82,19 @@ def test_jaccard_join_tiles_and_large_blocks(spark, docs, monkeypatch):
     assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in jaccard_join.near_groups(docs).collect())
 
 
+@pytest.mark.parametrize("tile", [4, 4096])
+def test_jaccard_join_counts_every_link(spark, docs, monkeypatch, tile):
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    rows = [(r.doc_id, shingles(r.text)) for r in docs.collect()]
+    links = Counter(sum(bool(s) and 4 * len(s & t) >= 3 * len(s | t) for t_, (_, t) in enumerate(rows) if t_ != k) * 10_000 + i for k, (i, s) in enumerate(rows))
+    got = jaccard_join.near_groups(docs, links=True)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+    got = got.collect()
+    want = brute_components([(r[0], r[1]) for r in corpus()])
+    assert Counter(r.n_links * 10_000 + r.doc_id for r in got) == links and max(r.n_links for r in got) > 40
+    assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got)
+
+
 def test_large_blocks_through_the_tree():
     rng = np.random.default_rng(0)
     pts = rng.integers(0, 4, (300, jaccard_join.COARSE))
