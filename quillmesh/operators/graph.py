@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import os
 import tempfile
 
@@ -113,12 +115,12 @@ def relaxed(names: DataFrame, known: DataFrame, name: str = "name", key: str = "
     return p.groupBy(name).agg(F.max_by(key, F.length(key)).alias(key))
 
 
-def set_cover(coverage: DataFrame, lib: str = "lib_id", name: str = "lib_name", item: str = "import", limit: int = 10_000) -> DataFrame:
-    """(step, lib, covered): greedily, the library with most items still uncovered; ties go to the greatest name."""
+def set_cover(coverage: DataFrame, lib: str = "lib_id", name: str = "lib_name", item: str = "import") -> DataFrame:
+    """(step, lib, covered): greedily, the library with most items still uncovered, until none is left; ties go to the greatest name. Rows without library or item are ignored."""
     spark = coverage.sparkSession
-    left = written(coverage.select(lib, name, item).distinct())
+    left = written(coverage.select(lib, name, item).dropna(subset=[lib, item]).distinct())
     steps = []
-    for k in range(limit):
+    for k in itertools.count():  # each step covers an item at least
         top = left.groupBy(lib, name).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc(name), F.desc(lib)).first()
         if top is None:
             break
@@ -128,17 +130,17 @@ def set_cover(coverage: DataFrame, lib: str = "lib_id", name: str = "lib_name",
     return spark.createDataFrame(steps, f"step int, {lib} {dict(coverage.dtypes)[lib]}, covered long")
 
 
-def prefix_cover(coverage: DataFrame, lib: str = "lib_id", item: str = "import", limit: int = 10_000) -> tuple[list, DataFrame]:
+def prefix_cover(coverage: DataFrame, lib: str = "lib_id", item: str = "import") -> tuple[list, DataFrame]:
     """Libraries preferred by name: for each import the library whose id has the longest prefix in common with it, beyond its second dot (else 10).
 
     Returns the libraries in order and the coverage that is left.
     """
-    left = written(coverage.select(lib, item).distinct())
+    left = written(coverage.select(lib, item).dropna().distinct())
     ident = F.when(F.col(lib).startswith("com.google.android") & F.col(item).startswith("android"), F.substring(F.col(lib), F.lit(12), F.length(lib))).otherwise(F.col(lib))
     second = F.length(F.substring_index(item, ".", 2))
     least = F.when(F.size(F.split(item, r"\.")) > 2, second).otherwise(F.lit(10))
     chosen = []
-    for _ in range(limit):
+    while True:
         fit = left.withColumn("front", T.common_prefix(ident, F.col(item))).filter(F.col("front") > least)
         top = fit.orderBy(item, F.desc("front"), lib).first()
         if top is None:

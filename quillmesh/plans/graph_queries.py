@@ -134,7 +134,7 @@ def import_report(spark, d):
 
 
 def _coverage(spark, d):
-    li = read(spark, d, "lineitem").filter("l_partkey % 10 = 0")
+    li = read(spark, d, "lineitem")
     return li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("lib_id"), F.concat(F.lit("n"), F.col("l_suppkey").cast("string")).alias("lib_name"), F.concat(F.lit("p."), F.col("l_partkey").cast("string"), F.lit(".x")).alias("import")).distinct()
 
 
@@ -147,6 +147,8 @@ def set_cover(spark, d):
 @query()
 def prefix_cover(spark, d):
     c = spark.createDataFrame([("org.apache.foo", "org.apache.foo.A"), ("org.apache", "org.apache.foo.A"), ("com.x", "org.apache.bar.B"), ("org.apache.bar.z", "org.apache.bar.B")], "lib_id string, import string")
+    name = lambda k, last: F.concat(F.lit("org.p"), (F.col(k) % 20).cast("string"), F.lit(last))
+    c = c.union(read(spark, d, "lineitem").select(name("l_suppkey", ".s"), F.concat(name("l_partkey", ".c"), F.col("l_partkey").cast("string"))))
     chosen, _ = graph.prefix_cover(c)
     return spark.createDataFrame(list(enumerate(chosen)), "step int, lib_id string")
 
