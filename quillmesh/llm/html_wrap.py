@@ -1,6 +1,6 @@
 """Main text of pages by union-free wrappers inferred per host (operator 5).
 
-A page is read as a stream of blocks, each with its signature: the block's tag inside its containers.
+A page is read as a stream of blocks, each with its signature: the block's tag inside all its containers.
 Runs of a signature fold into a repeated group. The streams of a host's pages are aligned one after
 another to a wrapper, a union-free regular expression: what only some pages have becomes optional,
 what repeats in any page becomes a repeated group, and texts that differ become text slots, while equal
@@ -81,7 +81,7 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
         if buf:
             text = " ".join(htmllib.unescape("".join(buf)).split())
             if text:
-                out.append(("/".join(x[1] for x in stack[-6:]) + "/" + tag_of_block, bool(stack) and stack[-1][2], text))
+                out.append(("/".join(x[1] for x in stack) + "/" + tag_of_block, bool(stack) and stack[-1][2], text))
             buf.clear()
 
     while at < n:
@@ -222,7 +222,7 @@ def article_signatures(wrapper: list[list]) -> list[str]:
         return []
     top = max(sorted(by), key=lambda k: by[k])
     # its container, what is nested in it, and containers that hold as much of the text in their own right
-    return sorted({p[0] for p in good if (q := p[0].rpartition("/")[0]).startswith(top) or by[q] * 4 >= by[top]})
+    return sorted({p[0] for p in good if (q := p[0].rpartition("/")[0]) == top or q.startswith(top + "/") or by[q] * 4 >= by[top]})
 
 
 def _infer(url_host: str, page: str):

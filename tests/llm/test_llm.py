@@ -371,6 +371,17 @@ def test_html(spark):
     assert html_wrap.extract(d.limit(0)).count() == 0
 
 
+def test_html_nested_deep(spark):
+    cell = "<table><tbody><tr><td>cell {0}</td></tr></tbody></table><ul><li>item {0}</li></ul>"
+    deep = lambda n: "<section>" * 10 + cell.format(n) + "</section>" * 10
+    long = "Long text of the page that is most of it, number "
+    rows = [(i, f"http://a.example.com/{i}", page(f"<article><p>{long}{i}</p>{deep(i)}</article>", i)) for i in range(3)]
+    rows += [(i, f"http://b.example.com/{i}", page(f"<div><div class='content'><p>{long}{i}</p>{deep(i)}</div></div>", i)) for i in range(3, 6)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in html_wrap.extract(d).collect():
+        assert r.text.split("\n") == [f"{long}{r.page_id}", f"cell {r.page_id}", f"item {r.page_id}"]
+
+
 def test_wrappers_align():
     s = lambda *tags: html_wrap.stream([(t, False, t + str(i)) for i, t in enumerate(tags)])
     w = html_wrap.align(s("h", "p", "p", "f"), s("h", "x", "p", "f"))
