@@ -79,4 +79,6 @@ def import_report(used: DataFrame, related: DataFrame) -> DataFrame:
     nothing = used.sparkSession.createDataFrame([], "import string")
     ok = flt.new_imports(used, nothing, nothing)
     u = used.select("cluster_id", "import").distinct().join(ok, "import", "left_semi")
-    return u.join(related.select("pkg"), F.col("import").startswith(F.concat("pkg", F.lit("."))), "left_anti") if related.limit(1000).count() < 1000 else u.withColumn("pkg", F.regexp_extract("import", r"^(.*)\.[^.]*$", 1)).join(related, "pkg", "left_anti").drop("pkg")
+    fronts = F.expr(r"transform(sequence(1, size(split(import, '[.]'))), i -> substring_index(import, '.', i))")
+    of = u.select("import", F.explode(fronts).alias("pkg")).filter("pkg <> import").join(related.select("pkg"), "pkg", "left_semi")
+    return u.join(of.select("import").distinct(), "import", "left_anti").select("cluster_id", "import")

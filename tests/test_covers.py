@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from quillmesh.operators import graph
+from quillmesh.operators import graph, libraries
 from quillmesh.plans import catalogue
 
 DATA = Path("/root/testdata/sf0.001")
@@ -30,3 +30,10 @@ def test_set_cover_of_all_parts(spark):
 def test_covers_end_with_nulls(spark):
     c = spark.createDataFrame([("x", "x", "a.b.c"), ("x", "x", None), (None, "y", "a.b.d")], "lib_id string, lib_name string, import string")
     assert [tuple(r) for r in graph.set_cover(c).collect()] == [(0, "x", 1)]
+
+
+def test_import_report_at_every_size(spark):
+    used = spark.createDataFrame([(1, "a.b.C"), (1, "a.b.C"), (2, "a.C"), (2, "ab.C"), (3, "c.D"), (3, "plain")], "cluster_id int, import string")
+    for more in (0, 1200):
+        related = spark.createDataFrame([("a",)] + [(f"z{i}",) for i in range(more)], "pkg string")
+        assert sorted(map(tuple, libraries.import_report(used, related).collect())) == [(2, "ab.C"), (3, "c.D"), (3, "plain")]
