@@ -10,7 +10,8 @@ a host's are merged in two levels; a host that holds most pages is spread over a
 The wrapper decides which items are the article: those in an article or main container, if the host has
 one; else the container with most slot text. Items in menus, headers, footers, sidebars, notices,
 adverts, forms and comments (by element, role or class) never are; outside an article element, template
-text seen on at least CONSTANT pages isn't either.
+text seen on at least CONSTANT pages isn't either. A page that this leaves empty is of another template
+and is decided on by its own wrapper.
 
 Null and empty html, and pages without an article, give an empty string. Pages without a host are a
 host of their own. Repeated pages give their text each; texts of any length are read whole; an empty
@@ -272,11 +273,18 @@ def _signatures(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([article_signatures(json.loads(w)) for w in b.column(1).to_pylist()], pa.list_(pa.string()))], ["host", "signs"])
 
 
+def _text(page: str, keep) -> str:
+    found = blocks(page)
+    if not any(s in keep and not bad for s, bad, _ in found):  # of another template than the host's article
+        keep = set(article_signatures(squeeze(stream(found))))
+    return "\n".join(t for s, bad, t in found if s in keep and not bad)
+
+
 def _texts(html: str, out: str, known, cols):
     def run(batches):
         for b in batches:
             keep = [known.get(h, ()) for h in b.column("_host").to_pylist()] if known is not None else [set(x or ()) for x in b.column("_signs").to_pylist()]
-            texts = ["\n".join(t for s, bad, t in blocks(p) if s in k and not bad) if p else "" for p, k in zip(b.column(html).to_pylist(), keep)]
+            texts = [_text(p, k) if p else "" for p, k in zip(b.column(html).to_pylist(), keep)]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in cols], pa.array(texts, pa.string())], [*cols, out])
 
     return run

@@ -382,6 +382,18 @@ def test_html_nested_deep(spark):
         assert r.text.split("\n") == [f"{long}{r.page_id}", f"cell {r.page_id}", f"item {r.page_id}"]
 
 
+def test_html_pages_of_another_template(spark):
+    rows = [(i, f"http://a.example.com/{i}", page(f"<article><p>Article text number {i}</p></article>", i)) for i in range(4)]
+    rows.append((4, "http://a.example.com/4", page("<div class='content'><h1>Other head</h1><p>Other template text</p></div>", 4)))
+    rows += [(i, f"http://b.example.com/{i}", page(f"<div class='content'><p>{'Long text of a page. ' * 30}{i}</p></div>", i)) for i in range(5, 9)]
+    rows.append((9, "http://b.example.com/9", page("<div class='recipe'><p>A short one.</p></div>", 9)))
+    rows += [(i, f"http://c.example.com/{i}", page("<div class='content'><h1>Copy</h1><p>One paragraph.</p></div>")) for i in range(10, 15)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_wrap.extract(d).collect()}
+    assert got[0] == "Article text number 0" and got[4] == "Other head\nOther template text"
+    assert got[9] == "A short one." and got[12] == "Copy\nOne paragraph."
+
+
 def test_wrappers_align():
     s = lambda *tags: html_wrap.stream([(t, False, t + str(i)) for i, t in enumerate(tags)])
     w = html_wrap.align(s("h", "p", "p", "f"), s("h", "x", "p", "f"))
