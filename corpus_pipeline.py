@@ -26,12 +26,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of smallest id, of each group that near-duplicate links hold together."""
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id"), -F.abs(F.xxhash64("text") / 2).cast("long") - 1))
-    groups = jaccard_join.near_groups(keyed, ident="_key")
-    stay = groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("_rows"))
-    kept = keyed.join(stay, "_key")
+    # a key for each id and text, so that only links hold rows together; null ids go by their text
+    ident = F.coalesce(F.col("doc_id"), -F.abs(F.xxhash64("text") / 2).cast("long") - 1)
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()))
+    groups = jaccard_join.near_groups(keyed, ident="_key").select(F.col("doc_id").alias("_key"), "component_id")
+    groups = groups.groupBy("_key").agg(F.min("component_id").alias("component_id"), F.count("*").alias("_rows"))
+    ids = keyed.groupBy("_key").agg(F.min(ident).alias("_id"))
+    least = groups.join(ids, "_key").groupBy("component_id").agg(F.min(F.struct("_id", "_key", "_rows")).alias("s"))
+    kept = keyed.join(least.select("s._key", "s._rows"), "_key")
     once = kept.filter("_rows = 1").select(*docs.columns)
-    # an id on several rows: its first text stays
+    # repeated rows: the first stays
     w = Window.partitionBy("_key").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
     again = kept.filter("_rows > 1").withColumn("_row", F.row_number().over(w)).filter("_row = 1").select(*docs.columns)
     return once.unionByName(again)

@@ -462,6 +462,16 @@ def test_quality(spark):
     assert all(x.keep for x in quality.classify(d, lab.limit(0)).collect()) and quality.classify(d.limit(0), lab).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    import corpus_pipeline
+
+    text = lambda k, last: " ".join(f"{k}{i}" for i in range(60)) + last
+    rows = [(3, text("a", " x")), (7, text("a", " y")), (7, text("b", "")), (7, text("c", "")), (7, text("c", "")), (9, text("c", " z")), (None, text("d", "")), (8, None), (8, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(map(tuple, corpus_pipeline.near_duplicates_stage(spark, d, "").collect()))
+    assert got == Counter([rows[0], rows[2], rows[3], rows[6], rows[7], rows[8]])
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
