@@ -3,21 +3,25 @@
 P(w | previous) = P(class of w | class of previous) * P(w | class of w), additively smoothed. Documents
 whose crc32(id) mod 5 is not 1 are the training text.
 
-1. Classes: every training word is clustered, at every input size. The start: the UNITS most frequent
-   words each, and all others by their last two bytes (64 hashed groups), with the text's end and start,
-   are put in CLASSES classes by exchange over their bigram counts. Then PASSES distributed passes
-   exchange single words: a word's counts of preceding and following classes meet in its bucket, which
-   moves its words one block after another against its own copy of the class bigram table. A pass stays
-   if the bigram likelihood of the whole training text rose. What is gathered is the class of each
-   training word (17 bytes a word on the driver), so it grows with the vocabulary. Words that only
-   held-out texts have take the class of their unit.
-2. Word counts: every distinct (document, word) goes to its word's bucket once, packed. A bucket has
-   all occurrences of its words, so it counts the training tokens and scores its words' share of every
-   document in one go; counts are neither cut off nor sampled and no table of words is gathered.
-3. Transitions are scored where the text is read, from the class bigram counts (CLASSES squared).
+1. Words: every training word is counted, in a distributed table. Those of the highest counts, FREQUENT at
+   most, go to all tasks (17 bytes each); every other word stays in the table, at every input size.
+2. Coding: the text is read once more and written as slices of word codes: a frequent word's place, or a
+   place in the slice's own list of other words. What the table knows of these comes by a join on the
+   word; being rare in the training text, they are no hot keys.
+3. Classes: the start puts the UNITS most frequent words each, and all others by their last two bytes (64
+   hashed groups), with the text's end and start, in CLASSES classes by exchange over their bigram counts.
+   Then one distributed pass exchanges every single training word: a word's counts of preceding and
+   following classes meet in its bucket, which moves its words one block after another against its own
+   copy of the class bigram table. The pass stays if the bigram likelihood of the whole training text
+   rose. Words that only held-out texts have take the class of their unit.
+4. Scores: the slices, joined with their other words' counts and classes, are counted (class bigrams) and
+   scored where they stand, a row a document. Counts are neither cut off nor sampled, nothing that grows
+   with the input is gathered on the driver, and the classes don't depend on how rows are dealt.
 
 Null texts are empty: they have one token, the end. A null id counts as training. Repeated rows are
-scored each and train each. An empty table gives no rows; without training text all counts are zero.
+scored each and train each. Texts of any length are read whole (a slice has one text at least). Words of
+equal counts go to the same side of the frequent table; moves of equal gain take the first class. An
+empty table gives no rows; without training text all counts are zero. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,20 +30,21 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm import tokens as tk
-from quillmesh.llm.util import cut, forget, mapped, parts, table
+from quillmesh.llm.util import cut, forget, mapped, table
 
 UNITS, TAILS, CLASSES = 500, 64, 32
+FREQUENT = 1 << 17  # words that go to all tasks
 SWEEPS = 8
-PASSES = 1
-WORDS = 20_000  # words a bucket of the exchange has
+WORDS = 1 << 14  # words a bucket of the exchange has, about
 BLOCK = 64  # words moved at a time, after the first ones of a bucket
-HELD = 1 << 20  # context keys counted at a time
-BUCKET = 4_000_000  # tokens a bucket of words has, about
-END_HASH = np.uint64(0x1234567887654321)
+HELD = 1 << 21  # words or context keys counted at a time
+SLICE = 1 << 18  # bytes of text a coded slice has, about
+ROW_GROUP = 16 << 20  # bytes of slices that are read at a time
 ADD = 0.5
 
 
@@ -47,36 +52,39 @@ def held_out(ids: list) -> np.ndarray:
     return np.array([i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i in ids], bool)
 
 
-def _read(batch, text: str, ident: str):
-    """Slices: (from, to, word hashes, tail groups, document of each word, word lists' bounds, held out)."""
+def word_ids(folded: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """A word's 64-bit name: 58 bits of its hash above its ending's group of TAILS."""
+    if not len(s):
+        return np.zeros(0, np.int64)
+    tail = (folded[e - 1].astype(np.int64) * 31 + folded[np.maximum(e - 2, s)] * 7) % TAILS
+    return (tk.hashes(folded, s, e) & ~np.uint64(TAILS - 1) | tail.astype(np.uint64)).view(np.int64)
+
+
+def _read(batch, text: str, ident: str, budget: int):
+    """Slices: (from, to, names of words, document of each word, held out)."""
     at = 0
     while at < batch.num_rows:
         data, offs = tk.buffer(batch.column(text).slice(at))
-        n = min(max(1, int(np.searchsorted(offs, 1 << 21, "right")) - 1), 1 << 16)
-        data, offs = data[: offs[n]], offs[: n + 1]
-        folded, s, e, doc = tk.words(data, offs)
-        wh = tk.hashes(folded, s, e)
-        tail = (folded[e - 1].astype(np.int64) * 31 + folded[np.maximum(e - 2, s)] * 7) % TAILS if len(s) else np.zeros(0, np.int64)
-        yield at, at + n, wh, tail, doc, folded, s, e, held_out(batch.column(ident).slice(at, n).to_pylist())
+        n = max(1, int(np.searchsorted(offs, budget, "right")) - 1)
+        folded, s, e, doc = tk.words(data[: offs[n]], offs[: n + 1])
+        yield at, at + n, word_ids(folded, s, e), doc, held_out(batch.column(ident).slice(at, n).to_pylist())
         at += n
 
 
 def _vocabulary(text: str, ident: str):
-    """Training words, their tail groups and counts; a word may come several times."""
+    """Training words and their counts; a word may come several times."""
 
     def counted(held):
-        wh, tail = (np.concatenate(x) for x in zip(*held))
-        u, at, c = np.unique(wh, return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(tail[at].astype(np.int32)), pa.array(c)], ["w", "tail", "c"])
+        w, c = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(w), pa.array(c)], ["w", "c"])
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for a, b, wh, tail, doc, folded, s, e, out in _read(batch, text, ident):
-                if len(wh):
-                    train = ~out[doc]
-                    held.append((wh[train], tail[train]))
-                    size += len(held[-1][0])
+            for a, b, w, doc, out in _read(batch, text, ident, 1 << 20):
+                if len(w):
+                    held.append(w[~out[doc]])
+                    size += len(held[-1])
                 if size > HELD:
                     yield counted(held)
                     held, size = [], 0
@@ -86,69 +94,104 @@ def _vocabulary(text: str, ident: str):
     return run
 
 
-class Units:
-    """The unit of each word: its own, or its tail's group; then end and start."""
-
-    def __init__(self, words: np.ndarray):
-        self.words = np.sort(words)
-        self.n = len(words) + TAILS + 2
-        self.end, self.start = self.n - 2, self.n - 1
-
-    def of(self, wh: np.ndarray, tail: np.ndarray) -> np.ndarray:
-        out = tail + len(self.words)
-        if len(self.words) and len(wh):
-            i = np.searchsorted(self.words, wh)
-            i[i == len(self.words)] = 0
-            own = self.words[i] == wh
-            out[own] = i[own]
-        return out
-
-
-class Words:
-    """The class of each word: that of the training word, or of an unseen word's unit; then end and start."""
-
-    def __init__(self, words: np.ndarray, cls: np.ndarray, units: Units, unit_cls: np.ndarray):
-        self.words, self.cls = words, cls  # words ascending
-        self.units, self.unit_cls = units, unit_cls.astype(np.uint8)
-        self.end, self.start = int(unit_cls[units.end]), int(unit_cls[units.start])
-        self.k = int(unit_cls.max()) + 1
-
-    def index(self, wh: np.ndarray) -> np.ndarray:
-        """Places of words; the number of words for unseen ones."""
-        if not len(self.words):
-            return np.zeros(len(wh), np.int64)
-        i = np.searchsorted(self.words, wh)
-        i[i == len(self.words)] = 0
-        i[self.words[i] != wh] = len(self.words)
+class Frequent:
+    """The words that go to all tasks, with their counts: names ascending, and a table of slots to look them up."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        order = np.argsort(words)
+        self.words, self.counts = words[order], counts[order]
+        self.n = len(words)
+        self.slots = np.full(1 << 20, -1, np.int32)
+        self.slots[self._slot(self.words)] = np.arange(self.n)  # of several words in a slot the last one
+
+    def _slot(self, w: np.ndarray) -> np.ndarray:
+        return w.view(np.uint64) >> np.uint64(44)
+
+    def codes(self, w: np.ndarray) -> np.ndarray:
+        """Places of words; -1 for others."""
+        i = self.slots[self._slot(w)].astype(np.int64)
+        if not self.n:
+            return i
+        odd = np.flatnonzero((i >= 0) & (self.words[i] != w))
+        j = np.searchsorted(self.words, w[odd])
+        j[j == self.n] = 0
+        i[odd] = np.where(self.words[j] == w[odd], j, -1)
         return i
 
-    def of(self, wh: np.ndarray, tail: np.ndarray) -> np.ndarray:
-        i = self.index(wh)
-        new = np.flatnonzero(i == len(self.words))
-        out = np.append(self.cls, np.uint8(0))[i].astype(np.int64)
-        out[new] = self.unit_cls[self.units.of(wh[new], tail[new])]
-        return out
+
+def _coded(text: str, ident: str, freq: Frequent):
+    """Slices of coded text: ids, held out, words of each text, codes; other words are coded by their place in `rest`."""
+
+    def run(batches):
+        serial = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for a, b, w, doc, out in _read(batch, text, ident, SLICE):
+                code = freq.codes(w)
+                new = np.flatnonzero(code < 0)
+                rest, at = np.unique(w[new], return_inverse=True)
+                code[new] = freq.n + at
+                count = np.bincount(doc, minlength=b - a).astype("<u4")
+                ids = batch.column(ident).slice(a, b - a).cast(pa.int64())
+                blobs = [pa.array([x.tobytes()], pa.binary()) for x in (out.astype(np.uint8), count, code.astype("<u4"))]
+                yield pa.RecordBatch.from_arrays([pa.array([serial]), pa.array([ids.to_pylist()], pa.list_(pa.int64())), *blobs, pa.array([rest], pa.list_(pa.int64()))], CODED)
+                serial += 1
+
+    return run
+
+
+CODED = ["slice", "ids", "out", "count", "codes", "rest"]
+CODED_TYPE = "slice long, ids array<long>, out binary, count binary, codes binary, rest array<long>"
+
+
+class Slice:
+    """A coded slice as a sequence of tokens, ends included: previous and current codes, and each one's text.
+
+    Codes below n are frequent words, then come the rest, then end and start.
+    """
+
+    def __init__(self, batch, i: int, n: int):
+        col = lambda c: batch.column(batch.schema.get_field_index(c))[i]
+        self.ids = col("ids").values
+        self.out = np.frombuffer(col("out").as_buffer(), np.uint8).astype(bool)
+        self.rest = col("rest").values.to_numpy()
+        count = np.frombuffer(col("count").as_buffer(), "<u4").astype(np.int64)
+        code = np.frombuffer(col("codes").as_buffer(), "<u4").astype(np.int64)
+        self.docs, self.end = len(count), n + len(self.rest)
+        last = np.cumsum(count)
+        self.cur = np.insert(code, last, self.end)
+        self.own = np.repeat(np.arange(self.docs), count + 1)
+        self.prev = np.empty_like(self.cur)
+        self.prev[1:] = self.cur[:-1]
+        self.prev[np.cumsum(count + 1) - count - 1] = self.end + 1
 
 
-def _sequence(units: np.ndarray, doc: np.ndarray, n: int, end: int, start: int):
-    """Previous and current units of all tokens, ends included, and each token's text."""
-    first = np.searchsorted(doc, np.arange(n + 1))
-    cur = np.insert(units, first[1:], end)
-    own = np.insert(doc, first[1:], np.arange(n))
-    prev = np.empty_like(cur)
-    prev[1:] = cur[:-1]
-    prev[np.searchsorted(own, np.arange(n))] = start
-    return prev, cur, own
+def _slices(batches, n: int):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch, i, Slice(batch, i, n)
 
 
-def _bigrams(text: str, ident: str, units: Units):
+class Units:
+    """The unit of each word: its own, or its ending's group; then end and start."""
+
+    def __init__(self, freq: Frequent, n_units: int):
+        top = np.lexsort((freq.words, -freq.counts))[:n_units]
+        self.n = len(top) + TAILS + 2
+        self.own = len(top)
+        self.of_frequent = len(top) + (freq.words & (TAILS - 1))
+        self.of_frequent[top] = np.arange(len(top))
+
+    def of(self, rest: np.ndarray) -> np.ndarray:
+        """Units by code, of a slice with these other words."""
+        return np.concatenate([self.of_frequent, self.own + (rest & (TAILS - 1)), [self.n - 2, self.n - 1]])
+
+
+def _bigrams(freq: Frequent, units: Units):
     def run(batches):
         count = np.zeros(units.n * units.n, np.int64)
-        for batch in batches:
-            for a, b, wh, tail, doc, folded, s, e, out in _read(batch, text, ident):
-                prev, cur, own = _sequence(units.of(wh, tail), doc, b - a, units.end, units.start)
-                keep = ~out[own]
-                count += np.bincount(prev[keep] * units.n + cur[keep], minlength=len(count))
+        for _, _, s in _slices(batches, freq.n):
+            of, keep = units.of(s.rest), ~s.out[s.own]
+            count += np.bincount(of[s.prev[keep]] * units.n + of[s.cur[keep]], minlength=len(count))
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], ["pair", "c"])
 
@@ -209,54 +252,87 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS, f
     return cls
 
 
-def _xlx(v):
-    return np.where(v > 0, v * np.log(np.maximum(v, 1)), 0.0)
-
-
-def likelihood(big: np.ndarray) -> float:
-    """The part of the bigram log likelihood that classes decide."""
-    return float(_xlx(big).sum() - _xlx(big.sum(0)).sum() - _xlx(big.sum(1)).sum())
-
-
-def _contexts(text: str, ident: str, known: Words, moving: bool):
-    """Class bigram counts of training text (pair in bucket, blob null); if moving, by bucket of words the
-    packed counts of (word, slot): slots are following classes, preceding classes, the word itself."""
-    k, v = known.k, len(known.words)
+def _contexts(freq: Frequent, cls: np.ndarray, unit_cls: np.ndarray, units: Units, buckets: int):
+    """Class bigram counts of training text (pair in bucket, blob null), and by bucket of words the packed counts
+    of (word, slot): slots are preceding classes, following classes, the word itself."""
+    k = int(unit_cls.max()) + 1
     slots = 2 * k + 1
-    kk = np.concatenate([known.cls, [known.end, known.start]]).astype(np.int64)  # by place; end is place v, start v + 1
 
-    def packed(held):
-        key, c = np.unique(np.concatenate(held), return_counts=True)
-        word, slot = key // slots, (key % slots).astype(np.uint8)
-        ub, lo = np.unique(word // WORDS, return_index=True)
-        blobs = [np.diff(word[x:y], prepend=b * WORDS).astype("<u4").tobytes() + c[x:y].astype("<u4").tobytes() + slot[x:y].tobytes() for b, x, y in zip(ub.tolist(), lo, np.append(lo[1:], len(key)))]
+    def packed(w, slot, c):
+        """Counts by word (ascending) and slot, as a blob a bucket: words, their numbers of slots, slots, counts."""
+        new = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+        size = np.diff(np.append(new, len(w)))
+        words = w[new]
+        of = _bucket(words, buckets)
+        order = np.argsort(of, kind="stable")
+        ub, lo = np.unique(of[order], return_index=True)
+        blobs = []
+        for part in np.split(order, lo[1:]):
+            rows = np.repeat(new[part] - np.cumsum(size[part]) + size[part], size[part]) + np.arange(size[part].sum())
+            blobs.append(np.int64(len(part)).tobytes() + words[part].tobytes() + size[part].astype("u1").tobytes() + c[rows].astype("<u4").tobytes() + slot[rows].astype("u1").tobytes())
         return pa.RecordBatch.from_arrays([pa.array(ub), pa.array(blobs, pa.binary()), pa.nulls(len(ub), pa.int64())], ["bucket", "blob", "c"])
 
     def run(batches):
-        count, held, size = np.zeros(k * k, np.int64), [], 0
-        for batch in batches:
-            for a, b, wh, tail, doc, folded, s, e, out in _read(batch, text, ident):
-                prev, cur, own = _sequence(known.index(wh), doc, b - a, v, v + 1)
-                train = ~out[own]
-                prev, cur = prev[train], cur[train]
-                before, after = kk[prev], kk[cur]
-                count += np.bincount(before * k + after, minlength=k * k)
-                if not moving:
-                    continue
-                p, c = prev < v, cur < v
-                held.append(np.concatenate([prev[p] * slots + after[p], cur[c] * slots + k + before[c], prev[p & (prev == cur)] * slots + 2 * k]))
-                size += len(held[-1])
-                if size > HELD:
-                    yield packed(held)
-                    held, size = [], 0
-        if size:
-            yield packed(held)
-        at = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.nulls(len(at), pa.binary()), pa.array(count[at])], ["bucket", "blob", "c"])
+        big, often = np.zeros(k * k, np.int64), np.zeros(freq.n * slots, np.uint32)
+        held, size, rest, rest_size = [], 0, [], 0
+        for _, _, s in _slices(batches, freq.n):
+            of = np.concatenate([cls, unit_cls[units.of(s.rest)[freq.n :]]]).astype(np.int64)
+            train = ~s.out[s.own]
+            prev, cur = s.prev[train], s.cur[train]
+            before, after = of[prev], of[cur]
+            big += np.bincount(before * k + after, minlength=k * k)
+            p, c = prev < s.end, cur < s.end
+            keys = np.concatenate([prev[p] * slots + k + after[p], cur[c] * slots + before[c], prev[p & (prev == cur)] * slots + 2 * k])
+            rare = keys >= freq.n * slots
+            held.append(keys[~rare])
+            size += len(held[-1])
+            if rare.any():
+                keys, c = np.unique(keys[rare], return_counts=True)
+                rest.append((s.rest[keys // slots - freq.n], keys % slots, c))
+                rest_size += len(keys)
+            if size > HELD:
+                keys, c = np.unique(np.concatenate(held), return_counts=True)
+                often[keys] += c.astype(np.uint32)
+                held, size = [], 0
+            if rest_size > HELD // 4:
+                yield packed(*_summed(rest, slots))
+                rest, rest_size = [], 0
+        if held:
+            keys, c = np.unique(np.concatenate(held), return_counts=True)
+            often[keys] += c.astype(np.uint32)
+        if rest:
+            yield packed(*_summed(rest, slots))
+        at = np.flatnonzero(often)
+        if len(at):
+            yield packed(freq.words[at // slots], at % slots, often[at])
+        at = np.flatnonzero(big)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.nulls(len(at), pa.binary()), pa.array(big[at])], ["bucket", "blob", "c"])
 
     return run
 
 
+def _summed(rest: list, slots: int):
+    """Counts of several slices by (word, slot): words ascending."""
+    w, slot, c = (np.concatenate(x) for x in zip(*rest))
+    order = np.lexsort((slot, w))
+    w, slot, c = w[order], slot[order], c[order]
+    new = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (slot[1:] != slot[:-1])))
+    return w[new], slot[new], np.add.reduceat(c, new)
+
+
+def _bucket(w: np.ndarray, buckets: int) -> np.ndarray:
+    return ((w.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _xlx(v):
+    return np.where(v > 0, v * np.log(np.maximum(v, 1)), 0.0)
+
+
+def likelihood(big: np.ndarray) -> float:
+    """The part of the bigram log likelihood that classes decide."""
+    return float(_xlx(big).sum() - _xlx(big.sum(0)).sum() - _xlx(big.sum(1)).sum())
+
+
 def move(big: np.ndarray, old: np.ndarray, ctx: np.ndarray, fixed: int = 2) -> np.ndarray:
     """New classes of words (frequent ones first) by exchange on their context counts; big is brought up to date."""
     k, every = len(big), np.arange(len(big))
@@ -295,216 +371,163 @@ def move(big: np.ndarray, old: np.ndarray, ctx: np.ndarray, fixed: int = 2) -> n
     return out
 
 
-def _moves(known: Words, big: np.ndarray):
-    """Buckets of packed contexts to their words' classes after a pass."""
-    k = known.k
+def _moves(big: np.ndarray, freq: Frequent, cls: np.ndarray, unit_cls: np.ndarray, units: Units):
+    """Buckets of packed contexts to all training words with their counts, and classes before and after a pass."""
+    k = len(big)
     slots = 2 * k + 1
 
     def run(batches):
-        got: dict[int, np.ndarray] = {}
+        got: dict[int, list] = {}
         for batch in batches:
             for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                m = len(blob) // 9
-                word, c, slot = np.cumsum(np.frombuffer(blob, "<u4", m), dtype=np.int64), np.frombuffer(blob, "<u4", m, 4 * m), np.frombuffer(blob, "u1", m, 8 * m)
-                if b not in got:
-                    got[b] = np.zeros((len(known.cls[b * WORDS : (b + 1) * WORDS]), slots), np.int64)
-                got[b].ravel()[word * slots + slot] += c  # a blob has each (word, slot) once
-        for b, ctx in got.items():
-            old = known.cls[b * WORDS : (b + 1) * WORDS].astype(np.int64)
+                m = int(np.frombuffer(blob, "<i8", 1)[0])
+                words, size = np.frombuffer(blob, "<i8", m, 8), np.frombuffer(blob, "u1", m, 8 + 8 * m).astype(np.int64)
+                at = 8 + 9 * m
+                e = (len(blob) - at) // 5
+                got.setdefault(b, []).append((words, size, np.frombuffer(blob, "<u4", e, at), np.frombuffer(blob, "u1", e, at + 4 * e)))
+        for b in list(got):
+            words, size, c, slot = (np.concatenate(x) for x in zip(*got.pop(b)))
+            u, at = np.unique(words, return_inverse=True)
+            ctx = np.bincount(np.repeat(at, size) * slots + slot, weights=c, minlength=len(u) * slots).astype(np.int64).reshape(-1, slots)
+            place = freq.codes(u)
+            old = np.where(place >= 0, cls[place] if freq.n else 0, unit_cls[units.own + (u & (TAILS - 1))]).astype(np.int64)
             order = np.argsort(-ctx.sum(1), kind="stable")
             new = old.copy()
-            new[order] = move(big.astype(float), old[order], ctx[order])
-            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([new.astype(np.uint8).tobytes()], pa.binary())], ["bucket", "cls"])
+            new[order] = move(big.astype(float), old[order], np.concatenate([ctx[order, k : 2 * k], ctx[order, :k], ctx[order, 2 * k :]], 1))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(ctx[:, :k].sum(1)), pa.array(old.astype(np.int32)), pa.array(new.astype(np.int32))], ["w", "c", "old", "new"])
 
     return run
 
 
-def learned(d: DataFrame, start: Words, passes: int = PASSES) -> tuple[Words, np.ndarray]:
-    """Classes of all training words by distributed exchange, and their class bigram counts."""
-    best, kept, known = -np.inf, None, start
-    buckets = max(parts(d.sparkSession), len(start.words) // WORDS + 1)
-    for p in range(passes + 1):
-        moving = p < passes and len(start.words) > 0
-        found = mapped(d, _contexts("text", "doc_id", known, moving), "bucket long, blob binary, c long")
-        found = cut(found) if moving else found
-        big = np.zeros(known.k * known.k, np.int64)
-        for r in found.filter("blob IS NULL").groupBy("bucket").agg(F.sum("c").alias("c")).collect():  # at most k squared
-            big[r.bucket] = r.c
-        big = big.reshape(known.k, known.k)
-        now = likelihood(big)
-        if kept is None or now > best:
-            best, kept = now, (known, big)
-        if moving and kept[0] is known:
-            cls = known.cls.copy()
-            moved = mapped(found.filter("blob IS NOT NULL").select("bucket", "blob").repartition(buckets, "bucket"), _moves(known, big), "bucket long, cls binary")
-            for r in moved.collect():
-                cls[r.bucket * WORDS : (r.bucket + 1) * WORDS] = np.frombuffer(r.cls, np.uint8)
-            same = bool((cls == known.cls).all())
-            known = Words(known.words, cls, known.units, known.unit_cls)
-            forget(found)
-            if not same:
-                continue
-        elif moving:
-            forget(found)
-        break
-    return kept
-
-
-def _keys(wh: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """What names a text with its id: a hash of its bag of words. Rows of equal id and bag share their sums."""
-    with np.errstate(over="ignore"):
-        c = np.zeros(len(wh) + 1, np.uint64)
-        np.cumsum(tk.mixed(wh), dtype=np.uint64, out=c[1:])
-        first = np.searchsorted(doc, np.arange(n + 1))
-        return (c[first[1:]] - c[first[:-1]]).view(np.int64)
-
-
-def _rows(text: str, ident: str, known: Words, log_t: np.ndarray):
-    """A row per document: tokens, transition log10, class counts."""
-    k = len(log_t)
+def _counted(freq: Frequent, cls: np.ndarray, unit_cls: np.ndarray, units: Units, column: str):
+    """Class bigram counts of the training text."""
+    k = int(unit_cls.max()) + 1
 
     def run(batches):
-        for batch in batches:
-            for a, b, wh, tail, doc, folded, s, e, out in _read(batch, text, ident):
-                n = b - a
-                prev, cur, own = _sequence(known.of(wh, tail), doc, n, known.end, known.start)
-                trans = np.bincount(own, weights=log_t[prev, cur], minlength=n)
-                by = np.bincount(own * k + cur, minlength=n * k).reshape(n, k)
-                ids = batch.column(ident).slice(a, n).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(_keys(wh, doc, n)), pa.array(out), pa.array(by.sum(1)), pa.array(trans), pa.array(list(by.astype(np.int64)), pa.list_(pa.int64()))],
-                    ["doc_id", "key", "held_out", "n", "logs", "by"],
-                )
+        big = np.zeros(k * k, np.int64)
+        for batch, i, s in _slices(batches, freq.n):
+            of = _classes(batch, i, s, freq, cls, unit_cls, units, column)
+            train = ~s.out[s.own]
+            big += np.bincount(of[s.prev[train]] * k + of[s.cur[train]], minlength=k * k)
+        at = np.flatnonzero(big)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(big[at])], ["pair", "c"])
 
     return run
 
 
-def _pack(text: str, ident: str, known: Words, buckets: int):
-    """Packed words by bucket: which documents (head), then words, documents, counts and classes one after another."""
+def _known(batch, i: int, field: str) -> np.ndarray:
+    """A field of what the table knows of a slice's other words, in their order."""
+    known = batch.column(batch.schema.get_field_index("known"))[i].values
+    return known.field(field).fill_null(-1).to_numpy() if known is not None and len(known) else np.zeros(0, np.int64)
+
+
+def _classes(batch, i, s: Slice, freq, cls, unit_cls, units, column: str) -> np.ndarray:
+    """Classes by code: of training words as learned, of others by their unit."""
+    of = np.concatenate([cls, unit_cls[units.of(s.rest)[freq.n :]]]).astype(np.int64)
+    if column and len(s.rest):
+        found = _known(batch, i, column).astype(np.int64)
+        of[freq.n : s.end] = np.where(found >= 0, found, of[freq.n : s.end])
+    return of
+
+
+def _scored(freq: Frequent, cls, unit_cls, units: Units, column: str, log_t: np.ndarray, low: np.ndarray, end_count: int):
+    """A row per document: tokens, known tokens, log10 of counts, of transitions and of classes' denominators."""
 
     def run(batches):
-        for batch in batches:
-            for a, b, wh, tail, doc, folded, s, e, out in _read(batch, text, ident):
-                n = b - a
-                ids = batch.column(ident).slice(a, n).cast(pa.int64())
-                # each text's distinct words, with the end
-                w = np.concatenate([wh, np.full(n, END_HASH)])
-                d = np.concatenate([doc, np.arange(n)])
-                kk = np.concatenate([known.of(wh, tail), np.full(n, known.end)])
-                order = np.lexsort((w, d))
-                w, d, kk = w[order], d[order], kk[order]
-                at = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (d[1:] != d[:-1])))
-                freq = np.diff(np.append(at, len(w)))
-                reps = (freq + 254) // 255  # counts over 255 take several records
-                idx = np.repeat(np.arange(len(at)), reps)
-                rec = np.empty(len(idx), REC)
-                rec["w"], rec["d"], rec["k"] = w[at][idx], d[at][idx], kk[at][idx]
-                part = np.arange(len(idx)) - np.repeat(np.cumsum(reps) - reps, reps)
-                rec["f"] = np.minimum(freq[idx] - part * 255, 255)
-                bk = (rec["w"] >> np.uint64(24)).astype(np.int64) % buckets
-                order = np.argsort(bk, kind="stable")
-                rec, bk = rec[order], bk[order]
-                ub, lo = np.unique(bk, return_index=True)
-                hi = np.append(lo[1:], len(bk))
-                valid = np.array([i is not None for i in ids.to_pylist()])
-                head = np.empty(n, HEAD)
-                head["id"], head["key"], head["out"], head["null"] = ids.fill_null(0).to_numpy(), _keys(wh, doc, n), out, ~valid
-                blobs, heads = [], []
-                for x, y in zip(lo, hi):
-                    r = rec[x:y].copy()
-                    docs, r["d"] = np.unique(r["d"], return_inverse=True)
-                    blobs.append(b"".join(np.ascontiguousarray(r[c]).tobytes() for c, _ in REC))
-                    heads.append(head[docs].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ub), pa.array(heads, pa.binary()), pa.array(blobs, pa.binary())], ["bucket", "head", "blob"])
+        for batch, i, s in _slices(batches, freq.n):
+            of = _classes(batch, i, s, freq, cls, unit_cls, units, column)
+            c = np.concatenate([freq.counts, np.maximum(_known(batch, i, "c"), 0), [end_count, 0]])
+            logs = np.log10(c + ADD)
+            sums = lambda x: np.bincount(s.own, weights=x, minlength=s.docs)
+            cur = of[s.cur]
+            emit = sums(logs[s.cur])
+            score = emit + sums(log_t[of[s.prev], cur] - low[cur])
+            known = sums(c[s.cur] > 0).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([s.ids, pa.array(s.out), pa.array(np.bincount(s.own, minlength=s.docs)), pa.array(known), pa.array(emit), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "emit", "score"])
 
     return run
 
 
-REC = [("w", "<u8"), ("d", "<u2"), ("f", "u1"), ("k", "u1")]
-WIDTH = 12
-HEAD = [("id", "<i8"), ("key", "<i8"), ("out", "u1"), ("null", "u1")]
+class Model:
+    """Brown classes and counts: frequent words here, all others in the table `words` (w, c, old, new)."""
 
+    def __init__(self, freq, cls, unit_cls, units, words, column):
+        self.freq, self.cls, self.unit_cls, self.units, self.words, self.column = freq, cls, unit_cls, units, words, column
 
-def _count(k: int):
-    """A bucket: each document's sum of log10(c + 0.5), its known tokens (kind 0); the bucket's totals (kind 1)."""
 
-    def run(batches):
-        got: dict = {}
-        for batch in batches:
-            for b, h, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                m = len(r) // WIDTH
-                cols = (np.frombuffer(r, "<u8", m), np.frombuffer(r, "<u2", m, 8 * m), np.frombuffer(r, "u1", m, 10 * m), np.frombuffer(r, "u1", m, 11 * m))
-                got.setdefault(b, []).append((np.frombuffer(h, HEAD), cols))
-        for b in list(got):
-            part = got.pop(b)
-            shift = np.cumsum([0, *(len(h) for h, _ in part)])
-            head = np.concatenate([h for h, _ in part])
-            w, d, f, kk = (np.concatenate([r[i] for _, r in part]) for i in range(4))
-            d = d.astype(np.int64) + np.repeat(shift[:-1], [len(r[0]) for _, r in part])
-            del part
-            words, at = np.unique(w, return_inverse=True)
-            train = head["out"][d] == 0
-            c = np.bincount(at, weights=np.where(train, f, 0), minlength=len(words))
-            known = np.bincount(d, weights=f * (c[at] > 0), minlength=len(head)).astype(np.int64)
-            logs = np.bincount(d, weights=f * np.log10(c[at] + ADD), minlength=len(head))
-            cls = np.zeros(len(words), np.int64)
-            cls[at] = kk
-            seen = c > 0
-            types, tokens = np.bincount(cls[seen], minlength=k), np.bincount(cls, weights=c, minlength=k).astype(np.int64)
-            names, group = np.unique(head[["id", "key", "null"]], return_inverse=True)  # equal rows together
-            known, logs = np.bincount(group, weights=known).astype(np.int64), np.bincount(group, weights=logs)
-            for s in range(0, len(names), 50_000):
-                p = slice(s, s + 50_000)
-                m = len(names[p])
-                ids = pa.array(names["id"][p], mask=names["null"][p].astype(bool))
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), ids, pa.array(names["key"][p]), pa.array(known[p]), pa.array(logs[p]), pa.nulls(m, pa.list_(pa.int64()))], ["kind", "doc_id", "key", "known", "logs", "by"])
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([0], pa.int64()), pa.array([0.0]), pa.array([np.concatenate([tokens, types])], pa.list_(pa.int64()))], ["kind", "doc_id", "key", "known", "logs", "by"])
-
-    return run
+def _frequent(vocab: DataFrame):
+    """The words of the highest counts, FREQUENT at most, equal counts together; and the condition they meet."""
+    level = F.floor(F.log2("c") * 16)
+    least, size = 1 << 30, 0
+    for r in sorted(vocab.groupBy(level.alias("level")).count().collect(), reverse=True):  # about a thousand levels
+        size += r["count"]
+        if size > FREQUENT:
+            break
+        least = r.level
+    top = vocab.filter(level >= least).toArrow()
+    return Frequent(top.column(0).to_numpy(), top.column(1).to_numpy()), level >= least
+
+
+def _big(found, k: int) -> np.ndarray:
+    big = np.zeros(k * k, np.int64)
+    for r in found.groupBy("pair").agg(F.sum("c").alias("c")).collect():  # at most k squared
+        big[r.pair] = r.c
+    return big.reshape(k, k)
+
+
+def _joined(coded: DataFrame, words: DataFrame) -> DataFrame:
+    """Slices with `known`: what the table has of each of their other words."""
+    pairs = coded.select("slice", F.explode("rest").alias("w")).join(words, "w", "left")
+    known = pairs.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("w", "c", "old", "new"))).alias("known"))
+    return coded.join(known, "slice", "left")
+
+
+def fit(d: DataFrame, n_units: int = UNITS, classes: int = CLASSES) -> tuple[Model, DataFrame, np.ndarray, int]:
+    """From (doc_id, text): the model, the slices with what it knows of their words, the class bigram counts, and the number of training texts."""
+    vocab = cut(mapped(d, _vocabulary("text", "doc_id"), "w long, c long").groupBy("w").agg(F.sum("c").alias("c")))
+    freq, often = _frequent(vocab)
+    units = Units(freq, n_units)
+    coded = cut(mapped(d, _coded("text", "doc_id", freq), CODED_TYPE), ROW_GROUP)
+    unit_cls = exchange(_big(mapped(coded, _bigrams(freq, units), "pair long, c long"), units.n), classes).astype(np.uint8)
+    k = int(unit_cls.max()) + 1
+    cls = unit_cls[units.of_frequent]
+    buckets = vocab.count() // WORDS + 1
+    found = cut(mapped(coded, _contexts(freq, cls, unit_cls, units, buckets), "bucket long, blob binary, c long"))
+    before = _big(found.filter("blob IS NULL").select(F.col("bucket").alias("pair"), "c"), k)
+    moved = found.filter("blob IS NOT NULL").select("bucket", "blob").repartition(buckets, "bucket")
+    words = cut(mapped(moved, _moves(before, freq, cls, unit_cls, units), "w long, c long, old int, new int"))
+    forget(found, vocab)
+    top = words.filter(often).toArrow()  # the frequent words
+    new = cls.copy()
+    new[freq.codes(top.column(0).to_numpy())] = top.column(3).to_numpy().astype(np.uint8)
+    ready = cut(_joined(coded, words.filter(~often)), ROW_GROUP)
+    forget(coded)
+    model = Model(freq, new, unit_cls, units, words, "new")
+    after = _big(mapped(ready, _counted(freq, new, unit_cls, units, "new"), "pair long, c long"), k)
+    if likelihood(after) <= likelihood(before):
+        model, after = Model(freq, cls, unit_cls, units, words, "old"), before
+    return model, ready, after
 
 
 def score(docs: DataFrame, ident: str = "doc_id", text: str = "text", n_units: int = UNITS, classes: int = CLASSES) -> DataFrame:
     """A row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), perplexity."""
-    spark = docs.sparkSession
     d = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    vocab = cut(mapped(d, _vocabulary("text", "doc_id"), "w long, tail int, c long").groupBy("w").agg(F.min("tail").alias("tail"), F.sum("c").alias("c")))
-    top = vocab.orderBy(F.desc("c"), "w").limit(n_units).collect()
-    units = Units(np.array([r.w for r in top], np.int64).view(np.uint64))
-    pairs = mapped(d, _bigrams("text", "doc_id", units), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).collect()  # at most units.n squared
-    counts = np.zeros(units.n * units.n, np.int64)
-    if pairs:
-        counts[[r.pair for r in pairs]] = [r.c for r in pairs]
-    counts = counts.reshape(units.n, units.n)
-    cls = exchange(counts, classes)
-    k = int(cls.max()) + 1
-    words = vocab.select("w", "tail").toArrow()
-    forget(vocab)
-    wh, tail = words.column(0).to_numpy().view(np.uint64), words.column(1).to_numpy().astype(np.int64)
-    order = np.argsort(wh)
-    known, trans = learned(d, Words(wh[order], cls[units.of(wh, tail)][order].astype(np.uint8), units, cls))
-    log_t = np.log10((trans + ADD) / (trans.sum(1, keepdims=True) + ADD * (k - 1)))  # no class follows into start
-    log_t[:, known.start] = 0.0
-    n_tokens = int(trans.sum())
-    buckets = max(12, n_tokens // BUCKET + 1)
-    rows = mapped(d, _rows("text", "doc_id", known, log_t), "doc_id long, key long, held_out boolean, n long, logs double, by array<long>")
-    counted = mapped(d, _pack("text", "doc_id", known, buckets), "bucket long, head binary, blob binary").repartition(max(buckets, parts(spark)), "bucket")
-    counted = cut(mapped(counted, _count(k), "kind int, doc_id long, key long, known long, logs double, by array<long>"))
-    totals = counted.filter("kind = 1").select("by").agg(*[F.sum(F.col("by")[i]).alias(f"x{i}") for i in range(2 * k)]).first()
-    tokens, types = np.array([x or 0 for x in totals[:k]], float), np.array([x or 0 for x in totals[k:]], float)
+    m, ready, big = fit(d, n_units, classes)
+    k, end, start = len(big), int(m.unit_cls[-2]), int(m.unit_cls[-1])
+    log_t = np.log10((big + ADD) / (big.sum(1, keepdims=True) + ADD * (k - 1)))  # no class follows into start
+    log_t[:, start] = 0.0
+    tokens, types = np.zeros(k), np.zeros(k)
+    for r in m.words.groupBy(F.col(m.column).alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # a row a class
+        tokens[r.k], types[r.k] = r.c, r.n
+    texts = int(big[:, end].sum())  # an end for each training text
+    tokens[end], types[end] = texts, texts > 0
+    low = np.log10(tokens + ADD * (types + 1))
     big_n, big_v = int(tokens.sum()), int(types.sum())
-    low = np.log10(np.maximum(tokens + ADD * (types + 1), ADD))
-    words = counted.filter("kind = 0").groupBy("doc_id", "key").agg(F.sum("known").alias("known"), F.sum("logs").alias("emit"))
-    mine = rows.groupBy("doc_id", "key").agg(F.count("*").alias("m"))
-    # rows of equal id and words share their sums; each keeps its own transitions
-    got = words.join(mine, words.doc_id.eqNullSafe(mine.doc_id) & (words.key == mine.key)).select(words.doc_id, words.key, (F.col("known") / F.col("m")).cast("long").alias("known"), (F.col("emit") / F.col("m")).alias("emit"))
-    x = rows.join(got, rows.doc_id.eqNullSafe(got.doc_id) & (rows.key == got.key)).select(rows.doc_id, "held_out", "n", "logs", "by", "known", "emit")
-    weights = F.array(*[F.lit(float(v)) for v in low])
-    denominators = F.aggregate(F.zip_with("by", weights, lambda c, w: c * w), F.lit(0.0), lambda a, v: a + v)
-    total = F.col("emit") + F.col("logs") - denominators
+    x = mapped(ready, _scored(m.freq, m.cls, m.unit_cls, m.units, m.column, log_t, low, texts), "doc_id long, held_out boolean, n_tokens long, n_known long, emit double, score double")
     return x.select(
-        "doc_id", "held_out", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(big_n).cast("long").alias("train_tokens"),
-        (F.col("emit") - F.col("n") * F.lit(float(np.log10(max(big_n + ADD * (big_v + 1), ADD))))).alias("base_score"),
-        total.alias("score"), F.pow(F.lit(10.0), -total / F.col("n")).alias("perplexity"),
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(big_n).cast("long").alias("train_tokens"),
+        (F.col("emit") - F.col("n_tokens") * F.lit(float(np.log10(max(big_n + ADD * (big_v + 1), ADD))))).alias("base_score"),
+        "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )
 
 

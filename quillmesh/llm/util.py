@@ -38,14 +38,16 @@ def shared_dir(spark: SparkSession) -> str:
 _tables: dict[str, SparkSession] = {}
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, row_group: int | None = None) -> DataFrame:
     """Cut the lineage: the rows as a Parquet table in the folder that all executors share.
 
-    Tables go with `forget`, or when the driver's Python ends.
+    Tables go with `forget`, or when the driver's Python ends. A reader holds one row group at a time;
+    `row_group` bounds its bytes where rows are large.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmesh-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.option("parquet.block.size", row_group) if row_group else out).parquet(path)
     _tables[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._quillmesh_path = path

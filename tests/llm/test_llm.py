@@ -322,31 +322,79 @@ def test_exchange_raises_likelihood():
     assert likelihood(cls) > likelihood(start) + 100
 
 
-def test_every_training_word_is_clustered(spark):
+def model_tables(model):
+    """Counts, classes and unit classes of a model, by word name."""
+    rows = {r.w: r for r in model.words.collect()}
+    assert all(rows[w].c == c and rows[w][model.column] == k for w, c, k in zip(model.freq.words.tolist(), model.freq.counts.tolist(), model.cls.tolist()))
+    return {w: r.c for w, r in rows.items()}, {w: r[model.column] for w, r in rows.items()}
+
+
+def names(ws):
+    import pyarrow as pa
+
+    data, offs = tokens.buffer(pa.array([" ".join(ws)]))
+    folded, s, e, _ = tokens.words(data, offs)
+    return brown_lm.word_ids(folded, s, e).tolist()
+
+
+@pytest.mark.parametrize("frequent", [0, 40, 1 << 17])
+def test_brown_scores_against_brute_force(spark, docs, monkeypatch, frequent):
+    monkeypatch.setattr(brown_lm, "FREQUENT", frequent)
+    monkeypatch.setattr(brown_lm, "SLICE", 300)
+    monkeypatch.setattr(brown_lm, "WORDS", 64)
+    seen = []
+    fit = brown_lm.fit
+    monkeypatch.setattr(brown_lm, "fit", lambda *x: seen.append(fit(*x)) or seen[-1])
+    got = brown_lm.score(docs, n_units=30, classes=6).collect()
+    model, _, big = seen[0]
+    assert len(model.freq.words) <= frequent
+    count, cls = model_tables(model)
+    end, start = int(model.unit_cls[-2]), int(model.unit_cls[-1])
+    texts = [(r.doc_id, names(words(r.text)) if words(r.text) else []) for r in docs.collect()]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    unit = lambda w: int(model.unit_cls[model.units.own + (w & 63)])
+    seq = lambda t: [cls.get(w, unit(w)) for w in t] + [end]
+    trans, total, types, c = Counter(), Counter(), Counter(), Counter()
+    for i, t in texts:
+        if not held(i):
+            trans.update(zip([start] + seq(t)[:-1], seq(t)))
+            c.update([*t, "end"])
+    assert {w: n for w, n in c.items() if w != "end"} == count
+    for w, n in c.items():
+        k = end if w == "end" else cls[w]
+        total[k] += n
+        types[k] += 1
+    left = Counter()
+    for (a, _), n in trans.items():
+        left[a] += n
+    k = len(big)
+    want = []
+    for i, t in texts:
+        s, before = 0.0, start
+        for w, now in zip([*t, "end"], seq(t)):
+            s += math.log10((trans[before, now] + 0.5) / (left[before] + 0.5 * (k - 1)) * (c[w] + 0.5) / (total[now] + 0.5 * (types[now] + 1)))
+            before = now
+        want.append((i, round(s, 6)))
+    assert sorted((r.doc_id, round(r.score, 6)) for r in got) == sorted(want)
+
+
+def test_brown_scores_do_not_depend_on_layout(spark, docs):
+    rows = [sorted((r.doc_id, round(r.score, 6)) for r in brown_lm.score(docs.repartition(n), n_units=30, classes=6).collect()) for n in (2, 9)]
+    assert rows[0] == rows[1]
+
+
+def test_every_training_word_is_clustered(spark, monkeypatch):
     # words that end alike and are no units have classes of their own, and the counts are those of all training text
     r = random.Random(5)
     a, b = ([f"{c}{i}zz" for i in range(40)] for c in "pq")
     rows = [(5 * i + 2, " ".join(x for _ in range(30) for x in ("le", r.choice(a), "un", "un", r.choice(b)))) for i in range(40)]
     rows = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    seen = []
-    learned = brown_lm.learned
-    mp = pytest.MonkeyPatch()
-    mp.setattr(brown_lm, "learned", lambda *x: seen.append(learned(*x)) or seen[-1])
-    mp.setattr(brown_lm, "WORDS", 16)
-    got = brown_lm.score(d, n_units=2, classes=4).collect()
-    mp.undo()
-    known, big = seen[0]
-    assert len(known.words) == 82 and len(got) == len(rows)
-    import pyarrow as pa
-
-    def cls(ws):
-        data, offs = tokens.buffer(pa.array([" ".join(ws)]))
-        folded, s, e, _ = tokens.words(data, offs)
-        return Counter(known.cls[known.index(tokens.hashes(folded, s, e))].tolist())
-
-    assert len(cls(a) + cls(b)) > 1, (cls(a), cls(b))  # their ending's group is one class
-    assert big.sum() == sum(len(t.split()) + 1 for _, t in rows)
+    monkeypatch.setattr(brown_lm, "WORDS", 16)
+    model, _, big = brown_lm.fit(d, 2, 4)
+    _, cls = model_tables(model)
+    assert len(cls) == 82 and big.sum() == sum(len(t.split()) + 1 for _, t in rows)
+    assert len({cls[w] for w in names(a + b)}) > 1  # their ending's group is one class
 
 
 def page(body, n=0):
