@@ -95,14 +95,16 @@ def _vocabulary(text: str, ident: str):
 
 
 class Frequent:
-    """The words that go to all tasks, with their counts: names ascending, and a table of slots to look them up."""
+    """The words that go to all tasks, the most frequent first, with their counts, and a table of slots to look them up."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray):
-        order = np.argsort(words)
+        order = np.lexsort((words, -counts))
         self.words, self.counts = words[order], counts[order]
         self.n = len(words)
+        self.by_name = np.argsort(self.words)
+        self.names = self.words[self.by_name]
         self.slots = np.full(1 << 20, -1, np.int32)
-        self.slots[self._slot(self.words)] = np.arange(self.n)  # of several words in a slot the last one
+        self.slots[self._slot(self.words)[::-1]] = np.arange(self.n)[::-1]  # of several words in a slot one
 
     def _slot(self, w: np.ndarray) -> np.ndarray:
         return w.view(np.uint64) >> np.uint64(44)
@@ -113,14 +115,17 @@ class Frequent:
         if not self.n:
             return i
         odd = np.flatnonzero((i >= 0) & (self.words[i] != w))
-        j = np.searchsorted(self.words, w[odd])
+        j = np.searchsorted(self.names, w[odd])
         j[j == self.n] = 0
-        i[odd] = np.where(self.words[j] == w[odd], j, -1)
+        i[odd] = np.where(self.names[j] == w[odd], self.by_name[j], -1)
         return i
 
 
 def _coded(text: str, ident: str, freq: Frequent):
-    """Slices of coded text: ids, held out, words of each text, codes; other words are coded by their place in `rest`."""
+    """Slices of coded text: ids, held out, words of each text, codes; other words are coded by their place in `rest`.
+
+    A code takes two bytes; those from LARGE on are LARGE there, and stand in `large` with four.
+    """
 
     def run(batches):
         serial = TaskContext.get().partitionId() << 32
@@ -132,15 +137,16 @@ def _coded(text: str, ident: str, freq: Frequent):
                 code[new] = freq.n + at
                 count = np.bincount(doc, minlength=b - a).astype("<u4")
                 ids = batch.column(ident).slice(a, b - a).cast(pa.int64())
-                blobs = [pa.array([x.tobytes()], pa.binary()) for x in (out.astype(np.uint8), count, code.astype("<u4"))]
+                blobs = [pa.array([x.tobytes()], pa.binary()) for x in (out.astype(np.uint8), count, np.minimum(code, LARGE).astype("<u2"), code[code >= LARGE].astype("<u4"))]
                 yield pa.RecordBatch.from_arrays([pa.array([serial]), pa.array([ids.to_pylist()], pa.list_(pa.int64())), *blobs, pa.array([rest], pa.list_(pa.int64()))], CODED)
                 serial += 1
 
     return run
 
 
-CODED = ["slice", "ids", "out", "count", "codes", "rest"]
-CODED_TYPE = "slice long, ids array<long>, out binary, count binary, codes binary, rest array<long>"
+LARGE = (1 << 16) - 1
+CODED = ["slice", "ids", "out", "count", "codes", "large", "rest"]
+CODED_TYPE = "slice long, ids array<long>, out binary, count binary, codes binary, large binary, rest array<long>"
 
 
 class Slice:
@@ -155,7 +161,8 @@ class Slice:
         self.out = np.frombuffer(col("out").as_buffer(), np.uint8).astype(bool)
         self.rest = col("rest").values.to_numpy()
         count = np.frombuffer(col("count").as_buffer(), "<u4").astype(np.int64)
-        code = np.frombuffer(col("codes").as_buffer(), "<u4").astype(np.int64)
+        code = np.frombuffer(col("codes").as_buffer(), "<u2").astype(np.int64)
+        code[code == LARGE] = np.frombuffer(col("large").as_buffer(), "<u4")
         self.docs, self.end = len(count), n + len(self.rest)
         last = np.cumsum(count)
         self.cur = np.insert(code, last, self.end)
