@@ -38,7 +38,7 @@ from quillmesh.llm import tokens as tk
 from quillmesh.llm.util import cut, forget, mapped, table
 
 UNITS, TAILS, CLASSES = 500, 64, 32
-FREQUENT = 1 << 17  # words that go to all tasks
+FREQUENT = 1 << 18  # words that go to all tasks
 SWEEPS = 8
 WORDS = 1 << 14  # words a bucket of the exchange has, about
 BLOCK = 64  # words moved at a time, after the first ones of a bucket
@@ -422,18 +422,21 @@ def _counted(freq: Frequent, cls: np.ndarray, unit_cls: np.ndarray, units: Units
     return run
 
 
-def _known(batch, i: int, field: str) -> np.ndarray:
-    """A field of what the table knows of a slice's other words, in their order."""
+CLASS = 256
+
+
+def _known(batch, i: int) -> np.ndarray:
+    """Counts and classes of a slice's other words, in their order; -1 for those that training text hasn't."""
     known = batch.column(batch.schema.get_field_index("known"))[i].values
-    return known.field(field).fill_null(-1).to_numpy() if known is not None and len(known) else np.zeros(0, np.int64)
+    return known.field("x").fill_null(-1).to_numpy() if known is not None and len(known) else np.zeros(0, np.int64)
 
 
 def _classes(batch, i, s: Slice, freq, cls, unit_cls, units, column: str) -> np.ndarray:
-    """Classes by code: of training words as learned, of others by their unit."""
+    """Classes by code: of training words as learned, of others (and of all but frequent ones before) by their unit."""
     of = np.concatenate([cls, unit_cls[units.of(s.rest)[freq.n :]]]).astype(np.int64)
-    if column and len(s.rest):
-        found = _known(batch, i, column).astype(np.int64)
-        of[freq.n : s.end] = np.where(found >= 0, found, of[freq.n : s.end])
+    if column == "new" and len(s.rest):
+        found = _known(batch, i)
+        of[freq.n : s.end] = np.where(found >= 0, found % CLASS, of[freq.n : s.end])
     return of
 
 
@@ -443,7 +446,7 @@ def _scored(freq: Frequent, cls, unit_cls, units: Units, column: str, log_t: np.
     def run(batches):
         for batch, i, s in _slices(batches, freq.n):
             of = _classes(batch, i, s, freq, cls, unit_cls, units, column)
-            c = np.concatenate([freq.counts, np.maximum(_known(batch, i, "c"), 0), [end_count, 0]])
+            c = np.concatenate([freq.counts, np.maximum(_known(batch, i), 0) // CLASS, [end_count, 0]])
             logs = np.log10(c + ADD)
             sums = lambda x: np.bincount(s.own, weights=x, minlength=s.docs)
             cur = of[s.cur]
@@ -483,9 +486,10 @@ def _big(found, k: int) -> np.ndarray:
 
 
 def _joined(coded: DataFrame, words: DataFrame) -> DataFrame:
-    """Slices with `known`: what the table has of each of their other words."""
-    pairs = coded.select("slice", F.explode("rest").alias("w")).join(words, "w", "left")
-    known = pairs.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("w", "c", "old", "new"))).alias("known"))
+    """Slices with `known`: each of their other words, and its count and class as one number (CLASS of a class)."""
+    known = words.select("w", (F.col("c") * CLASS + F.col("new")).alias("x"))
+    pairs = coded.select("slice", F.explode("rest").alias("w")).join(known, "w", "left")
+    known = pairs.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("w", "x"))).alias("known"))
     return coded.join(known, "slice", "left")
 
 
