@@ -7,22 +7,30 @@ what repeats in any page becomes a repeated group, and texts that differ become
 texts stay template text. Two wrappers align like two streams, so each partition infers its own and
 a host's are merged in two levels; a host that holds most pages is spread over all tasks.
 
-The wrapper decides which items are the article: those in an article or main container, if the host has
-one; else the container with most slot text. Items in menus, headers, footers, sidebars, notices,
-adverts, forms and comments (by element, role or class) never are; outside an article element, template
-text seen on at least CONSTANT pages isn't either. A page that this leaves empty is of another template
-and is decided on by its own wrapper.
-
-Null and empty html, and pages without an article, give an empty string. Pages without a host are a
-host of their own. Repeated pages give their text each; texts of any length are read whole; an empty
-table gives no rows.
+The wrapper tells template from content: an item whose text is equal on CONSTANT different pages is
+template, one whose text is mostly links is a menu, and a container weighs the slot text it has on a page
+that has it. On each page the article is what an article or main element holds, but for template in side
+containers; without such an element it is the page's weightiest container with all nested in it, single
+containers beside it of at least a quarter of its weight, and the main heading. So a page of a rare
+template is judged by its own containers. Elements, roles and class names that say menu, header, footer,
+sidebar, notice, advert, form or comment rule a block out beforehand; names that say nothing leave it to
+the wrapper.
+
+White space is what Python's str.split parts at, no-break spaces included. Null and empty html, and pages
+without an article, give an empty string. Pages without a host are a host of their own. Repeated pages
+give their text each, but count once as evidence of template; of containers of equal weight the first by
+path is taken. Texts of any length are read whole, and alignment takes time in proportion to their items.
+An empty table gives no rows. Other columns are kept; one named like the output is replaced, and columns
+may be named like the operator's own.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as htmllib
 import json
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +39,8 @@ from pyspark.sql import functions as F
 from quillmesh.llm.url_trust import host_of
 from quillmesh.llm.util import cut, mapped, table
 
-CONSTANT = 3
+CONSTANT = 3  # different pages that show a text to be template
+MENU = 0.7  # share of an item's characters in links that makes it a menu
 SALTS = 64
 SHIPPED = 32 << 20  # bytes of wrappers that may go to all tasks
 
@@ -45,6 +54,8 @@ BOILER = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|side-?bar|menu\w*|nav|navbar|navigation|breadcrumbs?|cookies?|notice|notices|consent|gdpr|newsletter|subscribe|subscription|popup|modal|overlay|share|sharing|social|related|recommended|comments?|comment-?list|disqus|respond|replies|masthead|site-?header|page-?header|header|footer|site-?footer|page-?footer|copyright|legal|widget|toolbar|pagination|pager|skip-?link|alert|login|signup|search)(?:$|[\s_-])",
     re.I,
 )
+ARTICLE = re.compile(r"(?:^|/)(?:article|main)(?:[./]|$)")
+PROSE = set("ul ol dl table blockquote figure details section".split())
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar"}
 TOKEN = re.compile(r"<!--(.*?)(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -68,22 +79,24 @@ def boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
 
 def label(tag: str, attrs: str) -> str:
     m = re.search(r"class\s*=\s*[\"']?([\w-]+)", attrs) if attrs else None
-    return tag + ("." + re.sub(r"[0-9]+", "#", m[1].lower()) if m else "")
+    return tag + ("." + re.sub(r"[0-9]{2,}", "#", m[1].lower()) if m else "")
 
 
-def blocks(page: str) -> list[tuple[str, bool, str]]:
-    """(signature, boilerplate, text) of each block of a page, in order; texts decoded, white space single."""
-    stack: list[tuple[str, str, bool]] = []  # tag, label, boilerplate (own or inherited)
-    out: list[tuple[str, bool, str]] = []
+def blocks(page: str) -> list[tuple[str, bool, str, float, int]]:
+    """(signature, boilerplate, text, share in links, container's number) of each block of a page, in order; texts decoded, white space single."""
+    stack: list[tuple] = []  # tag, label, boilerplate (own or inherited), number
+    out: list[tuple[str, bool, str, float, int]] = []
     buf: list[str] = []
-    tag_of_block, at, n, articles = "", 0, len(page), 0
+    tag_of_block, at, n, articles, number, linked, link = "", 0, len(page), 0, 0, 0, False
 
     def close():
+        nonlocal linked
         if buf:
             text = " ".join(htmllib.unescape("".join(buf)).split())
             if text:
-                out.append(("/".join(x[1] for x in stack) + "/" + tag_of_block, bool(stack) and stack[-1][2], text))
+                out.append(("/".join(x[1] for x in stack) + "/" + tag_of_block, bool(stack) and stack[-1][2], text, linked / max(sum(map(len, buf)), 1), stack[-1][3] if stack else 0))
             buf.clear()
+        linked = 0
 
     while at < n:
         lt = page.find("<", at)
@@ -92,6 +105,7 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
             break
         if lt > at:
             buf.append(page[at:lt])
+            linked += (lt - at) * link
         m = TOKEN.match(page, lt) or LOOSE.match(page, lt)
         if not m:
             buf.append("&lt;")
@@ -111,10 +125,12 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
             if tag not in INLINE:
                 close()
             continue
+        if tag == "a":
+            link = not end
         if tag in INLINE:
             if not end and attrs and tag not in VOID and boilerplate(tag, attrs, articles > 0):
                 close()
-                stack.append((tag, label(tag, attrs), True))
+                stack.append((tag, label(tag, attrs), True, number))
             elif end and stack and stack[-1][0] == tag:
                 close()
                 stack.pop()
@@ -124,7 +140,7 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
             continue
         if tag not in CONTAINERS:
             if not end and boilerplate(tag, attrs, articles > 0):  # a paragraph of its own that is none of the article
-                stack.append((tag, label(tag, attrs), True))
+                stack.append((tag, label(tag, attrs), True, number))
             elif end and stack and stack[-1][0] == tag:
                 stack.pop()
             elif not end and stack and stack[-1][0] not in CONTAINERS and stack[-1][0] not in INLINE:
@@ -136,7 +152,8 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
             while stack and stack[-1][0] == tag and tag in ("tr", "thead", "tbody", "tfoot"):
                 stack.pop()
             bad = bool(stack) and stack[-1][2] or boilerplate(tag, attrs, articles > 0)
-            stack.append((tag, label(tag, attrs), bad))
+            number += 1
+            stack.append((tag, label(tag, attrs), bad, number))
             articles += tag in ("article", "main")
         elif any(x[0] == tag for x in stack):
             while True:
@@ -148,49 +165,63 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
     return out
 
 
-# A wrapper is a list of items [signature, optional, repeated, template text or None, boilerplate, characters, pages].
+# A wrapper is a list of items [signature, optional, repeated, template text or None, boilerplate, characters, pages,
+# characters in links, digests of up to CONSTANT different pages].
 
 
 def stream(page_blocks: list) -> list[list]:
     """A page as a wrapper: runs of a signature folded to one repeated item."""
     out: list[list] = []
-    for sig, bad, text in page_blocks:
+    digest = zlib.crc32("\n".join(b[2] for b in page_blocks).encode("utf-8", "surrogatepass"))
+    for sig, bad, text, linked, _ in page_blocks:
         if out and out[-1][0] == sig:
             out[-1][2], out[-1][3] = True, None
             out[-1][5] += len(text)
+            out[-1][7] += len(text) * linked
         else:
-            out.append([sig, False, False, text if len(text) <= 200 else None, bad, len(text), 1])
+            out.append([sig, False, False, text if len(text) <= 200 else None, bad, len(text), 1, len(text) * linked, [digest]])
     return out
 
 
+def united(p: list, q: list, pages: int, optional: bool, repeated: bool, text) -> list:
+    return [p[0], optional, repeated, text, p[4] and q[4], p[5] + q[5], pages, p[7] + q[7], sorted({*p[8], *q[8]})[:CONSTANT]]
+
+
+def common(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of a long common subsequence: k-th occurrences of a signature match, as many in order as can (n log n)."""
+    seen: dict[str, int] = {}
+    place = {}
+    for j, sig in enumerate(y):
+        seen[sig] = k = seen.get(sig, 0) + 1
+        place[sig, k] = j
+    seen, tails, last, back = {}, [], [], {}
+    for i, sig in enumerate(x):
+        seen[sig] = k = seen.get(sig, 0) + 1
+        j = place.get((sig, k))
+        if j is None:
+            continue
+        at = bisect.bisect_left(tails, j)
+        tails[at : at + 1] = [j]
+        last[at : at + 1] = [(i, j)]
+        back[i, j] = last[at - 1] if at else None
+    out, p = [], last[-1] if last else None
+    while p is not None:
+        out.append(p)
+        p = back[p]
+    return out[::-1]
+
+
 def align(a: list[list], b: list[list]) -> list[list]:
-    """The wrapper of two: longest common signatures match, what is left becomes optional."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head][0] == b[head][0]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail][0] == b[-1 - tail][0]:
-        tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i][0] == y[j][0] else max(best[i + 1][j], best[i][j + 1])
-    both = lambda p, q: [p[0], p[1] or q[1], p[2] or q[2], p[3] if p[3] == q[3] else None, p[4] and q[4], p[5] + q[5], p[6] + q[6]]
+    """The wrapper of two: signatures of a common subsequence match, what is left becomes optional."""
     maybe = lambda p: [p[0], True, *p[2:]]
-    out = [both(p, q) for p, q in zip(a[:head], b[:head])]
+    out: list[list] = []
     i = j = 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i][0] == y[j][0] and best[i][j] == best[i + 1][j + 1] + 1:
-            out.append(both(x[i], y[j]))
-            i, j = i + 1, j + 1
-        elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
-            out.append(maybe(x[i]))
-            i += 1
-        else:
-            out.append(maybe(y[j]))
-            j += 1
-    out += [both(p, q) for p, q in zip(a[len(a) - tail :], b[len(b) - tail :])]
+    for x, y in [*common([p[0] for p in a], [p[0] for p in b]), (len(a), len(b))]:
+        out += [maybe(p) for p in a[i:x]] + [maybe(p) for p in b[j:y]]
+        if x < len(a):
+            p, q = a[x], b[y]
+            out.append(united(p, q, p[6] + q[6], p[1] or q[1], p[2] or q[2], p[3] if p[3] == q[3] else None))
+        i, j = x + 1, y + 1
     return squeeze(out)
 
 
@@ -201,29 +232,59 @@ def squeeze(items: list[list]) -> list[list]:
         for size in range(1, 9):  # a group that repeats what the wrapper just had
             if len(out) >= size and out[-size][0] == p[0]:
                 q = out[-size]
-                q[1], q[2], q[3], q[4], q[5], q[6] = q[1] and p[1], True, None, q[4] and p[4], q[5] + p[5], max(q[6], p[6])
+                out[-size] = united(q, p, max(q[6], p[6]), q[1] and p[1], True, None)
                 break
         else:
             out.append(list(p))
     return out
 
 
-def article_signatures(wrapper: list[list]) -> list[str]:
-    """The signatures whose text is the article."""
-    good = [p for p in wrapper if not p[4]]
-    inside = [p for p in good if re.search(r"(?:^|/)(?:article|main)(?:[./]|$)", p[0])]
-    if inside:
-        return sorted({p[0] for p in inside})
-    good = [p for p in good if not (p[3] is not None and p[6] >= CONSTANT)]
-    by: dict[str, int] = {}
-    for p in good:
-        parent = p[0].rpartition("/")[0]
-        by[parent] = by.get(parent, 0) + p[5]
-    if not by:
-        return []
-    top = max(sorted(by), key=lambda k: by[k])
-    # its container, what is nested in it, and containers that hold as much of the text in their own right
-    return sorted({p[0] for p in good if (q := p[0].rpartition("/")[0]) == top or q.startswith(top + "/") or by[q] * 4 >= by[top]})
+def container(sig: str) -> str:
+    return sig.rpartition("/")[0]
+
+
+def learned(wrapper: list[list]) -> dict:
+    """What a host's wrapper knows: template (signature and text), signatures of menus, and each container's weight."""
+    fixed, links, chars, pages = [], [], {}, {}
+    for p in wrapper:
+        if p[4]:
+            continue
+        if p[3] is not None and len(p[8]) >= CONSTANT:
+            fixed.append([p[0], p[3]])
+        elif p[7] >= MENU * p[5]:
+            links.append(p[0])
+        else:
+            q = container(p[0])
+            chars[q] = chars.get(q, 0) + p[5]
+            pages[q] = max(pages.get(q, 0), p[6])
+    return {"fixed": fixed, "links": links, "weight": {q: chars[q] / pages[q] for q in chars}}
+
+
+def article(page_blocks: list, known: dict) -> list[str]:
+    """The texts of a page's article."""
+    fixed, links, weight = {tuple(x) for x in known["fixed"]}, set(known["links"]), known["weight"]
+    live = [(sig, text, number) for sig, bad, text, _, number in page_blocks if not bad]
+    first = lambda found: max(sorted({container(x[0]) for x in found}), key=lambda q: weight.get(q, 0), default="")
+    inside = [x for x in live if ARTICLE.search(x[0])]
+    slots = [x for x in inside if x[:2] not in fixed]
+    if slots:
+        top = first(slots)
+        return [x[1] for x in inside if x[:2] not in fixed or container(x[0]) == top]
+    slots = [x for x in live if x[:2] not in fixed and x[0] not in links]
+    top = first(slots)
+    single = {q for q in {container(x[0]) for x in slots} if len({x[2] for x in slots if container(x[0]) == q}) == 1}
+    whole = top.rpartition("/")[2].partition(".")[0] not in ("", "html", "body")
+
+    def belongs(sig: str) -> bool:
+        q = container(sig)
+        if q == top or sig.endswith("/h1"):
+            return True
+        if q.startswith(top + "/") and (whole or q[len(top) + 1 :].partition("/")[0].partition(".")[0] in PROSE):
+            return True
+        beside = container(q) == container(top) or container(q) == top
+        return beside and q in single and weight.get(q, 0) * 4 >= weight.get(top, 0)
+
+    return [text for sig, text, _ in slots if belongs(sig)]
 
 
 def _infer(url_host: str, page: str):
@@ -255,37 +316,40 @@ def wrappers(pages: DataFrame, host: str, html: str) -> DataFrame:
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text") -> DataFrame:
     """pages with `out`: the main text of each."""
-    cols = [c for c in pages.columns if c != out]
-    p = pages.select(*[F.col(f"`{c}`") for c in cols])
-    keyed = p.withColumn("_host", host_of(F.col(url)))
-    signs = cut(mapped(wrappers(keyed, "_host", html), _signatures, "host string, signs array<string>"))
-    schema = p.withColumn(out, F.lit("")).schema
-    total = signs.agg(F.coalesce(F.sum(F.length(F.array_join("signs", ""))), F.lit(0)), F.count("*")).first()
+    kept = [c for c in pages.columns if c != out]
+    cols = [f"c{i}" for i in range(len(kept))]
+    p = pages.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, cols)], host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html"))
+    known = cut(mapped(wrappers(p, "host", "html"), _learned, "host string, known string"))
+    schema = p.select(*cols).withColumn("text", F.lit("")).schema
+    total = known.agg(F.coalesce(F.sum(F.length("known")), F.lit(0)), F.count("*")).first()
     if total[0] + 100 * total[1] <= SHIPPED:
-        known = {r.host: frozenset(r.signs) for r in signs.collect()}
-        return mapped(keyed, _texts(html, out, known, cols), schema)
-    joined = keyed.join(signs.withColumnRenamed("host", "_host").withColumnRenamed("signs", "_signs"), "_host", "left")
-    return mapped(joined, _texts(html, out, None, cols), schema)
+        found = mapped(p, _texts({r.host: r.known for r in known.collect()}, cols), schema)
+    else:
+        found = mapped(p.join(known, "host", "left"), _texts(None, cols), schema)
+    return found.select(*[F.col(n).alias(c) for c, n in zip(kept, cols)], F.col("text").alias(out))
 
 
-def _signatures(batches):
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([article_signatures(json.loads(w)) for w in b.column(1).to_pylist()], pa.list_(pa.string()))], ["host", "signs"])
+NOTHING = '{"fixed": [], "links": [], "weight": {}}'
 
 
-def _text(page: str, keep) -> str:
-    found = blocks(page)
-    if not any(s in keep and not bad for s, bad, _ in found):  # of another template than the host's article
-        keep = set(article_signatures(squeeze(stream(found))))
-    return "\n".join(t for s, bad, t in found if s in keep and not bad)
+def _learned(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([json.dumps(learned(json.loads(w))) for w in b.column(1).to_pylist()], pa.string())], ["host", "known"])
 
 
-def _texts(html: str, out: str, known, cols):
+def _texts(known, cols):
     def run(batches):
+        last: dict = {}
         for b in batches:
-            keep = [known.get(h, ()) for h in b.column("_host").to_pylist()] if known is not None else [set(x or ()) for x in b.column("_signs").to_pylist()]
-            texts = [_text(p, k) if p else "" for p, k in zip(b.column(html).to_pylist(), keep)]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in cols], pa.array(texts, pa.string())], [*cols, out])
+            at = b.schema.names.index
+            host, html = b.column(at("host")).to_pylist(), b.column(at("html")).to_pylist()
+            have = [known.get(h, NOTHING) for h in host] if known is not None else [x or NOTHING for x in b.column(at("known")).to_pylist()]
+            texts = []
+            for h, k, page in zip(host, have, html):
+                if h not in last:
+                    last = {**(last if len(last) < 1000 else {}), h: json.loads(k)}
+                texts.append("\n\n".join(article(blocks(page), last[h])) if page else "")
+            yield pa.RecordBatch.from_arrays([*[b.column(at(c)) for c in cols], pa.array(texts, pa.string())], [*cols, "text"])
 
     return run
 

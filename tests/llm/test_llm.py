@@ -413,8 +413,8 @@ def test_html(spark):
     ]
     d = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, text int")
     got = {r.page_id: r.text for r in html_wrap.extract(d).collect()}
-    assert got[1] == "Title & more\nLead\nOne two three italic.\n<b> é" and got[2] == "Other\nOnly &&& one."
-    assert got[3] == "First text of b which is long.\nSecond text here." and got[4] == "Another text of b which is long."
+    assert got[1] == "Title & more\n\nLead\n\nOne two three italic.\n\n<b> é" and got[2] == "Other\n\nOnly &&& one."
+    assert got[3] == "First text of b which is long.\n\nSecond text here." and got[4] == "Another text of b which is long."
     assert got[5] == "" and got[6] == "" and got[7] == long and got[8] == "plain text only" and got[9] == ""
     assert html_wrap.extract(d.limit(0)).count() == 0
 
@@ -427,7 +427,7 @@ def test_html_nested_deep(spark):
     rows += [(i, f"http://b.example.com/{i}", page(f"<div><div class='content'><p>{long}{i}</p>{deep(i)}</div></div>", i)) for i in range(3, 6)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string")
     for r in html_wrap.extract(d).collect():
-        assert r.text.split("\n") == [f"{long}{r.page_id}", f"cell {r.page_id}", f"item {r.page_id}"]
+        assert r.text.split("\n\n") == [f"{long}{r.page_id}", f"cell {r.page_id}", f"item {r.page_id}"]
 
 
 def test_html_pages_of_another_template(spark):
@@ -438,12 +438,87 @@ def test_html_pages_of_another_template(spark):
     rows += [(i, f"http://c.example.com/{i}", page("<div class='content'><h1>Copy</h1><p>One paragraph.</p></div>")) for i in range(10, 15)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_wrap.extract(d).collect()}
-    assert got[0] == "Article text number 0" and got[4] == "Other head\nOther template text"
-    assert got[9] == "A short one." and got[12] == "Copy\nOne paragraph."
+    assert got[0] == "Article text number 0" and got[4] == "Other head\n\nOther template text"
+    assert got[9] == "A short one." and got[12] == "Copy\n\nOne paragraph."
+
+
+NEUTRAL = [
+    ("<div class='q1'><ul>{links}</ul></div>", False), ("<div class='q2'><p>We keep some small files on your device.</p></div>", False), ("<div class='q3'><h1>Title {i}</h1><p>{text}</p><p>{more}</p></div>", True),
+    ("<div class='q4'><p>Short note of day {i}.</p></div>", False), ("<div class='q5'><div class='q6'><p>Reader {i} says hello there.</p></div><div class='q6'><p>Another one, {i} times.</p></div></div>", False), ("<div class='q7'><p>All rights reserved by the makers of this site, whoever they are.</p></div>", False),
+]
+
+
+def neutral_pages(n, host):
+    r = random.Random(host)
+    out = []
+    for i in range(n):
+        text, more = (" ".join(r.choice("abcdefgh") * r.randrange(2, 7) for _ in range(40)) for _ in range(2))
+        links = "".join(f"<li><a href='/{k}'>entry {r.randrange(1000)} of {host}</a></li>" for k in range(30))
+        out.append((f"http://{host}/{i}", "<html><body>" + "".join(p for p, _ in NEUTRAL).format(i=i, text=text, more=more, links=links) + "</body></html>", f"Title {i}\n\n{text}\n\n{more}"))
+    return out
+
+
+@pytest.mark.parametrize("shipped", [0, 1 << 25])
+def test_html_neutral_names_need_alignment(spark, monkeypatch, shipped):
+    monkeypatch.setattr(html_wrap, "SHIPPED", shipped)
+    rows = [(k, *x) for k, x in enumerate(neutral_pages(8, "n1.example.com") + neutral_pages(5, "n2.example.org"))]
+    rows += [(100, *rows[0][1:]), (101, *rows[0][1:])]  # repeated pages
+    d = spark.createDataFrame([(i, u, h, "clash", "x") for i, u, h, _ in rows], "page_id long, url string, html string, host string, known string").repartition(3)
+    got = {r.page_id: r for r in html_wrap.extract(d).collect()}
+    assert all(got[i].text == want and got[i].host == "clash" and got[i].known == "x" for i, _, _, want in rows)
+    # alone, a page of a few words does not tell its notices from its article
+    short = "<html><body><div class='q2'><p>We keep some small files on your device, and so on and on.</p></div><div class='q3'><p>Tiny {}</p></div></body></html>"
+    alone = html_wrap.article(html_wrap.blocks(short.format(0)), html_wrap.learned(html_wrap.stream(html_wrap.blocks(short.format(0)))))
+    w = html_wrap.stream(html_wrap.blocks(short.format(0)))
+    for i in range(1, 4):
+        w = html_wrap.align(w, html_wrap.stream(html_wrap.blocks(short.format(i))))
+    assert alone != ["Tiny 0"] and html_wrap.article(html_wrap.blocks(short.format(0)), html_wrap.learned(w)) == ["Tiny 0"]
+
+
+def test_html_against_brute_force(spark):
+    # on the driver's pages: blocks of the article element, by the standard library's parser
+    from html.parser import HTMLParser
+
+    class Brute(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.buf, self.inside = [], "", False
+
+        def flush(self):
+            if self.inside and self.buf.split():
+                self.out.append(" ".join(self.buf.split()))
+            self.buf = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in ("b", "i", "a", "em", "span"):
+                self.flush()
+            self.inside = self.inside or tag == "article"
+
+        def handle_endtag(self, tag):
+            if tag not in ("b", "i", "a", "em", "span"):
+                self.flush()
+            self.inside = self.inside and tag != "article"
+
+        def handle_data(self, data):
+            self.buf += data
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r.text for r in html_wrap.extract(pages).collect()}
+    for r in pages.collect():
+        p = Brute()
+        p.feed(r.html)
+        p.close()
+        p.flush()
+        assert got[r.page_id] == "\n\n".join(p.out)
+
+
+def test_align_is_bounded():
+    w = html_wrap.stream([(f"s{i % 40_000}", False, "x", 0.0, 0) for i in range(60_000)])
+    assert len(html_wrap.align(w, w)) == len(html_wrap.squeeze(w))
 
 
 def test_wrappers_align():
-    s = lambda *tags: html_wrap.stream([(t, False, t + str(i)) for i, t in enumerate(tags)])
+    s = lambda *tags: html_wrap.stream([(t, False, t + str(i), 0.0, 0) for i, t in enumerate(tags)])
     w = html_wrap.align(s("h", "p", "p", "f"), s("h", "x", "p", "f"))
     assert [(p[0], p[1], p[2]) for p in w] == [("h", False, False), ("x", True, False), ("p", False, True), ("f", False, False)]
     assert html_wrap.align(w, s("h", "p", "f"))[1][:2] == ["x", True]
