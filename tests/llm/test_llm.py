@@ -159,9 +159,8 @@ def test_decontaminate(spark, block):
 
 
 def test_mixing(spark, docs):
-    d = mixing.finish_times(docs)
-    taken = mixing.entry_words(F.lit(0)) + mixing.entry_words(F.lit(1))
-    got = d.select("doc_id", "size", "src", "source_size", "target", taken.alias("taken")).collect()
+    sources = {(r.doc_id, r.source) for r in docs.collect()}
+    got = mixing.taken(docs).collect()
     sizes = Counter()
     for r in docs.collect():
         sizes[r.source] += len(re.findall(WORD, r.text or ""))
@@ -174,14 +173,45 @@ def test_mixing(spark, docs):
         target |= {s: 2.0 * sizes[s] for s in full} if full else {s: share * weight[s] for s in free}
         left -= sum(2 * sizes[s] for s in full)
         free = free - full if full else set()
+    of = {sizes[s]: s for s in order}
     total = Counter()
     for r in got:
-        assert r.size >= 0 and 0 <= r.taken <= 2 * r.size and r.source_size == sizes[r.src] and r.target == pytest.approx(target[r.src])
-        total[r.src] += r.taken
-    assert all(total[s] == math.floor(target[s] + 1e-9) for s in order)
-    m = mixing.mix(docs).collect()
-    assert sum(r.mix_words for r in m) == sum(total.values()) and [r.mix_finish for r in m] == sorted(r.mix_finish for r in m)
-    assert mixing.finish_times(empty(spark)).count() == 0
+        s = of[r.source_size]
+        assert r.size >= 0 and 0 <= r.taken <= 2 * r.size and (r.doc_id, s) in sources and r.target == pytest.approx(target[s])
+        assert (r.finish is None) == (r.taken == 0) and (r.finish or 0) < 1 + 1e-2
+        total[s] += r.taken
+    budget = math.floor(sum(target.values()) + 1e-6)
+    assert sum(total.values()) == budget and all(abs(total[s] - target[s]) <= len(order) for s in order)
+    m = mixing.mix(docs.withColumn("mix_words", F.lit("user's")).withColumn("src_key", F.lit(7)).withColumn("size", F.lit(8))).collect()
+    assert sum(r.mix_words for r in m) == budget and [r.mix_finish for r in m] == sorted(r.mix_finish for r in m) and {(r.src_key, r["size"]) for r in m} == {(7, 8)}
+    by = Counter()
+    for r in m:
+        by[r.source] += r.mix_words
+    assert by == total
+    assert mixing.taken(empty(spark)).count() == 0 and mixing.mix(empty(spark)).count() == 0
+    wordless = spark.createDataFrame([(1, None, "a", "en"), (2, " ", None, "en")], docs.schema)
+    assert [r.taken for r in mixing.taken(wordless).collect()] == [0, 0] and mixing.mix(wordless).count() == 0
+
+
+def test_mixing_goes_by_finish_time(spark):
+    # a range of one unit of virtual time has every fragment in it: the cut is found by sorting alone, and is the same
+    r = random.Random(8)
+    rows = [(i, " ".join("w" * r.randrange(1, 200)), f"s{i % 7}" if i % 11 else None, "en") for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = mixing.taken(d).collect()
+    q = mixing.queue(d).select("doc_id", "src_key", "size", "source_size", "target", "before").collect()
+    parts = []
+    for x in q:
+        for k in range(2):
+            start = x.before + x.source_size * k
+            early = max(0, min(x["size"], math.floor(x.target) - start))
+            parts += [(1.0 if early < x["size"] else (start + early) / x.target, x.src_key, start + early, early, x.doc_id)] * (early > 0)
+            parts += [((start + x["size"]) / x.target, x.src_key, start + x["size"], x["size"] - early, x.doc_id)] * (early < x["size"])
+    left, want = math.floor(sum({x.src_key: x.target for x in q}.values()) + 1e-6), Counter()
+    for _, _, _, words_, i in sorted(parts):
+        want[i] += min(words_, left)
+        left -= min(words_, left)
+    assert {x.doc_id: x.taken for x in got} == {i: want[i] for i, *_ in rows}
 
 
 def test_fingerprint(spark, docs):
