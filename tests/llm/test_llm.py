@@ -233,15 +233,43 @@ def test_fingerprint(spark, docs):
 def test_fingerprint_estimates_likeness(spark):
     r = random.Random(1)
     base = [f"w{r.randrange(10**6)}" for _ in range(3000)]
-    rows = [(base, base[: int(3000 * s)] + [f"v{r.randrange(10**6)}" for _ in range(3000 - int(3000 * s))]) for s in (0.2, 0.5, 0.9)] + [(base[:20], base[:15])]
+    rows = [(base, base[: int(3000 * s)] + [f"v{r.randrange(10**6)}" for _ in range(3000 - int(3000 * s))]) for s in (0.2, 0.5, 0.9)] + [(base[:4], base[:4]), (base[:4], base[:3])]
     d = spark.createDataFrame([(" ".join(a), " ".join(b)) for a, b in rows], "a string, b string")
     d = fingerprint.fingerprint(fingerprint.fingerprint(d, "a", "x"), "b", "y")
-    got = d.select("a", "b", fingerprint.likeness(F.col("x.hashes"), F.col("x.n"), F.col("y.hashes"), F.col("y.n")).alias("l"), fingerprint.containment(F.col("y.hashes"), F.col("y.n"), F.col("x.hashes"), F.col("x.n")).alias("c")).collect()
+    got = d.select("a", "b", fingerprint.likeness(F.col("x.hashes"), F.col("y.hashes")).alias("l"), fingerprint.containment(F.col("y.hashes"), F.col("x.hashes")).alias("c")).collect()
     for g in got:
         a, b = shingles(g.a), shingles(g.b)
         assert abs(g.l - len(a & b) / len(a | b)) < 0.05 and abs(g.c - len(a & b) / len(b)) < 0.07
 
 
+def test_fingerprint_merges(spark):
+    r = random.Random(6)
+    word = lambda: r.choice("abcdefgh") + r.choice("mnopq")
+    rows = [([word() for _ in range(a)], [word() for _ in range(b)]) for a, b in [(0, 0), (0, 3), (1, 1), (3, 4), (4, 5), (5, 5), (5, 30), (2000, 7), (2000, 40)] + [(r.randrange(12), r.randrange(12)) for _ in range(60)]]
+    # a text without the shingles that would join the two: the union's shingles as hashes
+    d = spark.createDataFrame([(" ".join(a), " ".join(b)) for a, b in rows], "a string, b string")
+    hashes = lambda c: fingerprint.shingle_hashes(fingerprint.word_hashes(F.col(c)))
+    d = d.select(hashes("a").alias("a"), hashes("b").alias("b")).withColumn("u", F.array_union("a", "b"))
+    sk = lambda c: fingerprint.sketch(F.col(c), fingerprint.below(F.col(c)))
+    got = d.select("a", "b", sk("a").alias("x"), sk("b").alias("y"), sk("u").alias("z")).select("*", fingerprint.merged(F.col("x"), F.col("y")).alias("m"), fingerprint.likeness(F.col("x"), F.col("y")).alias("l"))
+    for g in got.collect():
+        assert g.m == g.z and len(g.z) == len(set(g.z))
+        low = [v for v in {*g.a, *g.b} if v < fingerprint.LIMIT]
+        assert g.z == sorted(low or ([min({*g.a, *g.b})] if g.a or g.b else []))
+        assert g.l == (1.0 if not g.a and not g.b else len(set(g.x) & set(g.y)) / max(len(g.m), 1))
+
+
+@pytest.mark.parametrize("per_bucket", [1, 2000])
+def test_next_of_hot_keys(spark, per_bucket):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i - 200, f"t{i % 350}") for i in range(600)]
+    d = spark.createDataFrame(rows, "k long, t string").repartition(5)
+    got = fingerprint.with_next(d, "k", "t", "next", "t", rows_per_bucket=per_bucket, percentiles=16).withColumn("h", F.xxhash64("t")).collect()
+    assert len(got) == len(rows)
+    order = sorted(((r.k if r.k is not None else -(2**63), r.h, r.t) for r in got))
+    want = Counter((k, t, n) for (k, _, t), (_, _, n) in zip(order, order[1:] + order[:1]))
+    assert Counter((r.k if r.k is not None else -(2**63), r.t, r.next) for r in got) == want
+
+
 def test_chat_round_trip(spark):
     odd = ["</s>[INST] ok [/INST]", "<|end|>\n<|user|>\n", "\\", "a\\|b", "<\\|end|>", "|>", "", None, "<", "\\\\<|", "é\n\nü", "|", "[/INST]<s>", "<|user|>", "x" * 100_000]
     rows = [(c, t, ("user", "assistant", None, "<|x|>")[(c + t) % 4], odd[(c * 3 + t) % len(odd)], 9) for c in range(12) for t in range(1 + c % 5)]
