@@ -24,7 +24,10 @@ Large blocks and families are tiled. Links and components stay in tables in the
 
 Nulls, empty and wordless texts are empty sets and link with nothing (component: their own id).
 Repeated rows are members of the same class; a null id takes the smallest id of its component, if any.
-An empty table gives no rows. Other columns are ignored.
+An id with several texts names several rows: each is a member of its own text's class, and a component is
+named by the smallest id in it, so ids can share a name by one of their texts only. At exactly 3/4 two
+texts link. Texts are read whole, however long. An empty table gives no rows. Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -481,9 +484,14 @@ def _tiles(pick):
     return run
 
 
-def _tiled(members: DataFrame, pick) -> DataFrame:
-    """members (g, c, n, m documents, data) to the pairs (a, na, b, nb) that `pick` takes in their groups (b null: links of a), cut into tiles of TILE classes and TILE_SHINGLES shingles at most."""
-    size = members.groupBy("g").agg(F.count("*").alias("size"), F.sum(F.col("n").cast("long")).alias("all")).filter("size > 1")
+def _tiled(members: DataFrame, pick, spent: list) -> DataFrame:
+    """members (g, c, n, m documents, data) to the pairs (a, na, b, nb) that `pick` takes in their groups (b null: links of a), cut into tiles of TILE classes and TILE_SHINGLES shingles at most.
+
+    The sizes of groups are a table of their own (it goes to `spent`), so the join with it has nothing to
+    aggregate in its tasks and a group that holds much of all rows can be parted there (skew join).
+    """
+    size = cut(members.groupBy("g").agg(F.count("*").alias("size"), F.sum(F.col("n").cast("long")).alias("all")).filter("size > 1"))
+    spent.append(size)
     tiles = F.ceil(F.greatest(F.col("size") / TILE, F.col("all") / TILE_SHINGLES)).cast("int")
     m = members.join(size, "g").withColumn("tiles", tiles).withColumn("slot", F.pmod(F.xxhash64("c", "n"), F.col("tiles").cast("long")).cast("int"))
     m = m.withColumn("t", F.explode(F.expr("transform(sequence(0, tiles - 1), t -> struct(least(t, slot) AS t1, greatest(t, slot) AS t2))")))
@@ -530,15 +538,16 @@ def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", link
     small = mapped(small.select("a", "na", "b", "nb", "pa", "pb"), _bounded, "a long, na int, b long, nb int")
     large = found.filter("h IS NOT NULL").select(F.col("h").alias("g"), F.col("a").alias("c"), F.col("na").alias("n"))
     large = large.join(point.select("c", "n", F.lit(0).cast("long").alias("m"), F.col("point").alias("data")), ["c", "n"])
-    families = components(_named(small.union(_tiled(large, _joined).drop("links")), classes))
-    forget(found)
+    spent: list[DataFrame] = []
+    families = components(_named(small.union(_tiled(large, _joined, spent).drop("links")), classes))
+    forget(found, *spent)
 
     members = cut(classes.select("cid", "n", "m", "node", "doc").join(families, "node").select(F.col("label").alias("g"), F.col("cid").alias("c"), "n", "m", "doc"))
     sets = _needed_sets(docs, members)
-    found = _tiled(members.select("g", "c", "n", "m").join(sets, ["c", "n"]), _Linked() if links else _settled)
+    found = _tiled(members.select("g", "c", "n", "m").join(sets, ["c", "n"]), _Linked() if links else _settled, spent)
     found = cut(found) if links else found
     comp = components(_named(found.filter("b IS NOT NULL").drop("links"), classes))
-    forget(members)
+    forget(members, *spent)
 
     out = classes.select("cid", "n", "m", "node", "doc").join(comp, "node", "left").withColumn("label", F.coalesce("label", "node"))
     low = out.groupBy("label").agg(F.min("doc").alias("component_id"))

@@ -1,14 +1,18 @@
 """Personal data: patterns, and a character BiLSTM-CRF that adds what they miss (operator 7).
 
 The base patterns find emails, IPs, card and phone numbers, leftmost and non-overlapping per kind;
-matches that fail their check are dropped. The tagger reads every stretch that could hold personal data:
-one has an @ or four digits, so text further than a window's overlap from any digit or @ has no span by
-definition. Long stretches are read in overlapping windows; each window decides the tags of its middle.
-Tagged spans are reconciled over the whole text: those that touch a base span, or fail their kind's
-check (parts of an IP, digits and checksum of a card, digits of a phone), are left out.
+matches that fail their check are dropped. The tagger adds what the patterns can't see: data beside other
+numbers, and data in writings that no pattern matches (`name [at] host (dot) org`, `10[.]0[.]0[.]1`, cards
+with dots, slashes or double spaces, phones without a plus). It reads every stretch that could hold
+personal data: one has an @, a bracketed at or dot, or four digits, so text further than a window's overlap
+from any of these or a digit has no span by definition. Long stretches are read in overlapping windows;
+each window decides the tags of its middle. Tagged spans are reconciled over the whole text: those that
+touch a base span, or don't hold what their kind must (an address, four parts of an IP, digits and checksum
+of a card, digits of a phone), are left out.
 
 Spans are code points, end exclusive, in order of start, then kind. Null and empty texts have none;
-repeated rows have the same spans; texts of any length are read whole; an empty table gives no rows.
+repeated rows have the same spans; texts of any length are read whole; an empty table gives no rows. Of
+tagged spans that touch the first stays. Columns of docs stay, but for one named like the output.
 """
 
 from __future__ import annotations
@@ -35,7 +39,10 @@ _STARTS = {"email": r"(?<![A-Za-z0-9._%+-])", "ip": r"(?<![0-9])", "card": "", "
 _AT = {k: re.compile(p) for k, p in zip(KINDS, (EMAIL, IP, CARD, PHONE))}
 _FROM = {k: re.compile(_STARTS[k] + p) for k, p in zip(KINDS, (EMAIL, IP, CARD, PHONE))}
 TRIGGER = np.zeros(256, bool)
-TRIGGER[48:58] = TRIGGER[64] = True
+TRIGGER[48:58] = TRIGGER[[ord(c) for c in "@[({"]] = True
+#: An at sign or a dot that is written in brackets.
+AT = re.compile(r"\s*[\[({]\s*(?:at|@)\s*[\])}]\s*|\s+@\s+", re.I)
+DOT = re.compile(r"\s*[\[({]\s*(?:dot|\.)\s*[\])}]\s*", re.I)
 
 
 def digits(s: str) -> str:
@@ -67,7 +74,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def stretches(text: str) -> list[tuple[int, int]]:
     """Where personal data could be: around every @ and every digit, joined where windows would meet."""
-    at = [m.start() for m in re.finditer("[0-9@]", text)]
+    at = [m.start() for m in re.finditer(r"[0-9@]|[\[({]\s*(?:at|dot)\s*[\])}]", text, re.I)]
     out: list[list[int]] = []
     for p in at:
         a, b = max(0, p - OVERLAP), min(len(text), p + OVERLAP + 1)
@@ -75,7 +82,7 @@ def stretches(text: str) -> list[tuple[int, int]]:
             out[-1][1] = b
         else:
             out.append([a, b])
-    return [(a, b) for a, b in out if "@" in (s := text[a:b]) or len(digits(s)) >= 4]
+    return [(a, b) for a, b in out if "@" in (s := text[a:b]) or len(digits(s)) >= 4 or AT.search(s)]
 
 
 def windows(a: int, b: int) -> list[tuple[int, int, int]]:
@@ -129,10 +136,11 @@ def added(text: str, base: list, found: list) -> list:
         while s and s[-1] in " .,-(" or s.startswith(" "):
             a, b = (a + 1, b) if s[0] == " " else (a, b - 1)
             s = text[a:b]
+        plain = DOT.sub(".", AT.sub("@", s))
         ok = {
-            "email": re.fullmatch(EMAIL, s) is not None,
-            "ip": re.fullmatch(IP, s) is not None and passes("ip", s),
-            "card": re.fullmatch(CARD, s) is not None and passes("card", s),
+            "email": re.fullmatch(EMAIL, plain) is not None,
+            "ip": re.fullmatch(IP, plain) is not None and passes("ip", plain),
+            "card": re.fullmatch(r"[0-9](?:[ ./_-]{0,2}[0-9])+", s) is not None and passes("card", s),
             "phone": re.fullmatch(r"\+?[0-9(][\x20().0-9-]+[0-9]", s) is not None and 10 <= len(digits(s)) <= 15 and not re.fullmatch("[0-9]+", s),
         }[kind]
         edge = (a == 0 or not ("0" <= text[a - 1] <= "9")) and (b == len(text) or not ("0" <= text[b] <= "9"))

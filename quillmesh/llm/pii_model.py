@@ -10,11 +10,11 @@ KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 WINDOW, OVERLAP = 96, 32
 #: Character classes: each of these is a class of its own (fixed values).
-ALONE = "@.-+()_%\"'=:,/#$&*!|\n "
+ALONE = "@.-+()_%\"'=:,/#$&*!|\n []{}"
 CLASSES = 5 + len(ALONE)
 HIDDEN = 20
 SPANS = 9000  # labelled spans to fit on
-STEPS, BATCH, RATE = 400, 48, 0.02
+STEPS, BATCH, RATE = 500, 48, 0.02
 
 
 def encode(text: str) -> np.ndarray:
@@ -170,24 +170,25 @@ def labelled_windows(n_spans: int = SPANS, seed: int = 4):
     def card():
         d = dig(15)
         d += next(c for c in "0123456789" if luhn(d + c))
-        sep = r.choice(["", "", "", " ", "-"])
+        sep = r.choice(["", "", "", " ", "-", ".", "/", "  ", "_"])
         return sep.join(d[i : i + 4] for i in range(0, 16, 4))
 
     def phone():
-        a, b, c, k = dig(3), dig(3), dig(4), int(r.integers(0, 7))
+        a, b, c, k = dig(3), dig(3), dig(4), int(r.integers(0, 9))
         cc = dig(int(r.integers(1, 3)))
-        return [f"+{cc} ({a}) {b}-{c}", f"+{cc} ({a}) {b}-{c}", f"+{cc} {a} {b} {c}", f"+{cc}-{a}-{b}-{c}", f"+{cc}{a}{b}{c}", f"({a}) {b}-{c}", f"+{cc}.{a}.{b}.{c}"][k]
+        return [f"+{cc} ({a}) {b}-{c}", f"+{cc} ({a}) {b}-{c}", f"+{cc} {a} {b} {c}", f"+{cc}-{a}-{b}-{c}", f"+{cc}{a}{b}{c}", f"({a}) {b}-{c}", f"+{cc}.{a}.{b}.{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}"][k]
 
     def ip():
-        return ".".join(str(r.integers(1, 256)) for _ in range(4))
+        return r.choice([".", ".", ".", "[.]", "(.)", "[dot]"]).join(str(r.integers(1, 256)) for _ in range(4))
 
     def email():
         name = word() + r.choice(["", "." + word(), dig(2), "." + dig(2), "_" + word()])
-        return "".join(c for c in name if c.isascii()) + "x@" + r.choice(["mail", "host", "web", "post"]) + r.choice(["", dig(1)]) + "." + r.choice(["example", "corp", "uni"]) + "." + r.choice(["com", "org", "net", "de"])
+        at, dot = ("@", ".") if r.random() < 0.65 else r.choice([("[at]", "[dot]"), (" [at] ", " [dot] "), ("(at)", "."), (" (at) ", " (dot) "), (" @ ", "."), ("{at}", "{dot}"), (" [AT] ", " [DOT] "), ("[at]", ".")])
+        return "".join(c for c in name if c.isascii()) + "x" + at + r.choice(["mail", "host", "web", "post"]) + r.choice(["", dig(1)]) + dot + r.choice(["example", "corp", "uni"]) + dot + r.choice(["com", "org", "net", "de"])
 
     def other():
-        k = int(r.integers(0, 11))
-        return [f'token = "{pick("0123456789abcdef", int(r.integers(16, 34)))}"', dig(int(r.integers(1, 13))), f"{r.integers(1900, 2100)}", f"{r.integers(1, 32)}.{r.integers(1, 13)}.{r.integers(1990, 2030)}", f"{dig(1)}.{dig(1)}.{dig(2)}", f"{dig(2)}:{dig(2)}", f"{dig(2)},{dig(2)}", f"{dig(4)}-{dig(2)}-{dig(2)}", f"@{word()}", f"password={pick('0123456789abcdef', 18)}", f"{word()}{dig(int(r.integers(1, 4)))}"][k]
+        k = int(r.integers(0, 14))
+        return [f"[{word()}]", f"({dig(4)})", f"{word()} @ {word()}", f'token = "{pick("0123456789abcdef", int(r.integers(16, 34)))}"', dig(int(r.integers(1, 13))), f"{r.integers(1900, 2100)}", f"{r.integers(1, 32)}.{r.integers(1, 13)}.{r.integers(1990, 2030)}", f"{dig(1)}.{dig(1)}.{dig(2)}", f"{dig(2)}:{dig(2)}", f"{dig(2)},{dig(2)}", f"{dig(4)}-{dig(2)}-{dig(2)}", f"@{word()}", f"password={pick('0123456789abcdef', 18)}", f"{word()}{dig(int(r.integers(1, 4)))}"][k]
 
     make = {"email": email, "ip": ip, "card": card, "phone": phone}
     xs, ys, made = [], [], 0

@@ -4,15 +4,16 @@ The content view sees the text: word evidence (log odds of a word's presence in
 accepted documents, learned from the labels) and the make-up of its characters, words and lines. The
 metadata view sees lang, source and length. Each view is a logistic regression. In each round a view's
 most confident judgements of unlabelled documents become labels of the other. At the end each view is
-calibrated on labelled documents held out of its fit, and the views' log odds are combined with weights
-fitted there too.
+calibrated on scores of labelled documents by fits that left their third of the sample out (word evidence
+and weights both), and the views' log odds are combined with weights fitted on these scores too.
 
 Fitted on a bounded sample: at most LABELLED labelled and POOL unlabelled documents, those of smallest
-md5(id). All documents are scored, whole. A label of quality 0 or of toxic 1 means reject.
+md5(id) that the table has. All documents are scored, whole. A label of quality 0 or of toxic 1 means reject.
 
 Null texts are empty texts; null lang, source or id are values of their own; a document is scored on
 its own columns, so repeated rows score alike; contradicting labels of an id count as reject; with no
-labels, or labels of one kind only, every document scores 0.5 and is kept. An empty table gives no rows.
+labels, or labels of one kind only, every document scores 0.5 and is kept. A score of exactly the threshold
+is kept. An empty table gives no rows. Columns of docs stay, but for those named like an output.
 """
 
 from __future__ import annotations
@@ -236,8 +237,19 @@ class Model:
                     part = part[np.abs(z[part]) > 1.5]
                     lab[part], weight[part] = value, 0.3
         self.odds = ev(content_label, c_weight, np.zeros(len(y), bool))
-        # calibration and combination on the labels alone; the evidence there came from other folds
-        both = np.stack([zc[known], zm[known]], 1)
+
+        def held(x, lab, weight, l2):
+            """Scores of each third by weights fitted on the others; its evidence came from the others too."""
+            z, x1 = np.zeros(len(y)), np.hstack([x, np.ones((len(x), 1))])
+            for f in range(3):
+                use = (weight > 0) & (fold != f)
+                if len(set(lab[use])) < 2:
+                    use = weight > 0
+                z[fold == f] = x1[fold == f] @ logistic(x[use], lab[use], balance(lab[use], weight[use]), l2=l2)
+            return z
+
+        # calibration and combination on the labels alone
+        both = np.stack([held(x, content_label, c_weight, 2e-3)[known], held(m, meta_label, m_weight, 5e-2)[known]], 1)
         ones = np.ones(int(known.sum()))
         self.cal_c = logistic(both[:, :1], y[known], ones, l2=1e-4)
         self.cal_m = logistic(both[:, 1:], y[known], ones, l2=1e-4)
@@ -266,8 +278,8 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model:
     """Fit on the bounded sample. docs (doc_id, text, lang, source), labels (doc_id, quality, toxic)."""
     lab = labels.groupBy("doc_id").agg(F.min(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 0).when(F.col("quality") == 1, 1)).alias("y")).filter("y IS NOT NULL AND doc_id IS NOT NULL")
-    chosen = lab.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(labelled)
     ids = docs.select("doc_id").filter("doc_id IS NOT NULL").distinct()
+    chosen = lab.join(ids, "doc_id", "left_semi").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(labelled)
     free = ids.join(lab, "doc_id", "left_anti").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(pool).select("doc_id", F.lit(-1).alias("y"))
     picked = F.broadcast(chosen.select("doc_id", "y").union(free))  # labelled + pool rows of 12 bytes
     rows = docs.select("doc_id", "text", "lang", "source").join(picked, "doc_id")

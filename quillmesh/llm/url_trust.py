@@ -10,7 +10,9 @@ The host graph is one weighted edge per pair of hosts, aggregated before it is s
 host's rank is one row; every few rounds the ranks are written to the shared folder.
 
 Null urls, and urls without `://`, have an empty host and path; an empty host takes part in no link
-and, without a rule, is allowed. Repeated pages count again. An empty table gives no rows.
+and, without a rule, is allowed. Repeated pages count again; distrust equal to trust allows. Pages of any
+length are read whole. An empty table gives no rows. Columns of pages stay, but for those named like an
+output.
 """
 
 from __future__ import annotations
@@ -18,13 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.util import ascii_lower, cut, table
+from quillmesh.llm.util import ascii_lower, cut, forget, table
 
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 INLINE_RULES = 500
 DAMPING = 0.85
-ROUNDS = 12
+ROUNDS = 40
+TOLERANCE = 1e-3  # mass that may still move in four rounds when propagation ends
 #: Block where distrust is more than this many times the trust.
 RATIO = 1.0
 
@@ -58,9 +61,10 @@ def fit_rules(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
-    """(src, dst, w): share of src's outgoing absolute links that lead to each other host."""
-    links = pages.select(F.col("host").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"(?i)(?:href|src)\s*=\s*[\"']?([a-z][a-z0-9+.-]*://[^\"'\s>]+)"), F.lit(1)))).alias("url"))
-    e = links.select("src", host_of(F.col("url")).alias("dst")).filter("src <> '' AND dst <> '' AND src <> dst")
+    """(src, dst, w): src's links to each other host, absolute or without a scheme; a base element is a link."""
+    links = pages.select(F.col("host").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"(?i)(?:href|src)\s*=\s*[\"']?((?:[a-z][a-z0-9+.-]*:)?//[^\"'\s>]+)"), F.lit(1)))).alias("url"))
+    url = F.when(F.col("url").startswith("//"), F.concat(F.lit("http:"), "url")).otherwise(F.col("url"))
+    e = links.select("src", host_of(url).alias("dst")).filter("src <> '' AND dst <> '' AND src <> dst")
     return e.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
 
 
@@ -72,10 +76,17 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     rank = seeds.select("host", F.col("mass").alias("rank"))
     if e.isEmpty():  # no links: all mass stays with the seeds
         return rank
+    seen = rank
     for k in range(rounds):
         moved = rank.join(e, rank.host == e.src).groupBy("dst").agg((F.sum(F.col("rank") * F.col("w")) * damping).alias("rank")).select(F.col("dst").alias("host"), "rank")
         rank = moved.unionByName(base).groupBy("host").agg(F.sum("rank").alias("rank"))
-        rank = cut(rank) if k % 4 == 3 else rank
+        if k % 4 == 3:  # mass of hosts without links is not dealt out again
+            last, rank = seen, cut(rank)
+            seen = rank
+            moved = rank.join(last.withColumnRenamed("rank", "was"), "host", "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
+            if (moved or 0) < TOLERANCE:
+                break
+            forget(last)
     return rank
 
 

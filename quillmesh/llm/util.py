@@ -59,10 +59,10 @@ def forget(*dfs: DataFrame) -> None:
     for df in dfs:
         path = getattr(df, "_quillmesh_path", None)
         if path in _tables:
-            _delete(_tables.pop(path), path)
+            delete(_tables.pop(path), path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(conf).delete(p, True)
@@ -72,7 +72,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def _delete_all() -> None:
     for path, spark in list(_tables.items()):
         try:
-            _delete(spark, path)
+            delete(spark, path)
         except Exception:  # noqa: BLE001  the session has ended before
             return
 

@@ -345,6 +345,36 @@ def test_pii(spark):
     assert pii.find(d.limit(0)).count() == 0
 
 
+def test_tagger_finds_what_no_pattern_matches():
+    tagger = pii_model.fitted()
+    r = random.Random(12)
+    prose = "the of le que der und casa ver ing tion sch ment".split()
+    say = lambda n: " ".join(r.choice(prose) for _ in range(n))
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+
+    def card(sep):
+        x = d(15)
+        x += next(c for c in "0123456789" if pii_model.luhn(x + c))
+        return sep.join(x[i : i + 4] for i in range(0, 16, 4))
+
+    make = {
+        "email": lambda: f"{r.choice(prose)}.{r.choice(prose)}{r.choice([' [at] ', '(at)', ' @ ', '[at]'])}mail{r.choice([' [dot] ', '.', '[dot]'])}org",
+        "ip": lambda: r.choice(["[.]", "(.)"]).join(str(r.randrange(1, 256)) for _ in range(4)), "card": lambda: card(r.choice([".", "/", "  "])), "phone": lambda: r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}"]),
+    }
+    found, texts, spans = Counter(), [], []
+    for kind in pii_model.KINDS * 60:
+        head, s = say(r.randrange(3, 12)) + " ", make[kind]()
+        texts.append(head + s + " " + say(5))
+        spans.append((len(head), len(head) + len(s), kind))
+    for t, span, tags in zip(texts, spans, pii.tagged_spans(texts, tagger)):
+        base = pii.base_spans(t)
+        assert span not in base, t
+        found[span[2]] += span in pii.added(t, base, tags)
+    assert all(found[k] >= 0.85 * 60 for k in pii_model.KINDS), found
+    clean = [say(8) + r.choice([" 2024-05-17 10:30 ", " (1998) ", " 12.5.2001 ", " a @ b ", " [see at] ", " 3,141 592 ", " 10:45-11:30 "]) + say(6) for _ in range(200)]
+    assert sum(bool(pii.added(t, [], x)) for t, x in zip(clean, pii.tagged_spans(clean, tagger))) <= 2
+
+
 def test_windows_cover():
     for n in (1, 50, 96, 97, 160, 161, 1000):
         decided = [p for _, a, b in pii.windows(10, 10 + n) for p in range(a, b)]
@@ -585,7 +615,7 @@ def test_wrappers_align():
 def test_url_trust(spark):
     link = lambda *hosts: "".join(f'<a href="http://{h}/x">l</a>' for h in hosts)
     rows = [
-        (1, "http://good.org/a?x#y", link("friend.net")), (2, "https://FRIEND.net/q", link("friend.net")), (3, "http://www.example.org/es/1", ""), (4, "http://www.example.org/en/12#f", ""),
+        (1, "http://good.org/a?x#y", '<a href="//friend.net/y">l</a>'), (2, "https://FRIEND.net/q", link("friend.net")), (3, "http://www.example.org/es/1", ""), (4, "http://www.example.org/en/12#f", ""),
         (5, "http://bad.example.com/de/1", ""), (6, "http://farm.net/z", link("bad.example.com")), (7, None, None), (8, "no scheme", ""), (9, "http://x.com/fr/", ""), (10, "http://org", ""), (11, "http://notorg/", ""), (11, "http://notorg/", ""),
     ]
     d = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, host string")
@@ -667,5 +697,9 @@ def test_pipeline_stages(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} <= {r.doc_id for r in near} and any("<EMAIL>" in (r.text or "") for r in out) and not any("@" in (r.text or "") for r in out)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontaminate", "pii", "mixing"]
+    own = {"keep": "k", "p_quality": 2.0, "n_words": 5, "hits": "h", "items": "i", "spans": 3, "component_id": 4, "_key": "y", "src_key": 6}
+    mine = docs.select("*", *[F.lit(v).alias(c) for c, v in own.items()])
     for _, stage in corpus_pipeline.STAGES[:4]:
-        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+        got = stage(spark, mine, str(tmp_path))
+        assert got.columns == mine.columns and {tuple(r[c] for c in own) for r in got.collect()} == {tuple(own.values())}
+        assert stage(spark, docs.limit(0), str(tmp_path)).columns == docs.columns and stage(spark, docs.limit(0), str(tmp_path)).count() == 0
