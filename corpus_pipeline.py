@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
 return the columns of documents. A stage's result is written as Parquet in the folder that all
-executors share, and read back as the next one's docs. Documents of null id take part in every stage.
+executors share, and read back as the next one's docs; a stage's folder goes when the next is written.
+
+Documents of null id, null, empty and long texts take part in every stage. Of repeated rows one stays, and
+of equal copies the first by id, then by the other columns. Columns of documents that are named like an
+operator's own keep their values. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -13,19 +17,31 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh.llm import decontam, jaccard_join, mixing, pii, quality
-from quillmesh.llm.util import shared_dir, table
+from quillmesh.llm.util import delete, shared_dir, table
 
 #: SQL can't express the fitted stages; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
+def apart(docs: DataFrame, stage, *needed: str) -> DataFrame:
+    """stage(docs) with docs' columns; those it does not need stand aside under names that no operator has."""
+    names = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c not in needed}
+    out = stage(docs.withColumnsRenamed(names))
+    return out.select(*[F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts."""
-    return quality.classify(docs, table(spark, sf_dir, "labels")).filter("keep").select(*docs.columns)
+    labels = table(spark, sf_dir, "labels")
+    return apart(docs, lambda d: quality.classify(d, labels).filter("keep"), "doc_id", "text", "lang", "source")
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of smallest id, of each group that near-duplicate links hold together."""
+    return apart(docs, _one_of_each, "doc_id", "text")
+
+
+def _one_of_each(docs: DataFrame) -> DataFrame:
     # a key for each id and text, so that only links hold rows together; null ids go by their text
     ident = F.coalesce(F.col("doc_id"), -F.abs(F.xxhash64("text") / 2).cast("long") - 1)
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull()))
@@ -43,13 +59,14 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window."""
-    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(F.size("hits") == 0).select(*docs.columns)
+    items = table(spark, sf_dir, "benchmark")
+    return apart(docs, lambda d: decontam.decontaminate(d, items).filter(F.size("hits") == 0), "text")
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind."""
-    return pii.mask(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
+    masked = apart(docs, pii.mask, "text")
+    return masked.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")) if "n_chars" in docs.columns else masked
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,4 +91,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            delete(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
