@@ -110,6 +110,14 @@ def as_int(v: Column) -> Column:
     return v.try_cast("double").cast("long")
 
 
+def as_double(v: Column) -> Column:
+    return v.try_cast("double")
+
+
+def as_string(v: Column) -> Column:
+    return v.cast("string")
+
+
 def as_bool(v: Column) -> Column:
     """True for numbers that are not 0, and for 1..., t..., y...; false for other texts."""
     number = v.try_cast("double")

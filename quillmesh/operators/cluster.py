@@ -149,6 +149,43 @@ def merge_members(pairs: DataFrame, pair: str, score: str = "score", tha: float
     return pairs.groupBy(pair).applyInPandas(run, f"{pair} {dict(pairs.dtypes)[pair]}, mapped long, merges boolean")
 
 
+def merge_packages(pairs: DataFrame, texts: DataFrame | None = None, low: float = 0.60, high: float = 0.75, same: float = 0.99) -> DataFrame:
+    """(pair, mapped, outcome) of package pairs: merge, duplicate or apart.
+
+    pairs (pair, left, right, left_used, right_used, exact, approx, n_left, n_right): scores of class pairs,
+    and each package's number of used classes. Used classes are assigned one to one by exact scores, then
+    what is left of all classes, then what is left of the used ones by approximate scores. Of the used
+    classes of one side the share `low`, of the other `high` must be mapped. texts (pair, same_project,
+    cosine): packages of one project with texts that are alike beyond `same` are duplicates.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        l, r = sorted(pdf["left"].unique()), sorted(pdf["right"].unique())
+        li, ri = pdf["left"].map({x: i for i, x in enumerate(l)}).to_numpy(), pdf["right"].map({x: i for i, x in enumerate(r)}).to_numpy()
+        used = {"left": set(pdf.loc[pdf["left_used"], "left"]), "right": set(pdf.loc[pdf["right_used"], "right"])}
+        both = (pdf["left_used"] & pdf["right_used"]).to_numpy(bool)
+        a, b = set(), set()
+        for column, rows in (("exact", both), ("exact", np.ones(len(pdf), bool)), ("approx", both)):
+            m = np.zeros((len(l), len(r)))
+            m[li[rows], ri[rows]] = pdf[column].to_numpy()[rows]
+            m[list(a), :] = 0
+            m[:, list(b)] = 0
+            for i, j in assign_matrix(m):
+                a.add(i)
+                b.add(j)
+        n = [sum(l[i] in used["left"] for i in a), sum(r[j] in used["right"] for j in b)]
+        f = [k / t if t else 1.0 for k, t in zip(n, (int(pdf["n_left"].iloc[0]), int(pdf["n_right"].iloc[0])))]
+        return pd.DataFrame({"pair": [pdf["pair"].iloc[0]], "mapped": [len(a)], "fits": [min(f) >= low and max(f) >= high]})
+
+    kind = dict(pairs.dtypes)["pair"]
+    x = pairs.groupBy("pair").applyInPandas(run, f"pair {kind}, mapped long, fits boolean")
+    dup = F.lit(False)
+    if texts is not None:
+        x = x.join(texts.select("pair", (F.col("same_project") & (F.col("cosine") > same)).alias("dup")), "pair", "left")
+        dup = F.coalesce("dup", F.lit(False))
+    return x.select("pair", "mapped", F.when(~F.col("fits"), "apart").when(dup, "duplicate").otherwise("merge").alias("outcome"))
+
+
 def one_to_one(mappings: DataFrame, left: str, right: str, order: str) -> DataFrame:
     """Mappings of which neither side was mapped before, in order: the first of each left, then the first of each right."""
     a = Window.partitionBy(left).orderBy(order)

@@ -2,23 +2,42 @@
 
 from __future__ import annotations
 
+import atexit
 import itertools
-
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
 
+_folders: dict[str, SparkSession] = {}
+
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder that executors share (spark.checkpoint.dir), so that lineage stays short."""
+    """The rows as a Parquet table in the folder that executors share (spark.checkpoint.dir), so that lineage stays short.
+
+    Tables stay until the driver's Python ends: results are lazy and may still read them.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "quillmesh-ck"))
-    return df.checkpoint(eager=True)
+    path = f"{spark.sparkContext.getCheckpointDir()}/quillmesh-core-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _folders[path] = spark
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _delete() -> None:
+    for path, spark in _folders.items():
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session has ended before
+            return
 
 
 def out_neighbours(edges: DataFrame) -> DataFrame:

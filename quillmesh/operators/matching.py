@@ -128,6 +128,25 @@ def compatible_methods(a: dict, b: dict, exact: bool, equal) -> bool:
     return not over if exact else all(x in ("VOID", "BOOLEAN") for x in over)
 
 
+def compatible_signatures(a: DataFrame, b: DataFrame, on: list[str], exact: bool = True) -> DataFrame:
+    """a (.., static, ret, params array) and b (.., b_static, b_ret, b_params) joined on `on` where their methods go together, as in compatible_methods."""
+
+    def without(x: Column, y: Column) -> Column:
+        """x less what pairs off with y, category by category."""
+        size = lambda v: F.size(v)
+        drop = lambda acc, v: F.when(F.array_position(acc, v) > 0, F.concat(F.slice(acc, F.lit(1), F.array_position(acc, v).cast("int") - 1), F.slice(acc, F.array_position(acc, v).cast("int") + 1, size(acc)))).otherwise(acc)
+        return F.aggregate(y, x, drop)
+
+    p, q = F.coalesce("params", F.array().cast("array<string>")), F.coalesce("b_params", F.array().cast("array<string>"))
+    over = F.concat(without(p, q), without(q, p))
+    ret = F.col("ret") == F.col("b_ret")
+    if exact:
+        fits = ret & (F.size(over) == 0)
+    else:
+        fits = (ret | (F.col("ret") == "VOID") | (F.col("b_ret") == "VOID")) & F.forall(over, lambda x: x.isin("VOID", "BOOLEAN"))
+    return a.join(b, on).filter((F.col("static") == F.col("b_static")) & fits)
+
+
 class _Model:
     def __init__(self, rows: dict):
         c, e = rows["classes"], rows["edges"]
@@ -243,14 +262,6 @@ def match(base_rows: dict, pat_rows: dict, p: Parameters = DEFAULTS) -> tuple[fl
     return (total, names) if total >= p.class_cutoff else (0.0, {})
 
 
-MODEL = (
-    "model_id string, classes array<struct<class_id:string,name:string,full_name:string,is_matchable:boolean,supers:array<string>,enum_consts:array<string>,"
-    "attrs:array<struct<name:string,full_name:string,arg_type:string>>,ops:array<struct<name:string,full_name:string,ret:string,is_ctor:boolean,is_static:boolean,params:array<string>>>>>,"
-    "edges:array<struct<src:string,dst:string>>"
-)
-MODEL = MODEL.replace(",edges:", ", edges ")
-
-
 def nested_models(classes: DataFrame, attributes: DataFrame, operations: DataFrame, parameters: DataFrame, edges: DataFrame) -> DataFrame:
     """A row per model of the flat model tables, as `match` takes it."""
     ps = parameters.groupBy("model_id", "op_id").agg(F.array_sort(F.collect_list("arg_type")).alias("params"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.operators import filters
@@ -34,17 +34,17 @@ def public_surface(members: DataFrame) -> DataFrame:
     return open_fields.unionByName(got).unionByName(ctor)
 
 
-def candidate_tests(candidates: DataFrame, tests: DataFrame, own: bool = True) -> DataFrame:
-    """(candidate, test_id): tests (test_id, parent, text, package) of each candidate's package (candidate, package), one per parent and digest.
+def candidate_tests(candidates: DataFrame, tests: DataFrame, own: bool = True, viable: Column | bool = True) -> DataFrame:
+    """(candidate, test_id): viable tests (test_id, parent, text, package) of each candidate's package (candidate, package), one per digest.
 
     own=False gives all viable tests to every package that has candidates by their digest once (the global tests).
     """
-    named = tests.filter(F.col("text").contains(F.concat(F.lit("import "), F.col("package"))) | F.col("text").contains(F.concat(F.lit("package "), F.col("package"))))
+    named = tests.filter(F.lit(viable) if isinstance(viable, bool) else viable).filter(F.col("text").contains(F.concat(F.lit("import "), F.col("package"))) | F.col("text").contains(F.concat(F.lit("package "), F.col("package"))))
     if not own:
         return named.groupBy(F.md5("text").alias("digest")).agg(F.min("test_id").alias("test_id")).select("test_id")
-    x = candidates.join(named, "package")
-    x = x.groupBy("candidate", "parent", F.md5("text").alias("digest")).agg(F.min("test_id").alias("test_id"))
-    return x.groupBy("candidate", "digest").agg(F.min("test_id").alias("test_id")).select("candidate", "test_id")
+    # a package's tests are one per digest before its candidates meet them
+    once = named.groupBy("package", F.md5("text").alias("digest")).agg(F.min("test_id").alias("test_id"))
+    return candidates.select("candidate", "package").join(once, "package").groupBy("candidate", "digest").agg(F.min("test_id").alias("test_id")).select("candidate", "test_id")
 
 
 def rename_plan(symbols: DataFrame, name_map: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillmesh.operators import cluster, graph, libraries, matching
+from quillmesh.operators import cluster, graph, libraries, matching, relations
 from quillmesh.plans.params import DEFAULTS
 from quillmesh.plans.registry import query, read
 from quillmesh.sources import parse, sinks
@@ -115,7 +115,7 @@ def type_dependencies(spark, d):
 @query("""WITH mp AS (SELECT DISTINCT l_partkey AS from_name FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45) SELECT p_partkey AS missing FROM part WHERE p_partkey NOT IN (SELECT from_name FROM mp)""")
 def missing_members(spark, d):
     m = read(spark, d, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 45").select(F.col("l_partkey").alias("missing"))
-    return read(spark, d, "part").select(F.col("p_partkey").alias("missing")).join(m, "missing", "left_anti")
+    return relations.missing_names(read(spark, d, "part").select(F.col("p_partkey").alias("missing")), m, "missing")
 
 
 @query("""SELECT round(c / m, 6) AS classes_per_model, round(e / m, 6) AS edges_per_model, round(o / c, 6) AS ops_per_class, round(a / c, 6) AS attrs_per_class FROM
@@ -226,7 +226,7 @@ def model_xml(spark, d):
 def gradle_and_headers(spark, d):
     script = "dependencies {\n compile 'a:b:1'\n testCompile project(':x')\n compileOnly c:d:2\n}\ncompile 'no:no:1'"
     lines = spark.createDataFrame([("f", i, s) for i, s in enumerate(script.split("\n"))], "file string, pos int, line string")
-    head = spark.createDataFrame([("t", '@Ascus(library="a:b:1")\n@Ascus(suggestedTerms={"x","y"})\n@AscusPackage\ninterface P {\n@AscusClass(uses={B.class})\nclass A {}\n@AscusClass\nclass B {}\n}')], "file string, text string")
+    head = spark.createDataFrame([("t", '@Pattern(library="a:b:1")\n@Pattern(suggestedTerms={"x","y"})\n@PatternPackage\ninterface P {\n@PatternClass(uses={B.class})\nclass A {}\n@PatternClass\nclass B {}\n}')], "file string, text string")
     g = parse.gradle_libraries(lines).select(F.lit("gradle").alias("what"), F.col("lib").alias("value"))
     h = parse.pattern_headers(head).select(F.col("key"), "value")
     return g.union(h).union(parse.pattern_edges(head).select(F.lit("edge"), F.concat("src", F.lit(">"), "dst")))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
-from quillmesh.operators import cluster, filters, libraries, matching
+from quillmesh.operators import cluster, filters, libraries, matching, relations
 from quillmesh.plans.params import DEFAULTS, Parameters
 from quillmesh.plans.registry import query, read
 from quillmesh.plans.text_queries import r6
@@ -158,7 +157,7 @@ def mapped_type(spark, d):
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE length(props) >= 9")
 def json_fields(spark, d):
     e = read(spark, d, "events").filter(F.length("props") >= 9)
-    return e.select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    return e.select("event_id", relations.json_field(F.col("props"), "k", "long").alias("k"))
 
 
 @query("""SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS i, CASE WHEN TRY_CAST(v AS DOUBLE) IS NOT NULL THEN TRY_CAST(v AS DOUBLE) <> 0 ELSE regexp_matches(lower(v), '^[1ty]') END AS b FROM (SELECT *, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN CAST(event_id % 2 AS VARCHAR) ELSE 'true' END AS v FROM events)""")
@@ -223,7 +222,7 @@ def nondefault_params(spark, d):
 
 @query("""WITH c AS (SELECT l_suppkey AS lib_id, l_partkey AS import FROM lineitem) SELECT lib_id, CAST(count(DISTINCT import) AS INTEGER) AS n, min(import) AS first FROM c GROUP BY lib_id""")
 def coverage_groups(spark, d):
-    c = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("lib_id")).agg(F.collect_set("l_partkey").alias("imports"))
+    c = relations.coverage_groups(read(spark, d, "lineitem").select(F.col("l_suppkey").alias("lib_id"), "l_partkey"), "lib_id", "l_partkey")
     return c.select("lib_id", F.size("imports").alias("n"), F.array_min("imports").alias("first"))
 
 
@@ -336,7 +335,7 @@ def pom_dependencies(spark, d):
 def test_requests(spark, d):
     """Two keyword sets for each package of the results."""
     o = read(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("pkg"))
-    return o.select("pkg", F.explode(F.array(F.lit("package "), F.lit("import "))).alias("k")).distinct()
+    return relations.keyword_requests(o, "pkg")
 
 
 @query("""WITH m AS (SELECT l_orderkey AS grp, l_partkey AS a, l_suppkey AS b, l_linenumber AS ord FROM lineitem), x AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY a ORDER BY grp * 10 + ord) = 1) SELECT a, b FROM x QUALIFY row_number() OVER (PARTITION BY b ORDER BY grp * 10 + ord) = 1""")
@@ -347,34 +346,33 @@ def first_mappings(spark, d):
 
 @query("""SELECT p_brand AS ty, CAST(sum(p_size) AS BIGINT) AS use_count, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS names FROM part GROUP BY ALL""")
 def type_merge(spark, d):
-    p = read(spark, d, "part").groupBy(F.col("p_brand").alias("ty")).agg(F.sum("p_size").alias("use_count"), F.collect_set("p_type").alias("names"))
-    return p.withColumn("names", F.array_join(F.array_sort("names"), ","))
+    p = relations.merged_types(read(spark, d, "part").withColumnRenamed("p_brand", "ty"), "ty", "p_size", "p_type")
+    return p.withColumn("names", F.array_join("names", ","))
 
 
 @query("""SELECT o_custkey, array_to_string(list(o_orderpriority ORDER BY o_orderkey), chr(10)) AS comments FROM orders GROUP BY o_custkey""")
 def comments(spark, d):
-    o = read(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("c"))
-    return o.select("o_custkey", F.array_join(F.transform("c", lambda x: x["o_orderpriority"]), "\n").alias("comments"))
+    return relations.joined_texts(read(spark, d, "orders"), "o_custkey", "o_orderkey", "o_orderpriority")
 
 
 @query("""SELECT count(*) AS n FROM (SELECT DISTINCT s_nationkey AS g, s_name AS nm FROM supplier UNION SELECT DISTINCT c_nationkey, c_name FROM customer)""")
 def library_union(spark, d):
     a = read(spark, d, "supplier").select(F.col("s_nationkey").alias("g"), F.col("s_name").alias("nm"))
-    b = read(spark, d, "customer").select(F.col("c_nationkey"), F.col("c_name"))
-    return a.union(b).distinct().agg(F.count("*").alias("n"))
+    b = read(spark, d, "customer").select(F.col("c_nationkey").alias("g"), F.col("c_name").alias("nm"))
+    return relations.union_of(a, b).agg(F.count("*").alias("n"))
 
 
 @query("""WITH o AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) AS p, list_sort(list(DISTINCT o_orderpriority) FILTER (o_orderstatus = 'F')) AS f FROM orders GROUP BY ALL)
 SELECT o_custkey, CAST(len(list_intersect(p, coalesce(f, []))) AS INTEGER) AS common, CAST(len(p) - len(coalesce(f, [])) AS INTEGER) AS missing FROM o""")
 def set_differences(spark, d):
     o = read(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("p"), F.collect_set(F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority"))).alias("f"))
-    return o.select("o_custkey", F.size(F.array_intersect("p", "f")).alias("common"), F.size(F.array_except("p", "f")).alias("missing"))
+    common, missing = relations.set_differences(F.col("p"), F.col("f"))
+    return o.select("o_custkey", F.size(common).alias("common"), F.size(missing).alias("missing"))
 
 
 @query("""SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 4""")
 def limited_candidates(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return read(spark, d, "orders").withColumn("r", F.row_number().over(w)).filter("r <= 4").select("o_custkey", "o_orderkey")
+    return relations.first_per_group(read(spark, d, "orders"), "o_custkey", [F.desc("o_totalprice"), "o_orderkey"], 4).select("o_custkey", "o_orderkey")
 
 
 @query()

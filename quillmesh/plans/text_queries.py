@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
 from quillmesh.operators import filters, lexical, shingle
+from quillmesh.operators.graph import written
 from quillmesh.plans.registry import query, read
 from quillmesh.sources import parse
 
@@ -75,10 +76,10 @@ def suggested_words(spark, d):
     return top.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), " ").alias("words"))
 
 
-@query(f"WITH {_T}, p AS (SELECT a.doc_id, b.doc_id AS other_id, sum(a.score * b.score) AS score FROM v a JOIN v b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL) SELECT doc_id, other_id, round(score, 6) + 0.0 AS score FROM p WHERE round(score, 9) >= 0.9")
+@query(f"WITH {_T}, p AS (SELECT a.doc_id, b.doc_id AS other_id, sum(a.score * b.score) AS score FROM v a JOIN v b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL) SELECT doc_id, other_id, round(score, 6) + 0.0 AS score FROM p WHERE round(score, 9) >= 0.4")
 def cosine_pairs(spark, d):
     v = _vectors(spark, d)
-    return lexical.cosine(v, v, 0.9, "doc_id", "other_id").withColumn("score", r6("score"))
+    return lexical.cosine(v, v, 0.4, "doc_id", "other_id").withColumn("score", r6("score"))
 
 
 @query(f"WITH {_T}, p AS (SELECT a.doc_id AS rep, b.doc_id AS item, sum(a.score * b.score) AS score FROM v a JOIN v b ON a.term = b.term AND a.doc_id <> b.doc_id WHERE a.doc_id % 50 = 0 GROUP BY ALL HAVING round(sum(a.score * b.score), 9) >= 0.4) SELECT rep, item, round(score, 6) + 0.0 AS score FROM p QUALIFY row_number() OVER (PARTITION BY rep, round(score, 6) ORDER BY item) = 1")
@@ -96,11 +97,12 @@ br AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9
 bv AS (SELECT item_id, term, CASE WHEN n > 0 THEN score / n ELSE score END AS score FROM (SELECT *, sqrt(sum(score * score) OVER (PARTITION BY item_id)) AS n FROM br WHERE rank <= 10))
 SELECT v.doc_id, bv.item_id, round(sum(v.score * bv.score), 6) + 0.0 AS score FROM v JOIN bv USING (term) GROUP BY ALL HAVING round(sum(v.score * bv.score), 9) >= 0.4""")
 def contamination(spark, d):
-    c = _counts(spark, d)
+    c = written(_counts(spark, d))
     df, n = lexical.document_frequency(c), c.select("doc_id").distinct().count()
     items = lexical.counts(lexical.terms(read(spark, d, "benchmark"), "item_id"), "item_id")
     b = lexical.limited(lexical.unit(lexical.tf_idf(items, "item_id", df, n), "item_id"), 10, "item_id")
-    return lexical.cosine(_vectors(spark, d), b, 0.4, "doc_id", "item_id").withColumn("score", r6("score"))
+    v = lexical.limited(lexical.unit(lexical.tf_idf(c, df=df, n=n)), 10)
+    return lexical.cosine(v, b, 0.4, "doc_id", "item_id").withColumn("score", r6("score"))
 
 
 # words as tokens, a full stop as the delimiter
@@ -137,13 +139,19 @@ gv AS (SELECT doc_id, term, CASE WHEN n > 0 THEN score / n ELSE score END AS sco
 @query(f"""WITH {_T}, {_KG},
 a AS (SELECT a.doc_id, b.doc_id AS other_id, sum(a.score * b.score) AS w FROM v a JOIN v b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL HAVING round(sum(a.score * b.score), 9) >= 0.5),
 c AS (SELECT a.doc_id, b.doc_id AS other_id, sum(a.score * b.score) AS g FROM gv a JOIN gv b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL HAVING round(sum(a.score * b.score), 9) >= 0.2)
-SELECT doc_id, other_id, round(least(1.0, coalesce(w, 0) / 0.6 + coalesce(g, 0) / 0.25), 6) + 0.0 AS score FROM a FULL JOIN c USING (doc_id, other_id)""")
+, p AS (SELECT doc_id, other_id FROM a UNION SELECT doc_id, other_id FROM c),
+pw AS (SELECT p.doc_id, p.other_id, sum(x.score * y.score) AS w FROM p JOIN v x ON x.doc_id = p.doc_id JOIN v y ON y.doc_id = p.other_id AND y.term = x.term GROUP BY ALL),
+pg AS (SELECT p.doc_id, p.other_id, sum(x.score * y.score) AS g FROM p JOIN gv x ON x.doc_id = p.doc_id JOIN gv y ON y.doc_id = p.other_id AND y.term = x.term GROUP BY ALL)
+SELECT doc_id, other_id, round(CASE WHEN doc_id IN (SELECT doc_id FROM v) AND other_id IN (SELECT doc_id FROM v) THEN least(1.0, coalesce(w, 0) / 0.6 + coalesce(g, 0) / 0.25) ELSE 1.0 END, 6) + 0.0 AS score FROM p LEFT JOIN pw USING (doc_id, other_id) LEFT JOIN pg USING (doc_id, other_id)""")
 def blended_score(spark, d):
-    v = _vectors(spark, d)
+    """Pairs whose words reach 0.5 or whose k-grams reach 0.2, with both true scores."""
+    v = written(_vectors(spark, d))
     g = shingle.segmented_grams(read(spark, d, "documents"), _tokens(), delimiters=(".",)).groupBy("doc_id", F.col("gram").alias("term")).agg(F.count("*").alias("ct"))
-    g = lexical.limited(lexical.unit(lexical.tf_idf(g)), 10)
+    g = written(lexical.limited(lexical.unit(lexical.tf_idf(g)), 10))
     keys = ["doc_id", "other_id"]
-    return lexical.word_score(lexical.cosine(v, v, 0.5, *keys), lexical.cosine(g, g, 0.2, *keys), keys).withColumn("score", r6("score"))
+    pairs = lexical.cosine(v, v, 0.5, *keys).select(*keys).union(lexical.cosine(g, g, 0.2, *keys).select(*keys)).distinct()
+    other = lambda t: t.withColumnRenamed("doc_id", "other_id")
+    return lexical.word_score(pairs, (v, other(v)), (g, other(g)), *keys).withColumn("score", r6("score"))
 
 
 @query("SELECT md5(text) AS digest, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY md5(text)")

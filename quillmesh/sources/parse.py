@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RELEVANT = (".zip", ".jar", ".java", ".tar")
+# The mark of saved tables (a fixed value).
 KGRAM_MARK = "========KGRAM======="
-MAX_DEPTH = 8
+MAX_DEPTH = 64  # archives in archives; deeper ones are an error
 
 
 def relevant(name: Column) -> Column:
@@ -28,13 +29,15 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_members(files: DataFrame) -> DataFrame:
-    """(path, content) of archives to (name, text) of the sources inside."""
+    """(path, content) of archives to (name, text) of the sources inside; an error where archives nest deeper than MAX_DEPTH."""
 
     def walk(name: str, data: bytes, depth: int):
         low = name.lower()
         if low.endswith(".java"):
             yield name, data.decode("utf-8", "replace")
-        elif depth < MAX_DEPTH and low.endswith((".zip", ".jar", ".tar")):
+        elif low.endswith((".zip", ".jar", ".tar")):
+            if depth >= MAX_DEPTH:
+                raise ValueError(f"archives nested deeper than {MAX_DEPTH}: {name[:200]}")
             try:
                 if low.endswith(".tar"):
                     with tarfile.open(fileobj=io.BytesIO(data)) as t:
@@ -87,14 +90,15 @@ def paged_docs(pages: DataFrame, body: str = "body") -> DataFrame:
 
 def pom_dependencies(files: DataFrame, xml: str = "xml") -> DataFrame:
     """(file, coordinate) of each dependency; a version that is missing or a variable is LATEST."""
-    at = lambda k: F.expr(f"xpath({xml}, '//dependencies/dependency/{k}/text()')")
-    each = F.expr(f"xpath({xml}, '//dependencies/dependency/artifactId/text()')")
-    n = files.select("file", xml, F.posexplode(each).alias("i", "artifact")).withColumn("grp", F.get(at("groupId"), F.col("i")))
-    # versions are looked up by position among the dependencies, some of which have none
-    n = n.withColumn("body", F.regexp_extract_all(F.col(xml), F.lit(r"(?s)<dependency>(.*?)</dependency>"), F.lit(1)))
-    v = F.regexp_extract(F.coalesce(F.get("body", F.col("i")), F.lit("")), r"<version>\s*(.*?)\s*</version>", 1)
+    # comments and exclusions may hold elements of the same names
+    plain = F.regexp_replace(F.col(xml), r"(?s)<!--.*?-->|<exclusions>.*?</exclusions>", "")
+    inside = F.regexp_extract_all(plain, F.lit(r"(?s)<dependencies>(.*?)</dependencies>"), F.lit(1))
+    n = files.select("file", F.explode(inside).alias("block")).select("file", F.explode(F.regexp_extract_all("block", F.lit(r"(?s)<dependency>(.*?)</dependency>"), F.lit(1))).alias("body"))
+    part = lambda k: F.regexp_extract("body", rf"(?s)<{k}>\s*(.*?)\s*</{k}>", 1)
+    n = n.withColumn("grp", part("groupId")).withColumn("artifact", part("artifactId")).filter("artifact <> ''")
+    v = part("version")
     v = F.when((v == "") | v.startswith("$"), "LATEST").otherwise(v)
-    return n.select("file", F.concat_ws(":", F.trim("grp"), F.trim("artifact"), v).alias("coordinate"))
+    return n.select("file", F.concat_ws(":", "grp", "artifact", v).alias("coordinate"))
 
 
 def gradle_libraries(lines: DataFrame, file: str = "file", pos: str = "pos", line: str = "line") -> DataFrame:
@@ -118,21 +122,22 @@ def coordinates(df: DataFrame, col: str = "coordinate") -> DataFrame:
     return df.select("*", part(0).alias("grp"), part(1).alias("name"), part(2).alias("version"), F.when(ok, F.concat(part(0), F.lit(":"), part(1))).alias("lib_id"))
 
 
+# Keys of pattern headers (fixed values).
 HEADER_KEYS = ("source", "library", "libraries", "missing", "keywords", "keyterms", "parameter", "context", "suggestedTerms", "score", "sources")
 
 
-def pattern_headers(files: DataFrame, text: str = "text") -> DataFrame:
-    """(file, key, value) of annotation entries `@Ascus(key=value)` and `@Ascus(key={a,b})` before the package interface."""
-    head = F.regexp_extract(F.col(text), r"(?s)^(.*?)(?:@AscusPackage|\Z)", 1)
-    e = files.select("file", F.explode(F.regexp_extract_all(head, F.lit(r"(?s)@Ascus\s*\((.*?)\)\s*(?=\n|$)"), F.lit(1))).alias("e"))
+def pattern_headers(files: DataFrame, text: str = "text", note: str = "Pattern", package: str = "PatternPackage") -> DataFrame:
+    """(file, key, value) of annotation entries `@note(key=value)` and `@note(key={a,b})` before the package interface; `note` and `package` name the annotations."""
+    head = F.regexp_extract(F.col(text), rf"(?s)^(.*?)(?:@{package}\b|\Z)", 1)
+    e = files.select("file", F.explode(F.regexp_extract_all(head, F.lit(rf"(?s)@{note}\s*\((.*?)\)\s*(?=\n|$)"), F.lit(1))).alias("e"))
     e = e.select("file", F.regexp_extract("e", r"^\s*(\w+)\s*=", 1).alias("key"), F.regexp_replace("e", r"^\s*\w+\s*=\s*", "").alias("v")).filter(F.col("key").isin(*HEADER_KEYS))
     values = F.regexp_extract_all("v", F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))
     return e.select("file", "key", F.posexplode(values).alias("pos", "value"))
 
 
-def pattern_edges(files: DataFrame, text: str = "text") -> DataFrame:
-    """(file, src, dst): classes that an @AscusClass(uses={..}) names, where both are declared and differ."""
-    c = files.select("file", F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(?s)@AscusClass\s*(?:\([^)]*\))?\s*(?:(?:public|abstract|static|final)\s+)*(?:class|interface|enum)\s+\w+"), F.lit(0))).alias("d"))
+def pattern_edges(files: DataFrame, text: str = "text", note: str = "PatternClass") -> DataFrame:
+    """(file, src, dst): classes that a @note(uses={..}) names, where both are declared and differ."""
+    c = files.select("file", F.explode(F.regexp_extract_all(F.col(text), F.lit(rf"(?s)@{note}\s*(?:\([^)]*\))?\s*(?:(?:public|abstract|static|final)\s+)*(?:class|interface|enum)\s+\w+"), F.lit(0))).alias("d"))
     c = c.select("file", F.regexp_extract("d", r"(?:class|interface|enum)\s+(\w+)$", 1).alias("src"), F.regexp_extract_all(F.regexp_extract("d", r"(?s)uses\s*=\s*\{?([^})]*)", 1), F.lit(r"(\w+)\.class"), F.lit(1)).alias("uses"))
     names = c.select("file", F.col("src").alias("dst")).distinct()
     return c.select("file", "src", F.explode("uses").alias("dst")).filter("src <> dst").join(names, ["file", "dst"], "left_semi").select("file", "src", "dst").distinct()

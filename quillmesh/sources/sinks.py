@@ -60,8 +60,8 @@ def model_xml(models: DataFrame, classes: DataFrame, attributes: DataFrame, oper
     return d.select("model_id", _tag("MODEL", {"NAME": c("name")}, _tag("PACKAGE", {"NAME": c("package")}, F.concat(F.coalesce("class_xml", F.lit("")), F.coalesce("edge_xml", F.lit(""))))).alias("xml"))
 
 
-def pattern_source(models: DataFrame, classes: DataFrame, attributes: DataFrame, operations: DataFrame, parameters: DataFrame, edges: DataFrame) -> DataFrame:
-    """(model_id, source): a model as annotated declarations."""
+def pattern_source(models: DataFrame, classes: DataFrame, attributes: DataFrame, operations: DataFrame, parameters: DataFrame, edges: DataFrame, headers: DataFrame | None = None, notes: tuple[str, str, str] = ("Pattern", "PatternPackage", "PatternClass")) -> DataFrame:
+    """(model_id, source): a model as annotated declarations. headers (model_id, key, value) stand before it, a key's values together in order; notes name the annotations of headers, packages and classes."""
     c = F.col
     p = _joined(parameters.select("model_id", "op_id", F.lpad(c("pos").cast("string"), 9, "0").alias("ord"), F.concat(F.when(c("pos") > 0, ", ").otherwise(""), "type_name", F.lit(" "), "name").alias("x")), ["model_id", "op_id"], "x", "params")
     o = operations.join(p, ["model_id", "op_id"], "left").select("model_id", "class_id", F.concat(F.lit("2"), "op_id").alias("ord"), F.concat(F.lit("      "), F.when(c("is_ctor"), F.lit("")).otherwise(F.concat("ret_type", F.lit(" "))), "name", F.lit("("), F.coalesce("params", F.lit("")), F.lit(");\n")).alias("x"))
@@ -70,9 +70,16 @@ def pattern_source(models: DataFrame, classes: DataFrame, attributes: DataFrame,
     u = edges.join(classes.select("model_id", c("class_id").alias("dst"), "name"), ["model_id", "dst"]).groupBy("model_id", c("src").alias("class_id")).agg(F.array_join(F.array_sort(F.collect_set(F.concat("name", F.lit(".class")))), ",").alias("uses"))
     k = classes.join(m, ["model_id", "class_id"], "left").join(u, ["model_id", "class_id"], "left")
     word = F.when(c("is_enum"), "enum ").when(c("is_interface"), "interface ").otherwise("class ")
-    k = k.select("model_id", c("class_id").alias("ord"), F.concat(F.lit("   @AscusClass"), F.when(c("uses").isNotNull(), F.concat(F.lit("(uses={"), "uses", F.lit("})"))).otherwise(""), F.lit("\n   "), word, "name", F.lit(" {\n"), F.coalesce("members", F.lit("")), F.lit("   }\n")).alias("x"))
+    k = k.select("model_id", c("class_id").alias("ord"), F.concat(F.lit(f"   @{notes[2]}"), F.when(c("uses").isNotNull(), F.concat(F.lit("(uses={"), "uses", F.lit("})"))).otherwise(""), F.lit("\n   "), word, "name", F.lit(" {\n"), F.coalesce("members", F.lit("")), F.lit("   }\n")).alias("x"))
     k = _joined(k, ["model_id"], "x", "body")
-    return models.join(k, "model_id", "left").select("model_id", F.concat(F.lit("@AscusPackage\ninterface "), "name", F.lit(" {\n"), F.coalesce("body", F.lit("")), F.lit("}\n")).alias("source"))
+    m = models.join(k, "model_id", "left").withColumn("head", F.lit(""))
+    if headers is not None:
+        quoted = F.transform(F.array_sort(F.collect_list("value")), lambda v: F.concat(F.lit('"'), v, F.lit('"')))
+        h = headers.groupBy("model_id", "key").agg(quoted.alias("v"))
+        line = F.concat(F.lit(f"@{notes[0]}("), "key", F.lit("="), F.when(F.size("v") == 1, F.get("v", F.lit(0))).otherwise(F.concat(F.lit("{"), F.array_join("v", ","), F.lit("}"))), F.lit(")\n"))
+        h = _joined(h.select("model_id", c("key").alias("ord"), line.alias("x")), ["model_id"], "x", "lines")
+        m = m.join(h, "model_id", "left").withColumn("head", F.coalesce("lines", F.lit("")))
+    return m.select("model_id", F.concat("head", F.lit(f"@{notes[1]}\ninterface "), "name", F.lit(" {\n"), F.coalesce("body", F.lit("")), F.lit("}\n")).alias("source"))
 
 
 def size_report(classes: DataFrame, edges: DataFrame, operations: DataFrame, attributes: DataFrame) -> DataFrame:
