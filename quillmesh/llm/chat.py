@@ -11,7 +11,8 @@ roles are escaped reversibly: every backslash is doubled, then a backslash is pu
 Rows of a conversation go by turn, then role, then text; null roles and texts are empty; null turns
 come first; a null conv_id is a conversation of its own; repeated rows are repeated turns; an unknown
 kind of part is a document. A conversation without rows has no output. A conversation is one output
-value, so its rows meet in one row by definition; nothing else is gathered.
+value, so its rows meet in one row by definition; nothing else is gathered. Texts are taken whole, however
+long. Other columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations

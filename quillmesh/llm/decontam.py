@@ -12,7 +12,9 @@ to all tasks, and the documents pass block after block. Documents are never grou
 
 Null or wordless texts have no words, no hits and no items; a wordless item has no window; repeated
 documents get a row each, items of equal id count once; ids of items are sorted as strings; a null
-item id is skipped in the list (its hits count).
+item id is skipped in the list (its hits count). Texts are read whole, however long. Equal windows of
+several items count for each. Without documents there are no rows, without items no hits. Columns of docs
+stay, but for those named like an output.
 """
 
 from __future__ import annotations
