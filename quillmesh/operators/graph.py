@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import itertools
+import functools
+import heapq
 import os
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,37 +137,79 @@ def relaxed(names: DataFrame, known: DataFrame, name: str = "name", key: str = "
     return p.groupBy(name).agg(F.max_by(key, F.length(key)).alias(key))
 
 
+#: Rows of a cover that one task finishes; above, rounds of Spark make them fewer. The choices are the same.
+COVER_ROWS = 1_000_000
+
+
+def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
+    """Greedy choices of rows (lib, name, item): counts are brought up to date only for the library that comes first."""
+    lib, libs = pd.factorize(rows["lib"])
+    item, items = pd.factorize(rows["item"])
+    names = rows.groupby(lib)["name"].first() if len(rows) else []
+    order = np.argsort(lib, kind="stable")
+    parts = np.split(item[order], np.cumsum(np.bincount(lib, minlength=len(libs)))[:-1]) if len(libs) else []
+    rank = sorted(range(len(libs)), key=lambda k: (names[k] is not None, names[k] or "", libs[k]), reverse=True)
+    place = {k: p for p, k in enumerate(rank)}
+    heap = [(-len(m), place[k], k) for k, m in enumerate(parts)]
+    heapq.heapify(heap)
+    open_, out = np.ones(len(items), bool), []
+    while heap:
+        was, p, k = heapq.heappop(heap)
+        n = int(open_[parts[k]].sum())
+        if n == -was:
+            out.append((n, names[k], libs[k]))
+            open_[parts[k]] = False
+        elif n:
+            heapq.heappush(heap, (-n, p, k))
+    return pd.DataFrame(out, columns=["n", "name", "lib"])
+
+
 def set_cover(coverage: DataFrame, lib: str = "lib_id", name: str = "lib_name", item: str = "import") -> DataFrame:
-    """(step, lib, covered): greedily, the library with most items still uncovered, until none is left; ties go to the greatest name. Rows without library or item are ignored."""
+    """(step, lib, covered): greedily, the library with most items still uncovered, until none is left; ties go to the greatest name, then id.
+
+    A library of several names counts under its greatest. Rows without library or item are ignored. A round takes every library
+    that goes before all others of its own items: what they share is all that one choice changes, and counts only fall, so that
+    these are the greedy choices, in order of their counts. What fits one task (COVER_ROWS) is chosen there.
+    """
     spark = coverage.sparkSession
-    left = written(coverage.select(lib, name, item).dropna(subset=[lib, item]).distinct())
-    steps = []
-    for k in itertools.count():  # each step covers an item at least
-        top = left.groupBy(lib, name).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc(name), F.desc(lib)).first()
-        if top is None:
-            break
-        steps.append((k, top[lib], top["n"]))
-        done = left.filter(F.col(lib) == top[lib]).select(item)
-        left = written(left.join(done, item, "left_anti"))
-    return spark.createDataFrame(steps, f"step int, {lib} {dict(coverage.dtypes)[lib]}, covered long")
+    kinds = dict(coverage.dtypes)
+    rows = coverage.select(F.col(lib).alias("lib"), F.col(name).cast("string").alias("name"), F.col(item).alias("item")).dropna(subset=["lib", "item"])
+    named = rows.groupBy("lib").agg(F.max("name").alias("name"))
+    left = written(rows.select("lib", "item").distinct().join(named, "lib"))
+    chosen = []
+    while left.count() > COVER_ROWS:
+        sizes = left.groupBy("lib").agg(F.count("*").alias("n"))
+        tops = written(left.join(sizes, "lib").groupBy("item").agg(F.max(F.struct("n", "name", "lib")).alias("top")))
+        picks = written(tops.groupBy("top").agg(F.count("*").alias("won")).filter("won = top.n").select("top"))
+        chosen.append(picks.select("top.n", "top.name", "top.lib"))
+        left = written(left.join(tops.join(picks, "top", "left_semi").select("item"), "item", "left_anti"))
+    chosen.append(written(left.groupBy().applyInPandas(_greedy, f"n long, name string, lib {kinds[lib]}")))
+    ordered = functools.reduce(DataFrame.unionByName, chosen).orderBy(F.desc("n"), F.desc("name"), F.desc("lib")).select("lib", "n")
+    return spark.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0], x[0][1])), f"step int, {lib} {kinds[lib]}, covered long")
 
 
 def prefix_cover(coverage: DataFrame, lib: str = "lib_id", item: str = "import") -> tuple[list, DataFrame]:
     """Libraries preferred by name: for each import the library whose id has the longest prefix in common with it, beyond its second dot (else 10).
 
-    Returns the libraries in order and the coverage that is left.
+    Returns the libraries in order and the coverage that is left. Imports go in order, and those a library covers are done; a
+    round takes every library whose first import no library of an earlier one covers.
     """
-    left = written(coverage.select(lib, item).dropna().distinct())
+    rows = written(coverage.select(lib, item).dropna().distinct())
     ident = F.when(F.col(lib).startswith("com.google.android") & F.col(item).startswith("android"), F.substring(F.col(lib), F.lit(12), F.length(lib))).otherwise(F.col(lib))
     second = F.length(F.substring_index(item, ".", 2))
     least = F.when(F.size(F.split(item, r"\.")) > 2, second).otherwise(F.lit(10))
-    chosen = []
+    fit = rows.withColumn("_front", T.common_prefix(ident, F.col(item))).filter(F.col("_front") > least)
+    # the library each import would choose; a choice ends those of later imports only, so earlier ones stay open
+    open_ = written(fit.groupBy(item).agg(F.min(F.struct((-F.col("_front")).alias("f"), F.col(lib).alias("lib")))["lib"].alias(lib)))
+    chosen = open_.limit(0).select(lib, F.col(item).alias("_first"))
     while True:
-        fit = left.withColumn("front", T.common_prefix(ident, F.col(item))).filter(F.col("front") > least)
-        top = fit.orderBy(item, F.desc("front"), lib).first()
-        if top is None:
+        first = written(open_.groupBy(lib).agg(F.min(item).alias("_first")))
+        if first.isEmpty():
             break
-        chosen.append(top[lib])
-        done = left.filter(F.col(lib) == top[lib]).select(item)
-        left = written(left.join(done, item, "left_anti"))
-    return chosen, left
+        covered = rows.join(first, lib).groupBy(item).agg(F.min("_first").alias("_first")).filter(F.col(item) == F.col("_first"))
+        picks = written(first.join(covered.select("_first"), "_first", "left_semi").select(lib, "_first"))
+        chosen = chosen.unionByName(picks)
+        done = rows.join(picks, lib).filter(F.col(item) >= F.col("_first")).select(item)
+        open_ = written(open_.join(done, item, "left_anti"))
+    left = rows.join(rows.join(chosen, lib, "left_semi").select(item), item, "left_anti")
+    return [r[lib] for r in chosen.orderBy("_first").collect()], left

@@ -1,5 +1,6 @@
 """The covers and the import report against brute force."""
 
+import random
 from pathlib import Path
 
 import pytest
@@ -37,3 +38,32 @@ def test_import_report_at_every_size(spark):
     for more in (0, 1200):
         related = spark.createDataFrame([("a",)] + [(f"z{i}",) for i in range(more)], "pkg string")
         assert sorted(map(tuple, libraries.import_report(used, related).collect())) == [(2, "ab.C"), (3, "c.D"), (3, "plain")]
+
+
+@pytest.mark.parametrize("rows", [10, 10**6])
+def test_set_cover_in_rounds_and_in_one_task(spark, monkeypatch, rows):
+    monkeypatch.setattr(graph, "COVER_ROWS", rows)
+    r = random.Random(3)
+    pairs = sorted({(f"l{r.randrange(20)}", f"i{r.randrange(50)}") for _ in range(110)})
+    lib, name = {}, lambda x: "n" + str(int(x[1:]) % 7)
+    for x, i in pairs:
+        lib.setdefault(x, set()).add(i)
+    left, want = set().union(*lib.values()), []
+    while left:
+        top = max(lib, key=lambda x: (len(lib[x] & left), name(x), x))
+        want.append((len(want), top, len(lib[top] & left)))
+        left -= lib[top]
+    got = graph.set_cover(spark.createDataFrame([(x, name(x), i) for x, i in pairs], "lib_id string, lib_name string, import string"))
+    assert sorted(tuple(x) for x in got.collect()) == want
+
+
+def test_prefix_cover_as_one_by_one(spark):
+    r = random.Random(1)
+    pairs = sorted({(f"org.p{r.randrange(4)}" + r.choice(["", f".c{r.randrange(6)}", f".c{r.randrange(6)}.K"]), f"org.p{r.randrange(4)}.c{r.randrange(6)}.K{r.randrange(4)}") for _ in range(150)})
+    front = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    left, want = {i for _, i in pairs}, []
+    while fit := [(i, -front(x, i), x) for x, i in pairs if i in left and front(x, i) > len(".".join(i.split(".")[:2]))]:
+        want.append(min(fit)[2])
+        left -= {i for x, i in pairs if x == want[-1]}
+    chosen, rest = graph.prefix_cover(spark.createDataFrame(pairs, "lib_id string, import string"))
+    assert chosen == want and {x["import"] for x in rest.collect()} == left
