@@ -2,6 +2,7 @@
 
 import io
 import itertools
+import random
 import tarfile
 import zipfile
 
@@ -187,3 +188,23 @@ def test_closure_of_start(spark):
     refs = spark.createDataFrame([("m", "C.start"), ("n", "C.run")], "from_symbol string, to_symbol string")
     kept = spark.createDataFrame([("C.start",)], "node string")
     assert {r.node for r in graph.references_closure(refs, kept).collect()} == {"C.start", "C.run", "m", "n"}
+
+
+@pytest.mark.parametrize("tile", [1, 3, 1024])
+def test_cosine_in_tiles(spark, monkeypatch, tile):
+    monkeypatch.setattr(lexical, "TILE", tile)
+    r = random.Random(5)
+    vecs = {}
+    for k in range(40):
+        v = {f"t{r.randrange(12)}": r.random() for _ in range(r.randrange(1, 6))}
+        n = sum(x * x for x in v.values()) ** 0.5
+        vecs[k] = {t: x / n for t, x in v.items()}
+    rows = [(k, t, x) for k, v in vecs.items() for t, x in v.items()] + [(None, "t1", 1.0)]
+    df = spark.createDataFrame(rows, "a int, term string, score double")
+    dot = {(i, j): sum(x * vecs[j].get(t, 0) for t, x in vecs[i].items()) for i in vecs for j in vecs}
+    for cutoff in (0.4, 0.9):
+        got = {(x.a, x.b): x.score for x in lexical.cosine(df, df, cutoff, "a", "b").collect()}
+        assert got == {p: pytest.approx(s) for p, s in dot.items() if p[0] < p[1] and s >= cutoff}
+        left, right = df.filter("a % 2 = 0"), df.filter("a % 3 = 0").withColumnRenamed("a", "b")
+        got = {(x.a, x.b): x.score for x in lexical.cosine(left, right, cutoff, "a", "b").collect()}
+        assert got == {p: pytest.approx(s) for p, s in dot.items() if p[0] % 2 == 0 and p[1] % 3 == 0 and s >= cutoff}
