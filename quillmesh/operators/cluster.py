@@ -88,10 +88,11 @@ def accessor_words(method_words: Column, field_words: Column, prefixed: Column)
     return (F.size(field_words) > 0) & ((common == F.size(field_words)) | (prefixed & (common * 2 > F.size(field_words))))
 
 
-def leader_clusters(items: DataFrame, group: str, ident: str, features: str, cutoff: float) -> DataFrame:
+def leader_clusters(items: DataFrame, group: str, ident: str, features: str, cutoff: float, grow: bool = False) -> DataFrame:
     """(group, ident, leader): items in order of ident join the first leader whose Jaccard likeness reaches the cutoff, else lead.
 
-    Order decides, so a group is one task's work; give groups of items that can be alike at all.
+    With `grow`, a merge changes the leader: it gains the features of the items that join it. Order decides,
+    so a group is one task's work; give groups of items that can be alike at all.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -100,10 +101,12 @@ def leader_clusters(items: DataFrame, group: str, ident: str, features: str, cut
         out = []
         for i, f in zip(pdf[ident], pdf[features]):
             s = set(f)
-            lead = next((k for k, t in leaders if len(s & t) >= cutoff * max(1, len(s | t))), None)
+            lead, has = next(((k, t) for k, t in leaders if len(s & t) >= cutoff * max(1, len(s | t))), (None, None))
             if lead is None:
                 leaders.append((i, s))
                 lead = i
+            elif grow:
+                has |= s
             out.append(lead)
         return pd.DataFrame({group: pdf[group].to_numpy(), ident: pdf[ident].to_numpy(), "leader": out})
 

@@ -290,6 +290,36 @@ def match_models(models: DataFrame, pattern: dict, p: Parameters = DEFAULTS) ->
     return models.select("model_id", "classes", "edges").mapInPandas(run, "model_id string, score double, name_map map<string,string>")
 
 
+def match_pairs(pairs: DataFrame, p: Parameters = DEFAULTS) -> DataFrame:
+    """pairs (.., classes, edges, p_classes, p_edges of a pattern model) that match: (.., score, name_map). A pair is one row."""
+    keys = [c for c in pairs.columns if c not in ("classes", "edges", "p_classes", "p_edges")]
+    schema = ", ".join(f"`{k}` {t}" for k, t in pairs.select(*keys).dtypes)
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                model, pattern = ({"classes": [_plain(x) for x in r[f"{f}classes"]], "edges": [_plain(x) for x in r[f"{f}edges"]]} for f in ("", "p_"))
+                s, names = match(model, pattern, p)
+                if s > 0:
+                    out.append((*(r[k] for k in keys), s, names))
+            yield pd.DataFrame(out, columns=[*keys, "score", "name_map"])
+
+    return pairs.mapInPandas(run, f"{schema}, score double, name_map map<string,string>")
+
+
+def containment_report(members: DataFrame, models: DataFrame, candidates: DataFrame, p: Parameters = DEFAULTS) -> DataFrame:
+    """(cluster_id, model_id), once: models that contain any model of a cluster.
+
+    members (cluster_id, model_id), models as of nested_models, candidates (cluster_id, model_id): which models
+    a cluster is held against, as from a search or a join of terms. A cluster's own members aren't reported.
+    """
+    pattern = members.join(models, "model_id").select("cluster_id", F.col("classes").alias("p_classes"), F.col("edges").alias("p_edges"))
+    held = candidates.select("cluster_id", "model_id").distinct().join(members.select("cluster_id", "model_id"), ["cluster_id", "model_id"], "left_anti")
+    found = match_pairs(held.join(pattern, "cluster_id").join(models.select("model_id", "classes", "edges"), "model_id"), p)
+    return found.select("cluster_id", "model_id").distinct()
+
+
 def _plain(x):
     if isinstance(x, dict):
         return {k: _plain(v) for k, v in x.items()}

@@ -88,6 +88,21 @@ def paged_docs(pages: DataFrame, body: str = "body") -> DataFrame:
     return d.select(F.col("d.g").alias("grp"), F.col("d.a").alias("artifact"), F.coalesce("d.v", "d.latestVersion").alias("version"), F.col("d.p").alias("packaging"), F.col("d.timestamp").alias("stamp"))
 
 
+def next_pages(pages: DataFrame, key: str = "query", start: str = "start", body: str = "body", size: int = 100, cap: int = 4000) -> DataFrame:
+    """(key, start) of pages that are still to be fetched, from those fetched (key, start, body): up to the greatest number of hits told, `cap` at most."""
+    found = pages.filter(F.length(body) >= 10).groupBy(key).agg(F.max(F.from_json(body, "struct<response:struct<numFound:bigint>>")["response"]["numFound"]).alias("n"))
+    n = F.least("n", F.lit(cap).cast("long"))
+    due = found.filter("n > 0").select(key, F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(size).cast("long"))).alias(start))
+    return due.join(pages.select(key, F.col(start).cast("long").alias(start)), [key, start], "left_anti")
+
+
+def cached_answers(queries: DataFrame, cache: DataFrame, key: str = "query", body: str = "body") -> DataFrame:
+    """(key, body, fetch): each query once with its cached answer, null where that has under 10 characters; `fetch` where none is cached."""
+    c = cache.groupBy(key).agg(F.max(body).alias(body), F.lit(True).alias("_had"))
+    x = queries.select(key).distinct().join(c, key, "left")
+    return x.select(key, F.when(F.length(body) >= 10, F.col(body)).alias(body), F.col("_had").isNull().alias("fetch"))
+
+
 def pom_dependencies(files: DataFrame, xml: str = "xml") -> DataFrame:
     """(file, coordinate) of each dependency; a version that is missing or a variable is LATEST."""
     # comments and exclusions may hold elements of the same names
