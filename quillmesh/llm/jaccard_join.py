@@ -518,11 +518,10 @@ def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", link
     docs = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
     described = cut(mapped(docs, _describe("text", "doc_id"), "kind int, doc_id long, cid long, n int, point binary"))
     rows = described.filter("kind = 0")
-    top = described.filter("kind = 1").groupBy("cid").agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "cid").limit(FREQUENT).collect()
-    frequent = np.array([r[0] for r in top], np.int64).view(np.uint64)
+    top = described.filter("kind = 1").groupBy("cid").agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "cid").limit(FREQUENT).select("cid").toArrow()
+    frequent = top.column(0).to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(frequent)
-    rank = np.empty(len(top), np.int64)
-    rank[np.arange(len(top))] = len(top) - order  # the more frequent, the later
+    rank = len(frequent) - order  # the more frequent, the later
     frequent = frequent[order]
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(parts(spark), int(total * 0.27 * 20 / 16e6) + 1)

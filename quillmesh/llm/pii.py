@@ -153,6 +153,18 @@ def added(text: str, base: list, found: list) -> list:
 SPAN = "array<struct<start:bigint,end:bigint,kind:string,base:boolean>>"
 
 
+def _located(batch: pa.RecordBatch, text: str, tagger: Tagger):
+    """(row, text, spans by start) of the texts of a batch that may hold any."""
+    data, offs = tk.buffer(batch.column(text))
+    have = np.unique(np.searchsorted(offs, np.flatnonzero(TRIGGER[data]), "right") - 1)
+    texts = [bytes(data[offs[i] : offs[i + 1]]).decode("utf-8", "replace") for i in have]
+    for i, t, found in zip(have.tolist(), texts, tagged_spans(texts, tagger)):
+        base = base_spans(t)
+        more = added(t, base, found)
+        every = sorted([(a, KINDS.index(k), b, True) for a, b, k in base] + [(a, KINDS.index(k), b, False) for a, b, k in more])
+        yield i, t, [{"start": a, "end": b, "kind": KINDS[k], "base": o} for a, k, b, o in every]
+
+
 def find(docs: DataFrame, text: str = "text", out: str = "spans", tagger: Tagger | None = None) -> DataFrame:
     """docs with `out`: all spans of each text (start, end, kind, and whether a base pattern found it)."""
     tagger = tagger or fitted()
@@ -163,34 +175,40 @@ def find(docs: DataFrame, text: str = "text", out: str = "spans", tagger: Tagger
 
     def run(batches):
         for batch in batches:
-            data, offs = tk.buffer(batch.column(text))
-            have = np.unique(np.searchsorted(offs, np.flatnonzero(TRIGGER[data]), "right") - 1)
-            texts = [bytes(data[offs[i] : offs[i + 1]]).decode("utf-8", "replace") for i in have]
             values: list[list] = [[]] * batch.num_rows
-            for i, t, found in zip(have.tolist(), texts, tagged_spans(texts, tagger)):
-                base = base_spans(t)
-                more = added(t, base, found)
-                every = sorted([(a, KINDS.index(k), b, True) for a, b, k in base] + [(a, KINDS.index(k), b, False) for a, b, k in more])
-                values[i] = [{"start": a, "end": b, "kind": KINDS[k], "base": o} for a, k, b, o in every]
+            for i, _, spans in _located(batch, text, tagger):
+                values[i] = spans
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, kind)], [*batch.schema.names, out])
 
     return mapped(d, run, schema)
 
 
+def masked(text: str, spans: list[dict]) -> str:
+    """A text with its spans as kinds in angle brackets (overlapping spans by the first's), in one pass."""
+    out, at = [], 0
+    for s in spans:
+        if s["start"] >= at:
+            out += [text[at : s["start"]], "<", s["kind"].upper(), ">"]
+        at = max(at, s["end"])
+    return "".join([*out, text[at:]])
+
+
 def mask(docs: DataFrame, text: str = "text", tagger: Tagger | None = None) -> DataFrame:
     """docs with every span replaced by its kind in angle brackets (overlapping spans by the first's)."""
-    found = find(docs, text, "_spans", tagger)
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        kept = F.substring(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        new = F.struct(s["end"].alias("at"), F.concat(acc["out"], kept, F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out"))
-        inside = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when(s["start"] >= acc["at"], new).otherwise(inside)
-
-    done = F.aggregate("_spans", zero, step)
-    masked = F.concat(done["out"], F.substring(F.col(text), (done["at"] + 1).cast("int"), F.length(text)))
-    return found.withColumn(text, F.when(F.size("_spans") > 0, masked).otherwise(F.col(text))).drop("_spans")
+    tagger = tagger or fitted()
+
+    def run(batches):
+        for batch in batches:
+            new = {i: masked(t, spans) for i, t, spans in _located(batch, text, tagger) if spans}
+            k = batch.schema.names.index(text)
+            if new:
+                values = batch.column(k).to_pylist()
+                for i, t in new.items():
+                    values[i] = t
+                batch = batch.set_column(k, batch.schema.field(k), pa.array(values, batch.schema.field(k).type))
+            yield batch
+
+    return mapped(docs, run, docs.schema)
 
 
 def op7(spark, sf_dir):

@@ -703,3 +703,17 @@ def test_pipeline_stages(spark, tmp_path):
         got = stage(spark, mine, str(tmp_path))
         assert got.columns == mine.columns and {tuple(r[c] for c in own) for r in got.collect()} == {tuple(own.values())}
         assert stage(spark, docs.limit(0), str(tmp_path)).columns == docs.columns and stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_masking_long_texts_in_one_pass(spark):
+    from quillmesh.llm import pii
+
+    unit = "é mail a.b@c.de or call +1 (555) 123-4567 now; "
+    long = unit * 3_000
+    d = spark.createDataFrame([(1, long, "x"), (2, None, "y"), (3, "", "z"), (4, "clean text", "w"), (5, "a@b.c" * 2, "v")], "doc_id long, text string, lang string")
+    spans = {r.doc_id: r.spans for r in pii.find(d.filter("doc_id > 1")).collect()}
+    want = {i: t and pii.masked(t, [s.asDict() for s in spans[i]]) for i, t in ((2, None), (3, ""), (4, "clean text"), (5, "a@b.c" * 2))}
+    got = {r.doc_id: (r.text, r.lang) for r in pii.mask(d).collect()}
+    assert got[1] == ("é mail <EMAIL> or call <PHONE> now; " * 3_000, "x")
+    assert {i: got[i][0] for i in want} == want and want[4] == "clean text" and {i: got[i][1] for i in got} == dict(zip(range(1, 6), "xyzwv"))
+    assert pii.masked("0123456789", [{"start": 1, "end": 5, "kind": "ip"}, {"start": 3, "end": 7, "kind": "card"}, {"start": 7, "end": 8, "kind": "phone"}]) == "0<IP><PHONE>89"
