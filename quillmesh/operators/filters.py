@@ -58,10 +58,11 @@ def ignorable_class(mods: Column, is_enum: Column, n_methods: Column, is_test: C
 
 
 def symbol_threshold(members: DataFrame, cls: str = "class_id", score: str = "term_match", title: str = "title_match", always: Column | None = None) -> DataFrame:
-    """Members whose score reaches min(class average, 0.5) - 0.01, or with a title match, or that always stay."""
-    mean = members.groupBy(cls).agg(F.avg(score).alias("_avg"))
-    keep = (F.col(score) >= F.least("_avg", F.lit(0.5)) - 0.01) | (F.col(title) >= 1)
-    return members.join(mean, cls).filter(keep if always is None else keep | always).drop("_avg")
+    """Members whose score reaches min(class average, 0.5) - 0.01 (to nine digits), or with a title match, or that always stay."""
+    mean = F.avg(score).over(Window.partitionBy(cls))
+    m = members.withColumn("_over", F.round(F.col(score) - F.least(mean, F.lit(0.5)) + 0.01, 9))
+    keep = (F.col("_over") >= 0) | (F.col(title) >= 1)
+    return m.filter(keep if always is None else keep | always).drop("_over")
 
 
 def getter(n_params: Column, returns: Column, n_statements: Column, n_returns: Column, n_fields: Column) -> Column:

@@ -208,3 +208,12 @@ def test_cosine_in_tiles(spark, monkeypatch, tile):
         left, right = df.filter("a % 2 = 0"), df.filter("a % 3 = 0").withColumnRenamed("a", "b")
         got = {(x.a, x.b): x.score for x in lexical.cosine(left, right, cutoff, "a", "b").collect()}
         assert got == {p: pytest.approx(s) for p, s in dot.items() if p[0] % 2 == 0 and p[1] % 3 == 0 and s >= cutoff}
+
+
+def test_symbol_threshold_at_the_border(spark):
+    # ten scores whose average is 0.31: those of 0.3 are at the border, whatever the last bits say; rows without class are a class
+    tenths = [6, 1, 0, 3, 3, 6, 2, 1, 7, 2]
+    for cls in ("7", "NULL"):
+        rows = ", ".join(f"({k}, {t / 100!r}D * 10)" for k, t in enumerate(tenths))
+        m = spark.sql(f"SELECT CAST({cls} AS INT) AS class_id, k, s AS term_match, 0 AS title_match FROM VALUES {rows} AS t(k, s)")
+        assert sorted(r.k for r in filters.symbol_threshold(m).collect()) == [0, 3, 4, 5, 8]
