@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -68,6 +70,97 @@ def assign(scores: DataFrame, group: str, left: str, right: str, score: str = "s
     return s.groupBy(group).applyInPandas(run, s.schema)
 
 
+#: Cells of a matrix that a task may hold.
+DENSE = 1 << 23
+
+
+def likeness(a, b):
+    """How alike two numbers are: 1 / (1 + their distance)."""
+    return 1 / (1 + abs(a - b))
+
+
+def assign_values(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Maximum-weight one-to-one pairs (i, j) by the likeness of x[i] and y[j], as assign_matrix gives for all pairs.
+
+    Augmenting paths again, but a row's columns come nearest first and only while they can be on the shortest path: potentials
+    of columns are never above 0, so that the nearest that is left bounds all others of its row. A path ends at the first free column.
+    """
+    if len(x) > len(y):
+        return sorted((i, j) for j, i in assign_values(y, x))
+    order = np.argsort(y, kind="stable")
+    col, row = y[order].tolist(), x.tolist()
+    start, m = np.searchsorted(y[order], x).tolist(), len(y)
+    u, v, owner, held = [0.0] * len(row), [0.0] * m, [-1] * m, [-1] * len(row)
+    for r in range(len(row)):
+        best: dict[int, float] = {}
+        back: dict[int, int] = {}
+        done: set[int] = set()
+        heap: list[tuple] = []
+
+        def look(i, base, lo, hi):
+            """The next nearest column of row i, as a bound, with those that come after it."""
+            below = row[i] - col[lo] if lo >= 0 else np.inf
+            above = col[hi] - row[i] if hi < m else np.inf
+            if below <= above and lo >= 0:
+                heapq.heappush(heap, (base - 1 / (1 + below) - u[i], 0, lo, i, base, lo - 1, hi))
+            elif hi < m:
+                heapq.heappush(heap, (base - 1 / (1 + above) - u[i], 0, hi, i, base, lo, hi + 1))
+
+        look(r, 0.0, start[r] - 1, start[r])
+        while True:
+            reach, known, j, i, base, lo, hi = heapq.heappop(heap)
+            if j in done and known:
+                continue
+            if not known:
+                if j not in done and reach - v[j] < best.get(j, np.inf):
+                    best[j], back[j] = reach - v[j], i
+                    heapq.heappush(heap, (best[j], 1, j, i, 0.0, 0, 0))
+                look(i, base, lo, hi)
+                continue
+            done.add(j)
+            if owner[j] < 0:
+                break
+            look(owner[j], reach, start[owner[j]] - 1, start[owner[j]])
+        u[r] += reach
+        for k in done:
+            if k != j:
+                u[owner[k]] += reach - best[k]
+                v[k] -= reach - best[k]
+        while True:  # each row of the path takes the column it was reached from
+            i = owner[j] = back[j]
+            held[i], j = j, held[i]
+            if i == r:
+                break
+    return sorted((i, int(order[j])) for j, i in enumerate(owner) if i >= 0)
+
+
+def assign_near(a: DataFrame, b: DataFrame, group: str, left: str, right: str, value: str) -> DataFrame:
+    """(group, left, right, score): best one-to-one pairs within each group of a (group, left, value) and b (group, right, value) by likeness of values.
+
+    Pairs are never written out: a group is as many rows as it has members. Small groups of sides of about one size, where paths
+    are long, are assigned as a matrix. Rows without group, key or finite value are left out;
+    of a key's values the least counts.
+    """
+
+    def run(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        l, r = (t.sort_values([k, value]).drop_duplicates(k) for t, k in ((l, left), (r, right)))
+        x, y = l[value].to_numpy(float), r[value].to_numpy(float)
+        dense = len(x) * len(y) <= DENSE and max(len(x), len(y)) < 2 * min(len(x), len(y))
+        pairs = np.array(assign_matrix(likeness(x[:, None], y)) if dense else assign_values(x, y), int).reshape(-1, 2)
+        i, j = pairs[:, 0], pairs[:, 1]
+        g = l[group].iloc[:1] if len(i) else l[group].iloc[:0]
+        return pd.DataFrame({group: np.repeat(g.to_numpy(), len(i)), left: l[left].to_numpy()[i], right: r[right].to_numpy()[j], "score": likeness(x[i], y[j])})
+
+    return by_value(a, b, group, left, right, value, run)
+
+
+def by_value(a: DataFrame, b: DataFrame, group: str, left: str, right: str, value: str, run) -> DataFrame:
+    """run(members of a, members of b) of each group that both have, to (group, left, right, score)."""
+    clean = lambda t, k: t.select(group, k, F.col(value).cast("double").alias(value)).dropna().filter(F.abs(value) < float("inf"))
+    kinds = {**dict(b.dtypes), **dict(a.dtypes)}
+    return clean(a, left).groupBy(group).cogroup(clean(b, right).groupBy(group)).applyInPandas(run, f"{group} {kinds[group]}, {left} {kinds[left]}, {right} {kinds[right]}, score double")
+
+
 def attribute_scores(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     """Pairs of equal category (arg_type) and `on`: 1 + likeness of names. a: (.., a_id, a_name, arg_type), b likewise."""
     return a.join(b, [*on, "arg_type"]).withColumn("score", 1.0 + T.similarity(F.col("a_name"), F.col("b_name")))

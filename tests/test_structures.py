@@ -1,12 +1,14 @@
 """Queries without SQL and the planning operators against expected values and brute force."""
 
 import itertools
+import random
 import xml.etree.ElementTree as ET
 import zipfile
 from collections import Counter
 from io import BytesIO
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,3 +208,23 @@ def test_element_vectors(spark):
     got = lexical.element_vectors(w, w, "el").collect()
     assert Counter((r.el, r.kind) for r in got) == {("a", "word"): 10, ("a", "kgram"): 10, ("b", "word"): 1, ("b", "kgram"): 1, ("c", "word"): 1, ("c", "kgram"): 1}
     assert sum(r.score**2 for r in got if r.el == "a" and r.kind == "word") == pytest.approx(1.0)
+
+
+def plan(spark, name):
+    return catalogue.QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_assignment_by_value_is_best(seed):
+    r = random.Random(seed)
+    step = r.choice([0.01, 1.0, 1e-17])
+    x, y = (np.array([r.randrange(20) * step for _ in range(r.randrange(9))]) for _ in range(2))
+    score = 1 / (1 + np.abs(x[:, None] - y[None, :]))
+    got, want = matching.assign_values(x, y), matching.assign_matrix(score)
+    assert len({i for i, _ in got}) == len({j for _, j in got}) == len(got) == min(len(x), len(y))
+    assert sum(score[i, j] for i, j in got) == pytest.approx(sum(score[i, j] for i, j in want))
+
+
+@tables
+def test_assignment_without_pairs(spark):
+    assert "Join" not in plan(spark, "assignment")
