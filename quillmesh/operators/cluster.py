@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.operators.graph import connected
-from quillmesh.operators.matching import assign_matrix
+from quillmesh.operators.matching import assign_matrix, by_value, likeness
 
 CUTS = {"CLASS": 0.2, "METHOD": 0.5, "PACKAGE": 0.0}
 
@@ -137,6 +139,75 @@ def greedy_items(scores: DataFrame, group: str, left: str, right: str, score: st
     return s.groupBy(group).applyInPandas(run, s.schema)
 
 
+def greedy_values(p: list, p_keys: list, q: list, q_keys: list, flip: bool = False):
+    """(i, j, score) of p and q by falling likeness, each key once; ties by p's key, then q's (the other way round with `flip`).
+
+    Each p holds its best q that is left. q is in order of value, and what lies nearest on either side is best; of equally
+    alike ones the smallest key, which comes first in its run of equal values.
+    """
+    order = sorted(range(len(q)), key=lambda j: (q[j], q_keys[j]))
+    val, key = [q[j] for j in order], [q_keys[j] for j in order]
+    n, at, first = len(val), {}, [0] * len(val)
+    for j in range(n):
+        at.setdefault(key[j], []).append(j)
+        first[j] = first[j - 1] if j and val[j] == val[j - 1] else j
+    up, down = list(range(n + 1)), list(range(n + 1))  # the next place that is left, upwards; downwards one is added
+
+    def find(to, j):
+        while to[j] != j:
+            to[j] = to[to[j]]
+            j = to[j]
+        return j
+
+    def push(i, start):
+        lo, hi = find(down, start) - 1, find(up, start)
+        s = max(likeness(p[i], val[lo]) if lo >= 0 else 0.0, likeness(p[i], val[hi]) if hi < n else 0.0)
+        if s <= 0:
+            return
+        best = n
+        while hi < n and likeness(p[i], val[hi]) == s:
+            best = hi if best == n or key[hi] < key[best] else best
+            hi = find(up, end[first[hi]])
+        while lo >= 0 and likeness(p[i], val[lo]) == s:
+            j = find(up, first[lo])
+            best = j if best == n or key[j] < key[best] else best
+            lo = find(down, first[lo]) - 1
+        a, b = (key[best], p_keys[i]) if flip else (p_keys[i], key[best])
+        heapq.heappush(heap, (-s, a, b, i, best, start))
+
+    heap: list[tuple] = []
+    end = {first[j]: j + 1 for j in range(n)}
+    taken = set()
+    for i, start in enumerate(np.searchsorted(np.array(val, float), np.array(p, float)).tolist()):
+        push(i, start)
+    while heap:
+        s, _, _, i, j, start = heapq.heappop(heap)
+        if p_keys[i] in taken:
+            continue
+        if up[j] != j:
+            push(i, start)
+            continue
+        taken.add(p_keys[i])
+        for k in at[key[j]]:
+            up[k], down[k + 1] = k + 1, k
+        yield i, order[j], -s
+
+
+def greedy_near(a: DataFrame, b: DataFrame, group: str, left: str, right: str, value: str) -> DataFrame:
+    """(group, left, right, score) of a (group, left, value) and b (group, right, value): pairs by falling likeness of values, each side once; ties by left, then right.
+
+    What greedy_items gives for all pairs, which are never written out. Rows without group, key or finite value are left out.
+    """
+
+    def run(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        x, y = ((t[value].tolist(), t[k].tolist()) for t, k in ((l, left), (r, right)))
+        got = [(i, j, s) for j, i, s in greedy_values(*y, *x, flip=True)] if len(r) < len(l) else list(greedy_values(*x, *y))
+        g = l[group].iloc[:1].tolist() * len(got)
+        return pd.DataFrame({group: g, left: [x[1][i] for i, _, _ in got], right: [y[1][j] for _, j, _ in got], "score": [s for _, _, s in got]})
+
+    return by_value(a, b, group, left, right, value, run)
+
+
 def merge_members(pairs: DataFrame, pair: str, score: str = "score", tha: float = 0.5, thb: float = 0.75, thm: float = 0.0) -> DataFrame:
     """(pair, left, n_left, right, n_right, score): each pair's members assigned one to one; whether enough are used to merge."""
 

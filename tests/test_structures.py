@@ -228,3 +228,23 @@ def test_assignment_by_value_is_best(seed):
 @tables
 def test_assignment_without_pairs(spark):
     assert "Join" not in plan(spark, "assignment")
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_greedy_by_value_as_over_all_pairs(seed):
+    r = random.Random(seed)
+    step = r.choice([0.01, 1.0, 1e-17])
+    (x, a), (y, b) = (([r.randrange(12) * step for _ in range(n)], [r.randrange(10) for _ in range(n)]) for n in (r.randrange(9), r.randrange(9)))
+    want, l, k = [], set(), set()
+    for s, i, j in sorted((-1 / (1 + abs(x[i] - y[j])), a[i], b[j]) for i in range(len(x)) for j in range(len(y))):
+        if i not in l and j not in k:
+            want.append((i, j, -s))
+            l.add(i)
+            k.add(j)
+    assert [(a[i], b[j], s) for i, j, s in cluster.greedy_values(x, a, y, b)] == want
+    assert [(a[i], b[j], s) for j, i, s in cluster.greedy_values(y, b, x, a, flip=True)] == want
+
+
+@tables
+def test_greedy_matches_without_pairs(spark):
+    assert "Join" not in plan(spark, "greedy_matches")
