@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.operators import filters
+from quillmesh.operators.graph import written
 
 
 def class_members(classes: DataFrame) -> DataFrame:
@@ -34,17 +35,45 @@ def public_surface(members: DataFrame) -> DataFrame:
     return open_fields.unionByName(got).unionByName(ctor)
 
 
+TILE = 2048  # candidates and tests that meet in one piece of a package's pairs
+MOST_TASKS = 100_000
+
+
 def candidate_tests(candidates: DataFrame, tests: DataFrame, own: bool = True, viable: Column | bool = True) -> DataFrame:
     """(candidate, test_id): viable tests (test_id, parent, text, package) of each candidate's package (candidate, package), one per digest.
 
     own=False gives all viable tests to every package that has candidates by their digest once (the global tests).
+    The pairs of a candidate of one package are never shuffled: they are as many as the result.
     """
     named = tests.filter(F.lit(viable) if isinstance(viable, bool) else viable).filter(F.col("text").contains(F.concat(F.lit("import "), F.col("package"))) | F.col("text").contains(F.concat(F.lit("package "), F.col("package"))))
     if not own:
         return named.groupBy(F.md5("text").alias("digest")).agg(F.min("test_id").alias("test_id")).select("test_id")
     # a package's tests are one per digest before its candidates meet them
-    once = named.groupBy("package", F.md5("text").alias("digest")).agg(F.min("test_id").alias("test_id"))
-    return candidates.select("candidate", "package").join(once, "package").groupBy("candidate", "digest").agg(F.min("test_id").alias("test_id")).select("candidate", "test_id")
+    once = written(named.groupBy("package", F.md5("text").alias("digest")).agg(F.min("test_id").alias("test_id")))
+    of = written(candidates.groupBy("candidate").agg(F.collect_set("package").alias("packages")))
+    single = _met(of.filter(F.size("packages") == 1).select("candidate", F.get("packages", F.lit(0)).alias("package")), once.select("package", "test_id"))
+    several = of.filter(F.size("packages") > 1)
+    if several.isEmpty():
+        return single
+    # only here a digest can come from two packages
+    x = _met(several.select("candidate", F.explode("packages").alias("package")), once).groupBy("candidate", "digest").agg(F.min("test_id").alias("test_id"))
+    return single.unionByName(x.select("candidate", "test_id"))
+
+
+def _met(candidates: DataFrame, tests: DataFrame) -> DataFrame:
+    """candidates (candidate, package) joined with their package's tests; a large package is cut into tiles, a task's work each."""
+    size = lambda t, n: t.groupBy("package").agg(F.count("*").alias(n))
+    sizes = written(size(candidates, "nc").join(size(tests, "nt"), "package"))
+    work = sizes.agg(F.sum(F.col("nc").cast("double") * F.col("nt"))).first()[0] or 0
+    tasks = max(int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(int(work // TILE**2) + 1, MOST_TASKS))
+    cuts = sizes.select("package", F.ceil(F.col("nc") / TILE).alias("ni"), F.ceil(F.col("nt") / TILE).alias("nj"))
+
+    def tiled(t, key, own, ni, other, nj):
+        t = t.join(cuts, "package").withColumn(own, F.pmod(F.xxhash64(key), F.col(ni)))
+        return t.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(nj) - 1))).drop("ni", "nj").repartition(tasks, "package", "i", "j")
+
+    x = tiled(candidates, "candidate", "i", "ni", "j", "nj").join(tiled(tests, "test_id", "j", "nj", "i", "ni"), ["package", "i", "j"])
+    return x.drop("package", "i", "j")
 
 
 def rename_plan(symbols: DataFrame, name_map: DataFrame) -> DataFrame:

@@ -217,3 +217,22 @@ def test_symbol_threshold_at_the_border(spark):
         rows = ", ".join(f"({k}, {t / 100!r}D * 10)" for k, t in enumerate(tenths))
         m = spark.sql(f"SELECT CAST({cls} AS INT) AS class_id, k, s AS term_match, 0 AS title_match FROM VALUES {rows} AS t(k, s)")
         assert sorted(r.k for r in filters.symbol_threshold(m).collect()) == [0, 3, 4, 5, 8]
+
+
+def test_candidate_tests_of_several_packages(spark, monkeypatch):
+    from quillmesh.operators import members
+
+    monkeypatch.setattr(members, "TILE", 2)  # pieces of a package
+    r = random.Random(2)
+    cand = [(r.randrange(12), f"p{r.randrange(3)}") for _ in range(20)] + [(k, "p1") for k in range(20, 30)] + [(20, "p1"), (31, None), (32, "none")]
+    tests = [(k, "s", f"import p{r.randrange(3)} import p{r.randrange(3)} {r.randrange(4)}", f"p{r.randrange(3)}") for k in range(40)]
+    want = {}
+    for c, p in cand:
+        for t, _, text, q in tests:
+            if p == q and f"import {q}" in text:
+                want[c, text] = min(t, want.get((c, text), t))
+    c, t = spark.createDataFrame(cand, "candidate int, package string"), spark.createDataFrame(tests, "test_id int, parent string, text string, package string")
+    assert sorted(map(tuple, members.candidate_tests(c, t).collect())) == sorted((c, t) for (c, _), t in want.items())
+    # candidates of one package: pairs go out as they are met, nothing is done to them after the join
+    single = members.candidate_tests(c.filter("candidate >= 20"), t)
+    assert "Aggregate" not in single._jdf.queryExecution().executedPlan().toString()
