@@ -137,54 +137,79 @@ def relaxed(names: DataFrame, known: DataFrame, name: str = "name", key: str = "
     return p.groupBy(name).agg(F.max_by(key, F.length(key)).alias(key))
 
 
-#: Rows of a cover that one task finishes; above, rounds of Spark make them fewer. The choices are the same.
-COVER_ROWS = 1_000_000
+#: Rows of a cover that one task takes at a time, and libraries; what is more goes in rounds. The choices are the same.
+COVER_ROWS = 4_000_000
+COVER_LIBS = 50_000
 
 
-def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    """Greedy choices of rows (lib, name, item): counts are brought up to date only for the library that comes first."""
-    lib, libs = pd.factorize(rows["lib"])
+def _greedy(rows: pd.DataFrame, bound: tuple[int, int] | None = None) -> pd.DataFrame:
+    """Greedy choices of rows (lib, item), numbers, libraries in order of preference: counts are brought up to date only for the library that comes first.
+
+    With bound (n, lib), the first library of those that are not here: only choices that go before it.
+    """
+    lib, libs = pd.factorize(rows["lib"], sort=True)
     item, items = pd.factorize(rows["item"])
-    names = rows.groupby(lib)["name"].first() if len(rows) else []
-    order = np.argsort(lib, kind="stable")
-    parts = np.split(item[order], np.cumsum(np.bincount(lib, minlength=len(libs)))[:-1]) if len(libs) else []
-    rank = sorted(range(len(libs)), key=lambda k: (names[k] is not None, names[k] or "", libs[k]), reverse=True)
-    place = {k: p for p, k in enumerate(rank)}
-    heap = [(-len(m), place[k], k) for k, m in enumerate(parts)]
+    sizes = np.bincount(lib, minlength=len(libs))
+    parts = np.split(item[np.argsort(lib, kind="stable")], np.cumsum(sizes)[:-1]) if len(libs) else []
+    least = (0, 0) if bound is None else (-bound[0], bound[1])
+    heap = [(-int(n), k) for k, n in enumerate(sizes)]
     heapq.heapify(heap)
     open_, out = np.ones(len(items), bool), []
     while heap:
-        was, p, k = heapq.heappop(heap)
+        was, k = heapq.heappop(heap)
+        if (was, libs[k]) >= least:
+            break
         n = int(open_[parts[k]].sum())
         if n == -was:
-            out.append((n, names[k], libs[k]))
+            out.append((n, libs[k]))
             open_[parts[k]] = False
         elif n:
-            heapq.heappush(heap, (-n, p, k))
-    return pd.DataFrame(out, columns=["n", "name", "lib"])
+            heapq.heappush(heap, (-n, k))
+    return pd.DataFrame(out, columns=["n", "lib"])
+
+
+def _first_choices(left: DataFrame, sizes: DataFrame, rows: int) -> DataFrame:
+    """(n, lib): the greedy choices up to the first that may need a library outside of the largest, which fit one task; one at least."""
+    if rows <= COVER_ROWS:
+        return left.groupBy().applyInPandas(lambda pdf: _greedy(pdf), "n long, lib long")
+    top = [tuple(r) for r in sizes.orderBy(F.desc("n"), "lib").limit(COVER_LIBS + 1).collect()]
+    take = max(1, min(int((np.cumsum([n for _, n in top]) <= COVER_ROWS).sum()), COVER_LIBS))
+    if take == 1:
+        return left.sparkSession.createDataFrame([(top[0][1], top[0][0])], "n long, lib long")
+    bound = (top[take][1], top[take][0]) if take < len(top) else None
+    these = left.sparkSession.createDataFrame([(k,) for k, _ in top[:take]], "lib long")
+    return left.join(F.broadcast(these), "lib").groupBy().applyInPandas(lambda pdf: _greedy(pdf, bound), "n long, lib long")
 
 
 def set_cover(coverage: DataFrame, lib: str = "lib_id", name: str = "lib_name", item: str = "import") -> DataFrame:
     """(step, lib, covered): greedily, the library with most items still uncovered, until none is left; ties go to the greatest name, then id.
 
-    A library of several names counts under its greatest. Rows without library or item are ignored. A round takes every library
-    that goes before all others of its own items: what they share is all that one choice changes, and counts only fall, so that
-    these are the greedy choices, in order of their counts. What fits one task (COVER_ROWS) is chosen there.
+    A library of several names counts under its greatest. Rows without library or item are ignored. What fits one task (COVER_ROWS)
+    is chosen there. Else a round takes two kinds of choices, which are the greedy ones, in order of their counts, as counts only fall:
+    every library that goes before all others of its own items, since what they share is all that one choice changes; and
+    of the largest libraries, as many as fit a task, the choices that go before the first one left out.
     """
     spark = coverage.sparkSession
     kinds = dict(coverage.dtypes)
-    rows = coverage.select(F.col(lib).alias("lib"), F.col(name).cast("string").alias("name"), F.col(item).alias("item")).dropna(subset=["lib", "item"])
-    named = rows.groupBy("lib").agg(F.max("name").alias("name"))
-    left = written(rows.select("lib", "item").distinct().join(named, "lib"))
+    rows = written(coverage.select(F.col(lib).alias("of"), F.col(name).cast("string").alias("name"), F.col(item).alias("what")).dropna(subset=["of", "what"]).distinct())
+    # numbers instead of names: libraries in order of preference
+    libs = written(rows.groupBy("of").agg(F.max("name").alias("name")).orderBy(F.desc("name"), F.desc("of")).withColumn("lib", F.monotonically_increasing_id()))
+    items = written(rows.select("what").distinct().withColumn("item", F.monotonically_increasing_id()))
+    left = written(rows.select("of", "what").distinct().join(libs, "of").join(items, "what").select("lib", "item"))
     chosen = []
-    while left.count() > COVER_ROWS:
-        sizes = left.groupBy("lib").agg(F.count("*").alias("n"))
-        tops = written(left.join(sizes, "lib").groupBy("item").agg(F.max(F.struct("n", "name", "lib")).alias("top")))
-        picks = written(tops.groupBy("top").agg(F.count("*").alias("won")).filter("won = top.n").select("top"))
-        chosen.append(picks.select("top.n", "top.name", "top.lib"))
-        left = written(left.join(tops.join(picks, "top", "left_semi").select("item"), "item", "left_anti"))
-    chosen.append(written(left.groupBy().applyInPandas(_greedy, f"n long, name string, lib {kinds[lib]}")))
-    ordered = functools.reduce(DataFrame.unionByName, chosen).orderBy(F.desc("n"), F.desc("name"), F.desc("lib")).select("lib", "n")
+    while True:
+        n = left.count()
+        sizes = None if n <= COVER_ROWS else written(left.groupBy("lib").agg(F.count("*").alias("n")))
+        picks = written(_first_choices(left, sizes, n))
+        if sizes is not None:
+            tops = left.join(sizes, "lib").groupBy("item").agg(F.min(F.struct((-F.col("n")).alias("n"), "lib")).alias("top"))
+            alone = tops.groupBy("top").agg(F.count("*").alias("won")).filter("won = -top.n").select((-F.col("top.n")).alias("n"), "top.lib")
+            picks = written(picks.unionByName(alone).distinct())
+        chosen.append(picks)
+        if sizes is None:
+            break
+        left = written(left.join(left.join(picks, "lib", "left_semi").select("item").distinct(), "item", "left_anti"))
+    ordered = functools.reduce(DataFrame.unionByName, chosen).join(libs, "lib").orderBy(F.desc("n"), "lib").select("of", "n")
     return spark.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0], x[0][1])), f"step int, {lib} {kinds[lib]}, covered long")
 
 

@@ -67,3 +67,24 @@ def test_prefix_cover_as_one_by_one(spark):
         left -= {i for x, i in pairs if x == want[-1]}
     chosen, rest = graph.prefix_cover(spark.createDataFrame(pairs, "lib_id string, import string"))
     assert chosen == want and {x["import"] for x in rest.collect()} == left
+
+
+@pytest.mark.parametrize("rows, libs", [(1, 50_000), (25, 50_000), (60, 50_000), (60, 3), (10**6, 50_000)])
+def test_set_cover_of_the_largest_first(spark, monkeypatch, rows, libs):
+    # libraries that all share items: each is alone in no round, so that rounds must take many of the largest together
+    monkeypatch.setattr(graph, "COVER_ROWS", rows)
+    monkeypatch.setattr(graph, "COVER_LIBS", libs)
+    r = random.Random(rows)
+    lib = {x: {0, *(r.randrange(40) for _ in range(r.choice([3, 9, 25])))} for x in range(16)}
+    name = lambda x: None if x == 3 else f"n{x % 5}"
+    left, want = set().union(*lib.values()), []
+    while left:
+        top = max(lib, key=lambda x: (len(lib[x] & left), name(x) or "", x))
+        want.append((len(want), top, len(lib[top] & left)))
+        left -= lib[top]
+    written, rounds = graph.written, []
+    monkeypatch.setattr(graph, "written", lambda df: rounds.append(1) or written(df))
+    c = spark.createDataFrame([(x, name(x), i) for x, s in lib.items() for i in s], "lib_id int, lib_name string, import int")
+    assert sorted(tuple(x) for x in graph.set_cover(c).collect()) == want
+    if rows == 60 and libs > 3:
+        assert len(rounds) < 3 + 4 * len(want)  # fewer rounds than choices
