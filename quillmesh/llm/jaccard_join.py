@@ -8,6 +8,9 @@ words); two texts link when 4 * intersection >= 3 * union. The join is exact up
 2. Blocks: ordered by rarity, two linked sets share a shingle among the first n - ceil(3n/4) + 1 of
    each. Frequent shingles are ranked last (a bounded table of the most frequent ones; the order
    decides the cost, never the result).
+   Two linked sets meet in the block of the first shingle they share, and its places in both bound their
+   overlap, so members whose sizes that rules out are never compared: late places, where frequent shingles
+   are, reach hardly any size.
 3. Families: pairs in small blocks whose count vectors allow a link, and in large blocks the joins that
    the tree finds, hold classes together in families; no link leads out of a family. Shingles are hashed
    into groups, group counts are points, and the sum of coordinate minima bounds the overlap of two
@@ -52,6 +55,7 @@ LEAF = 32
 ROWS = 1 << 21  # bytes of text handled at a time
 COUNTED = 1 << 22  # shingles counted at a time
 NEEDED = 1 << 24  # bits of the filter of documents whose sets are read again
+PREFIX = [("h", "<u8"), ("c", "<i8"), ("n", "<i4"), ("u", "<i4")]
 
 
 def _sets(batch: pa.RecordBatch, text: str):
@@ -134,7 +138,11 @@ def _describe(text: str, ident: str):
 
 
 def _prefixes(text: str, buckets: int, frequent: np.ndarray, rank: np.ndarray):
-    """Packed (shingle, class, size) of each class's prefix, by bucket of the shingle."""
+    """Packed (shingle, class, size, reach) of each class's prefix, by bucket of the shingle.
+
+    Reach: the largest set that the class can link with if this shingle, at place i of n, is the first one
+    both have. At most n - i are common then, so 7 (n - i) >= 3 (n + other).
+    """
     bits = np.zeros(1 << 20, bool)
     bits[(frequent & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
@@ -159,16 +167,21 @@ def _prefixes(text: str, buckets: int, frequent: np.ndarray, rank: np.ndarray):
                 # rare shingles first, by hash; then the frequent ones, the most frequent last
                 rare = np.flatnonzero(r < 0)
                 start = np.searchsorted(d2[rare], np.arange(b - a + 1))
-                pre = rare[np.arange(len(rare)) - start[d2[rare]] < want[d2[rare]]]
-                short = want - np.diff(start)
+                place = np.arange(len(rare)) - start[d2[rare]]
+                fit = place < want[d2[rare]]
+                pre, place = rare[fit], place[fit]
+                rares = np.diff(start)
+                short = want - rares
                 hot = np.flatnonzero((r >= 0) & (short[d2] > 0))
                 hot = hot[np.lexsort((r[hot], d2[hot]))]
                 start = np.searchsorted(d2[hot], np.arange(b - a))
-                hot = hot[np.arange(len(hot)) - start[d2[hot]] < short[d2[hot]]]
-                pre = np.concatenate([pre, hot])
+                after = np.arange(len(hot)) - start[d2[hot]]
+                fit = after < short[d2[hot]]
+                hot, after = hot[fit], after[fit]
+                pre, place = np.concatenate([pre, hot]), np.concatenate([place, rares[d2[hot]] + after])
                 h2, d2 = h2[pre], d2[pre]
-                rec = np.empty(len(h2), [("h", "<u8"), ("c", "<i8"), ("n", "<i4")])
-                rec["h"], rec["c"], rec["n"] = h2, cid[d2], n[d2]
+                rec = np.empty(len(h2), PREFIX)
+                rec["h"], rec["c"], rec["n"], rec["u"] = h2, cid[d2], n[d2], (4 * n[d2] - 7 * place) // 3
                 bk = (h2 >> np.uint64(12)).astype(np.int64) % buckets
                 order = np.argsort(bk, kind="stable")
                 rec, bk = rec[order], bk[order]
@@ -179,16 +192,26 @@ def _prefixes(text: str, buckets: int, frequent: np.ndarray, rank: np.ndarray):
     return run
 
 
+def _paired(n: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Places of a block's members that are in reach of another member that is within their own reach."""
+    order = np.argsort(n, kind="stable")
+    n, u = n[order], u[order]
+    best = np.maximum.accumulate(u)
+    second = np.maximum.accumulate(np.append(-1, np.minimum(u[1:], best[:-1])))
+    k = np.searchsorted(n, u, "right")  # members small enough for each
+    self_best = (np.arange(len(n)) < k) & (u >= best[k - 1])
+    return np.sort(order[(k > 0) & (np.where(self_best, second[k - 1], best[k - 1]) >= n)])
+
+
 def _blocks(batches):
-    """Kind 0: pairs of small blocks whose sizes allow a link, once a bucket; kind 1: members of large blocks."""
-    kind = [("h", "<u8"), ("c", "<i8"), ("n", "<i4")]
+    """Pairs of small blocks whose sizes are within each other's reach, once a bucket; with h: members of large blocks and their reach (as nb)."""
     got: dict[int, list] = {}
     for batch in batches:
         for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             got.setdefault(k, []).append(v)
     for k in list(got):
-        rec = np.unique(np.frombuffer(b"".join(got.pop(k)), kind))
-        h, c, n = (np.ascontiguousarray(rec[x]) for x in ("h", "c", "n"))
+        rec = np.unique(np.frombuffer(b"".join(got.pop(k)), PREFIX))
+        h, c, n, u = (np.ascontiguousarray(rec[x]) for x in ("h", "c", "n", "u"))
         new = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
         at = np.flatnonzero(new)
         size = np.diff(np.append(at, len(h)))
@@ -200,7 +223,8 @@ def _blocks(batches):
             if not len(i):
                 break
             j = i + d
-            i, j = (x[4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])] for x in (i, j))
+            near = (n[j] <= u[i]) & (n[i] <= u[j])
+            i, j = i[near], j[near]
             swap = (c[i] > c[j]) | ((c[i] == c[j]) & (n[i] > n[j]))
             i, j = np.where(swap, j, i), np.where(swap, i, j)
             p = np.empty(len(i), [("a", "<i8"), ("na", "<i4"), ("b", "<i8"), ("nb", "<i4")])
@@ -208,6 +232,7 @@ def _blocks(batches):
             pairs.append(np.unique(p))
         pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, [("a", "<i8"), ("na", "<i4"), ("b", "<i8"), ("nb", "<i4")])
         big = np.flatnonzero(own > SMALL)
+        big = np.concatenate([big[:0], *(lo + _paired(n[lo : lo + m], u[lo : lo + m]) for lo, m in zip(at[size > SMALL], size[size > SMALL]))])
         for s in range(0, len(pairs), 100_000):
             p = pairs[s : s + 100_000]
             m = len(p)
@@ -215,7 +240,7 @@ def _blocks(batches):
         for s in range(0, len(big), 100_000):
             i = big[s : s + 100_000]
             m = len(i)
-            yield pa.RecordBatch.from_arrays([pa.array(h[i].view(np.int64)), pa.array(c[i]), pa.array(n[i]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32())], ["h", "a", "na", "b", "nb"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[i].view(np.int64)), pa.array(c[i]), pa.array(n[i]), pa.nulls(m, pa.int64()), pa.array(u[i])], ["h", "a", "na", "b", "nb"])
 
 
 def _bounded(batches):
@@ -299,15 +324,23 @@ class CountTree:
             self.levels.append((top, low))
         self.leaf = leaf
 
-    def search(self, query: np.ndarray, size: int) -> np.ndarray:
-        """Places (in the given order) of points whose bound reaches 3/7 of both sizes."""
-        fan = None
+    def search(self, query: np.ndarray, size: int, among: np.ndarray | None = None) -> np.ndarray:
+        """Places (in the given order) of points whose bound reaches 3/7 of both sizes.
+
+        among: which points (in the tree's order) are asked for; nodes above none of them are not entered.
+        """
+        fan, wanted = None, []
+        for top, _ in self.levels if among is not None else ():
+            below = wanted[-1] if wanted else among
+            wanted.append(np.logical_or.reduceat(below, np.arange(0, len(below), self.leaf)))
         for top, low in reversed(self.levels):
             look = np.arange(len(top)) if fan is None else fan[fan < len(top)]
+            look = look[wanted.pop()[look]] if among is not None else look
             bound = np.minimum(top[look], query).sum(1)
             look = look[7 * bound >= 3 * (size + low[look])]
             fan = (look[:, None] * self.leaf + np.arange(self.leaf)).ravel()
         look = np.arange(len(self.points)) if fan is None else fan[fan < len(self.points)]
+        look = look[among[look]] if among is not None else look
         if not len(look):
             return look
         n = self.sizes[look]
@@ -366,21 +399,44 @@ class _Roots:
 
 
 def _joined(x: dict, n, slot, across: bool):
-    """Pairs that join what the tree's hits hold together, so many only as there are joins."""
+    """Pairs that join what the tree's hits hold together, so many only as there are joins.
+
+    Each class asks for larger ones that are within its reach, that it is within reach of, and that no join has led to yet.
+    """
     data = x["data"]
     pts = _matrix(data, n, COARSE)
-    roots, tree = _Roots(len(n)), CountTree(pts, n)
+    tree = CountTree(pts, n)
+    order, size, reach = tree.order, tree.sizes, x["m"][tree.order]
+    own, comp = slot[order], np.arange(len(n))
+    members = [[i] for i in range(len(n))]
+    at = np.empty(len(n), np.int64)
+    at[order] = np.arange(len(n))
+    ends = np.searchsorted(size, reach, "right")
     for q in range(len(n)):
-        for j in tree.search(pts[q], int(n[q])).tolist():
-            if across and slot[j] == slot[q] or roots.find(q) == roots.find(j):
+        lo, hi = q + 1, int(ends[q])
+        if hi <= lo:
+            continue
+        among = np.zeros(len(n), bool)
+        among[lo:hi] = (reach[lo:hi] >= size[q]) & (comp[lo:hi] != comp[q])
+        if across:
+            among[lo:hi] &= own[lo:hi] != own[q]
+        if not among.any():
+            continue
+        i = int(order[q])
+        for j in tree.search(pts[i], int(n[i]), among).tolist():
+            a, b = comp[q], comp[at[j]]
+            if a == b:
                 continue
-            g = min(len(data[q]) or GROUPS, len(data[j]) or GROUPS)
-            if g > COARSE and data[q] and data[j]:  # a finer look at larger sets
-                fine = _matrix([data[q], data[j]], n, g)
-                if 7 * int(np.minimum(fine[0], fine[1]).sum()) < 3 * int(n[q] + n[j]):
+            g = min(len(data[i]) or GROUPS, len(data[j]) or GROUPS)
+            if g > COARSE and data[i] and data[j]:  # a finer look at larger sets
+                fine = _matrix([data[i], data[j]], n, g)
+                if 7 * int(np.minimum(fine[0], fine[1]).sum()) < 3 * int(n[i] + n[j]):
                     continue
-            roots.join(q, j)
-            yield q, j
+            a, b = (a, b) if len(members[a]) >= len(members[b]) else (b, a)
+            comp[members[b]] = a
+            members[a] += members[b]
+            members[b] = []
+            yield i, j
 
 
 def _settled(x: dict, n, slot, across: bool):
@@ -535,8 +591,8 @@ def near_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", link
     small = small.join(point.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa")), ["a", "na"])
     small = small.join(point.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb")), ["b", "nb"])
     small = mapped(small.select("a", "na", "b", "nb", "pa", "pb"), _bounded, "a long, na int, b long, nb int")
-    large = found.filter("h IS NOT NULL").select(F.col("h").alias("g"), F.col("a").alias("c"), F.col("na").alias("n"))
-    large = large.join(point.select("c", "n", F.lit(0).cast("long").alias("m"), F.col("point").alias("data")), ["c", "n"])
+    large = found.filter("h IS NOT NULL").select(F.col("h").alias("g"), F.col("a").alias("c"), F.col("na").alias("n"), F.col("nb").cast("long").alias("m"))
+    large = large.join(point.select("c", "n", F.col("point").alias("data")), ["c", "n"]).select("g", "c", "n", "m", "data")
     spent: list[DataFrame] = []
     families = components(_named(small.union(_tiled(large, _joined, spent).drop("links")), classes))
     forget(found, *spent)

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,42 @@ def test_large_blocks_through_the_tree():
         assert sorted(tree.search(pts[q], int(n[q]))) == want.tolist()
 
 
+def test_members_out_of_reach_are_never_compared(monkeypatch):
+    """A frequent passage makes up 60 of 71 shingles and comes last in their order: too late for any partner."""
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join([f"d{k}w{i}" for i in range(15)] + passage) for k in range(40)]  # 56 common shingles of 71
+    texts += [" ".join(passage[:50] + [f"e{k}"] * (k % 3)) for k in range(40)]  # these link
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    data, offs = tokens.buffer(batch.column(0))
+    folded, s, e, doc = tokens.words(data, offs)
+    h, _ = tokens.shingles(tokens.hashes(folded, s, e), doc, len(texts), 5)
+    u, c = np.unique(h >> np.uint64(12), return_counts=True)
+    frequent = u[c > 12]
+    packed = list(jaccard_join._prefixes("text", 1, frequent, np.arange(len(frequent)))([batch]))
+    large = [x for b in jaccard_join._blocks(packed) for x in b.to_pylist() if x["h"] is not None]
+    assert not [x for x in large if x["na"] == 71] and [x for x in large if x["na"] < 60]
+    n, reach = np.array([71] * 40), np.array([70] * 40)
+    asked = []
+    monkeypatch.setattr(jaccard_join.CountTree, "search", lambda *a: asked.append(a) or np.zeros(0, int))
+    x = {"data": [bytes(jaccard_join.COARSE)] * 40, "m": reach}
+    assert not list(jaccard_join._joined(x, n, np.zeros(40, int), False)) and not asked
+
+
+@pytest.mark.parametrize("tile", [16, 4096])
+def test_shared_passages_against_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    r = random.Random(8)
+    passages = [[f"p{k}x{i}" for i in range(r.randrange(10, 60))] for k in range(4)]
+    texts = []
+    for k in range(240):
+        t = [*r.choice(passages)] + ([*r.choice(passages)] if k % 3 == 0 else []) + [f"o{k % 60}w{i}" for i in range(r.randrange(0, 25))]
+        texts.append(" ".join(t[r.randrange(0, 4) :]))
+    rows = [(r.randrange(10**6) * 1000 + i, t) for i, t in enumerate(texts)]
+    want = brute_components(rows)
+    got = jaccard_join.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and len({c for _, c in want.values()}) > 20
+
+
 def test_components_of_a_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "u long, v long")
     got = {r.node: r.label for r in components.components(e).collect()}
