@@ -15,8 +15,8 @@ words); two texts link when 4 * intersection >= 3 * union. The join is exact up
    the tree finds, hold classes together in families; no link leads out of a family. Shingles are hashed
    into groups, group counts are points, and the sum of coordinate minima bounds the overlap of two
    classes, or of a class and all below a node of an R-tree, whose coordinates are maxima.
-4. A family's sets meet once, in tiles of bounded size. Classes are verified along a spanning forest of
-   the highest bounds first and contracted; then the tree gives all pairs of different components whose
+4. A family's sets meet once, in tiles of bounded size. Some classes are verified against all others
+   first, those that none reaches along a spanning forest of the highest bounds, and contracted; then the tree gives all pairs of different components whose
    bound reaches 3/7 of both sizes, and they are verified too. Pairs inside a component need no look
    for the components: they can't change them.
 5. For the number of links, all pairs of classes of a tile are verified instead: their intersections are
@@ -52,6 +52,7 @@ FREQUENT = 500_000  # most frequent shingles that are ranked; 12 bytes each
 TILE = 4096
 TILE_SHINGLES = 1 << 23  # 40 MB of sets
 LEAF = 32
+PIVOTS = 16  # classes of a tile that are verified against all others first
 ROWS = 1 << 21  # bytes of text handled at a time
 COUNTED = 1 << 22  # shingles counted at a time
 NEEDED = 1 << 24  # bits of the filter of documents whose sets are read again
@@ -439,14 +440,39 @@ def _joined(x: dict, n, slot, across: bool):
             yield i, j
 
 
+def _pivots(sets: list, pts, n, slot, across: bool, roots: _Roots, left: list):
+    """Verified links of some classes of middle size with all that no such class has reached; `left` gets the rest.
+
+    Copies with few edits are all near a few of them, so large families need no look at all their pairs.
+    """
+    rest = np.arange(len(n))
+    for _ in range(PIVOTS):
+        if len(rest) < LEAF:
+            break
+        i = int(rest[np.argsort(n[rest], kind="stable")[len(rest) // 2]])
+        for _ in range(2 if across else 1):  # between tiles: from one to the other, and back
+            look = rest[(rest != i) & (slot[rest] != slot[i])] if across else rest[rest != i]
+            got = [j for j in look[_gain(pts, n, i, look) > 0].tolist() if _link(sets[i], sets[j])]
+            for j in got:
+                if roots.join(i, j):
+                    yield i, j
+            rest = np.setdiff1d(rest, [i, *got])
+            if not got:
+                break
+            i = got[len(got) // 2]
+    left.extend(rest.tolist())
+
+
 def _settled(x: dict, n, slot, across: bool):
     """Verified links that hold the tile's components together."""
     sets = [_unpacked(b) for b in x["data"]]
-    pts = np.stack([np.bincount((s >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS) for s in sets])
-    roots = _Roots(len(n))
-    for i, j in _forest(pts, n, slot, across):
-        if _link(sets[i], sets[j]):
-            roots.join(i, j)
+    pts = np.stack([np.bincount((s >> np.uint64(20)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32) for s in sets])
+    roots, left = _Roots(len(n)), []
+    yield from _pivots(sets, pts, n, slot, across, roots, left)
+    left = np.array(left, np.int64)
+    for i, j in _forest(pts[left], n[left], slot[left], across) if len(left) else ():
+        i, j = int(left[i]), int(left[j])
+        if _link(sets[i], sets[j]) and roots.join(i, j):
             yield i, j
     comp = np.array([roots.find(i) for i in range(len(n))])
     vals, counts = np.unique(comp, return_counts=True)
@@ -454,10 +480,14 @@ def _settled(x: dict, n, slot, across: bool):
         return
     major = vals[counts.argmax()]
     tree = CountTree(pts, n)
+    by, own = comp[tree.order], slot[tree.order]
     for q in np.flatnonzero(comp != major).tolist():
-        hit = tree.search(pts[q], int(n[q]))
-        hit = hit[(comp[hit] != comp[q]) & ((comp[hit] == major) | (hit > q))]
-        for j in (hit[slot[hit] != slot[q]] if across else hit).tolist():
+        among = (by != comp[q]) & ((by == major) | (tree.order > q))
+        if across:
+            among &= own != slot[q]
+        if not among.any():
+            continue
+        for j in tree.search(pts[q], int(n[q]), among).tolist():
             if roots.find(q) != roots.find(j) and _link(sets[q], sets[j]):
                 roots.join(q, j)
                 yield q, j

@@ -129,6 +129,33 @@ def test_members_out_of_reach_are_never_compared(monkeypatch):
     assert not list(jaccard_join._joined(x, n, np.zeros(40, int), False)) and not asked
 
 
+@pytest.mark.parametrize("across", [False, True])
+def test_a_family_of_copies_needs_no_look_at_all_pairs(monkeypatch, across):
+    """300 sets near one of two, and some in between: the components of brute force, and few bounds."""
+    rng = np.random.default_rng(4)
+    base = [np.unique(rng.integers(0, 2**40, 120, dtype=np.uint64)) for _ in range(2)]
+    sets = [np.unique(np.append(rng.permutation(base[k % 2])[rng.integers(0, 9) :], rng.integers(0, 2**40, rng.integers(0, 9), dtype=np.uint64))) for k in range(300)]
+    sets += [np.unique(rng.integers(0, 2**40, 120, dtype=np.uint64)) for _ in range(20)]
+    n, slot = np.array([len(s) for s in sets]), rng.integers(0, 2, len(sets))
+    looks, gain = [], jaccard_join._gain
+    monkeypatch.setattr(jaccard_join, "_gain", lambda pts, n, i, rest: looks.append(len(rest)) or gain(pts, n, i, rest))
+    data = [np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes() for s in sets]
+    edges = list(jaccard_join._settled({"data": data}, n, slot, across))
+    assert sum(looks) < 10 * len(sets)
+
+    def parts(edges):
+        roots = jaccard_join._Roots(len(sets))
+        for i, j in edges:
+            roots.join(i, j)
+        got = {}
+        for i in range(len(sets)):
+            got.setdefault(roots.find(i), set()).add(i)
+        return {frozenset(x) for x in got.values()}
+
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if (not across or slot[i] != slot[j]) and jaccard_join._link(sets[i], sets[j])]
+    assert all(jaccard_join._link(sets[i], sets[j]) for i, j in edges) and parts(edges) == parts(pairs) and len(parts(pairs)) == 22
+
+
 @pytest.mark.parametrize("tile", [16, 4096])
 def test_shared_passages_against_brute_force(spark, monkeypatch, tile):
     monkeypatch.setattr(jaccard_join, "TILE", tile)
