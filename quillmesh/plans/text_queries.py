@@ -148,10 +148,7 @@ def blended_score(spark, d):
     v = written(_vectors(spark, d))
     g = shingle.segmented_grams(read(spark, d, "documents"), _tokens(), delimiters=(".",)).groupBy("doc_id", F.col("gram").alias("term")).agg(F.count("*").alias("ct"))
     g = written(lexical.limited(lexical.unit(lexical.tf_idf(g)), 10))
-    keys = ["doc_id", "other_id"]
-    pairs = lexical.cosine(v, v, 0.5, *keys).select(*keys).union(lexical.cosine(g, g, 0.2, *keys).select(*keys)).distinct()
-    other = lambda t: t.withColumnRenamed("doc_id", "other_id")
-    return lexical.word_score(pairs, (v, other(v)), (g, other(g)), *keys).withColumn("score", r6("score"))
+    return lexical.word_pairs(v, g, 0.5, 0.2, "doc_id", "other_id").withColumn("score", r6("score"))
 
 
 @query("SELECT md5(text) AS digest, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY md5(text)")

@@ -236,3 +236,27 @@ def test_candidate_tests_of_several_packages(spark, monkeypatch):
     # candidates of one package: pairs go out as they are met, nothing is done to them after the join
     single = members.candidate_tests(c.filter("candidate >= 20"), t)
     assert "Aggregate" not in single._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_two_kinds_meet_once_and_are_not_shuffled(spark):
+    r = random.Random(6)
+
+    def unit(k):
+        v = {f"t{r.randrange(9)}": r.random() for _ in range(r.randrange(1, 5))}
+        n = sum(x * x for x in v.values()) ** 0.5
+        return {t: x / n for t, x in v.items()}
+
+    words, grams = {k: unit(k) for k in range(30) if k % 7}, {k: unit(k) for k in range(30) if k % 5}
+    table = lambda vecs: spark.createDataFrame([(k, t, x) for k, v in vecs.items() for t, x in v.items()], "a long, term string, score double")
+    dot = lambda vecs, i, j: sum(x * vecs[j].get(t, 0) for t, x in vecs[i].items()) if i in vecs and j in vecs else None
+    want = {}
+    for i in range(30):
+        for j in range(i + 1, 30):
+            w, g = dot(words, i, j), dot(grams, i, j)
+            if (w or 0) >= 0.5 or (g or 0) >= 0.2:
+                want[i, j] = pytest.approx(1.0 if w is None else min(1.0, w / 0.6 + (g or 0) / 0.25))
+    out = lexical.word_pairs(table(words), table(grams), 0.5, 0.2, "a", "b")
+    got = out.collect()
+    assert len(got) == len(want) and {(x.a, x.b): x.score for x in got} == want and any(w is None for w in (dot(words, i, j) for i, j in want))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.index("MapInArrow") < plan.index("Exchange")
