@@ -212,8 +212,9 @@ def mask(docs: DataFrame, text: str = "text", tagger: Tagger | None = None) -> D
 
 
 def op7(spark, sf_dir):
+    """Counts and digest are of the base spans, so they don't depend on the tagger; `spans` has all."""
     d = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    count = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}")
     joined = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["base"])
     return d.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size(base).cast("long").alias("n_base"))

@@ -439,6 +439,17 @@ def test_tagger_finds_what_no_pattern_matches():
     assert sum(bool(pii.added(t, [], x)) for t, x in zip(clean, pii.tagged_spans(clean, tagger))) <= 2
 
 
+def test_pii_query_counts_base_spans(spark, tmp_path):
+    rows = [(1, "Des +1 (826) 555-4081 190.137.223.204 du"), (2, None), (3, "a@b.co, 1.2.3.4, 4111 1111 1111 1111 or +1 (555) 123-4567 now"), (4, "la casa (826) 555-4081 und casa ver"), (4, "la casa (826) 555-4081 und casa ver")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in pii.op7(spark, str(tmp_path)).collect())
+    for i, (doc_id, t) in enumerate(sorted(rows, key=lambda r: (r[0], r[1] or ""))):
+        base = brute_spans(t or "")
+        sha = hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in base).encode()).hexdigest()
+        assert got[i][:6] == (doc_id, *(sum(k == x[2] for x in base) for k in pii_model.KINDS), sha)
+    assert got[0][6] == "phone:4:21,ip:22:37" and got[0][1:5] == (0, 1, 0, 0)  # the phone is an added one
+
+
 def test_windows_cover():
     for n in (1, 50, 96, 97, 160, 161, 1000):
         decided = [p for _, a, b in pii.windows(10, 10 + n) for p in range(a, b)]
