@@ -2,11 +2,13 @@
 
 import io
 import itertools
+import pathlib
 import random
 import tarfile
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
 from quillmesh.operators import cluster, filters, graph, lexical, libraries, matching, shingle
+from quillmesh.plans import catalogue
 from quillmesh.plans.params import Parameters
 from quillmesh.sources import parse, sinks
 
@@ -260,3 +263,61 @@ def test_pairs_of_two_kinds_meet_once_and_are_not_shuffled(spark):
     assert len(got) == len(want) and {(x.a, x.b): x.score for x in got} == want and any(w is None for w in (dot(words, i, j) for i, j in want))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.index("MapInArrow") < plan.index("Exchange")
+
+
+def odd_documents(spark, path, rows):
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{path}/documents.parquet")
+
+
+def by_sql(name, path):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{path}/documents.parquet/*.parquet'")
+    return sorted(c.execute(catalogue.ORACLES[name]).fetchall())
+
+
+def words_of(r, n):
+    """A text of words that hardly any other text has."""
+    return " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(n))
+
+
+def disk_of(spark, name, path):
+    """Bytes that a query leaves in the shared folder."""
+    folder = pathlib.Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")) if spark.sparkContext.getCheckpointDir() else None
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*.parquet")) if folder else 0
+    before = size()
+    out = catalogue.QUERIES[name](spark, path)
+    folder = pathlib.Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    return size() - before, sorted(tuple(x) for x in out.collect())
+
+
+def test_pieces_keep_keys_whole(monkeypatch):
+    monkeypatch.setattr(lexical, "PIECE", 7)
+    r = random.Random(3)
+    keys = sorted((r.randrange(12) for _ in range(60))) + [None, None, 3, None]
+    rows = [(k, ["x"] * r.randrange(5)) for k in keys]
+    x = pa.table({"k": pa.array(keys, pa.int64()), "t": [t for _, t in rows]})
+    for step in (1, 3, 64):
+        pieces = list(lexical._pieces(iter(x.to_batches(max_chunksize=step)), ["k"], ["t"]))
+        assert [(k, t) for p in pieces for k, t in zip(p["k"].to_pylist(), p["t"].to_pylist())] == rows and len(pieces) > 8
+        assert all(a["k"].to_pylist()[-1] != b["k"].to_pylist()[0] for a, b in itertools.pairwise(pieces))
+    assert list(lexical._pieces(iter([]), ["k"], ["t"])) == []
+
+
+def test_cosine_pairs_of_odd_rows(spark, tmp_path):
+    r = random.Random(4)
+    word = lambda: r.choice("alpha Beta gamma delta Épsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho".split())
+    rows = [(i, " ".join(word() for _ in range(r.randrange(1, 40)))) for i in range(60)]
+    rows += [(7, "Beta gamma again"), (7, None), (8, "alpha"), (None, "alpha beta"), (None, "xi"), (100, None), (101, ""), (102, "1 2 ."), (103, "alpha"), (-5, "eta eta eta"), (104, words_of(r, 300)), (105, rows[3][1]), (106, rows[3][1])]
+    odd_documents(spark, tmp_path, rows)
+    assert sorted(tuple(x) for x in catalogue.QUERIES["cosine_pairs"](spark, str(tmp_path)).collect()) == by_sql("cosine_pairs", tmp_path)
+
+
+def test_cosine_pairs_keep_terms_off_the_disk(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(i, words_of(r, 200)) for i in range(400)]
+    odd_documents(spark, tmp_path, [*rows, (400, rows[0][1]), (401, "same again"), (402, "same again")])
+    left, got = disk_of(spark, "cosine_pairs", str(tmp_path))
+    assert got == [(0, 400, 1.0), (401, 402, 1.0)]
+    assert left < 0.2 * sum(len(t) for _, t in rows)  # as (document, term, count) it was more than half of the text
