@@ -321,3 +321,21 @@ def test_cosine_pairs_keep_terms_off_the_disk(spark, tmp_path):
     left, got = disk_of(spark, "cosine_pairs", str(tmp_path))
     assert got == [(0, 400, 1.0), (401, 402, 1.0)]
     assert left < 0.2 * sum(len(t) for _, t in rows)  # as (document, term, count) it was more than half of the text
+
+
+def test_blended_score_of_odd_rows(spark, tmp_path):
+    r = random.Random(6)
+    word = lambda: r.choice("alpha Beta gamma delta Épsilon zeta . eta theta. iota kappa lambda 12 mu .. nu xi omicron pi rho sigma tau".split())
+    rows = [(i, " ".join(word() for _ in range(r.randrange(1, 60)))) for i in range(80)]
+    rows += [(None, "alpha beta"), (100, None), (101, ""), (102, "1 2 ."), (103, "alpha"), (104, "alpha."), (105, rows[3][1]), (106, rows[3][1] + " alpha."), (107, words_of(r, 300)), (108, "ab c"), (109, "a bc")]
+    odd_documents(spark, tmp_path, rows)
+    assert sorted(tuple(x) for x in catalogue.QUERIES["blended_score"](spark, str(tmp_path)).collect()) == by_sql("blended_score", tmp_path)
+
+
+def test_blended_score_keeps_terms_off_the_disk(spark, tmp_path):
+    r = random.Random(7)
+    rows = [(i, words_of(r, 200)) for i in range(400)]
+    odd_documents(spark, tmp_path, [*rows, (400, rows[0][1])])
+    left, got = disk_of(spark, "blended_score", str(tmp_path))
+    assert got == [(0, 400, 1.0)]
+    assert left < 0.3 * sum(len(t) for _, t in rows)
